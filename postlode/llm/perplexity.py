@@ -6,7 +6,7 @@ what is gathered grows with the input. The model is kept as sorted hash arrays:
 the hashes of its n-grams in order, with log-probabilities and back-off weights beside them and
 an index of the leading hash bits. A document's perplexity is that of all its characters and an
 end mark; each language has a band of log-perplexities, fences beyond the quartiles, outside of
-which (above or below) documents are rejected.
+which (above or below) documents are rejected; a text of n characters has SLACK / sqrt(n) besides.
 
 A model of up to BROADCAST_ENTRIES entries is sent to the workers as arrays. A larger one stays a
 table, and the documents' own n-gram counts are joined with it by hash.
@@ -38,7 +38,7 @@ from . import _text
 from ._shared import dropped, written
 
 ORDER, BITS = 5, 12
-FENCE, FLOOR = 3.0, 0.5
+FENCE, FLOOR, SLACK = 2.5, 0.08, 3.0
 BROADCAST_ENTRIES = 6_000_000
 UNKNOWN = 1.0 / 4096
 MOST_HELD = 3_000_000
@@ -298,9 +298,10 @@ def accepted(docs: DataFrame, fence: float = FENCE, floor: float = FLOOR, broadc
     """doc_id, lang, perplexity of the documents within their language's band; bands and model come from docs."""
     counts = written(counted(docs), "ngrams")
     kn = written(model(counts), "kn")
-    s = scored(docs, kn, broadcast_entries).where("n > 0").select("doc_id", "lang", (-F.col("logp") / F.col("n")).alias("x"))
+    s = scored(docs, kn, broadcast_entries).where("n > 0").select("doc_id", "lang", "n", (-F.col("logp") / F.col("n")).alias("x"))
     s = written(s, "perplexity")
     dropped(counts)
     dropped(kn)
+    slack = SLACK / F.sqrt("n")
     band = F.broadcast(bands(s, fence, floor))  # a row a language
-    return s.join(band, F.col("lang").eqNullSafe(F.col("band"))).where("x between low and high").select("doc_id", "lang", F.exp("x").alias("perplexity"))
+    return s.join(band, F.col("lang").eqNullSafe(F.col("band"))).where(F.col("x").between(F.col("low") - slack, F.col("high") + slack)).select("doc_id", "lang", F.exp("x").alias("perplexity"))
