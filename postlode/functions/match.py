@@ -237,9 +237,14 @@ def _near(text: Column, n: Near) -> Column:
     cheap = F.lit(True)
     for p in n.phrases:
         cheap &= text.contains(max((t for t, _ in p.terms), key=len))
-    all_tokens = tokens(text)
-
-    def starts(p: Phrase) -> Column:
+    single = [p.terms[0] for p in n.phrases if len(p.terms) == 1]
+    if len(n.phrases) == 2 and len(single) == 2 and single[0] != single[1] and not any(prefix for _, prefix in single):
+        x, y = (re.escape(t) for t, _ in single)
+        between = f"(?:{GAP}+{WORD}+){{0,{n.distance}}}{GAP}+"
+        return cheap & text.rlike(f"(?<!{WORD})(?:{x}{between}{y}|{y}{between}{x})(?!{WORD})")
+
+    # what a lambda takes as its variable is evaluated once; so the tokens and places are elements of arrays of one
+    def starts(all_tokens: Column, p: Phrase) -> Column:
         def here(i: Column) -> Column:
             ok = F.lit(True)
             for k, (t, prefix) in enumerate(p.terms):
@@ -249,15 +254,20 @@ def _near(text: Column, n: Near) -> Column:
 
         return F.filter(F.sequence(F.lit(0), F.size(all_tokens) - 1), here)
 
-    places = F.array(*[starts(p) for p in n.phrases])
+    def clump(places: Column) -> Column:
+        def last_at(m: Column) -> Column:
+            ok = F.lit(True)
+            for k, p in enumerate(n.phrases):
+                ok &= _exists_between(F.get(places, F.lit(k)), m, len(p.terms) + n.distance)
+            return ok
+
+        return F.exists(F.flatten(places), last_at)
 
-    def last_at(m: Column) -> Column:
-        ok = F.lit(True)
-        for k, p in enumerate(n.phrases):
-            ok &= _exists_between(places[k], m, len(p.terms) + n.distance)
-        return ok
+    def in_tokens(t: Column) -> Column:
+        return (F.size(t) > 0) & F.exists(F.array(F.array(*[starts(t, p) for p in n.phrases])), clump)
 
-    return cheap & (F.size(all_tokens) > 0) & F.exists(F.flatten(places), last_at)
+    # exists() passes over rows that the cheap test rules out
+    return F.exists(F.when(cheap, F.array(tokens(text))).otherwise(F.array().cast("array<array<string>>")), in_tokens)
 
 
 def _exists_between(places: Column, m: Column, reach: int) -> Column:

@@ -101,7 +101,7 @@ def nfc(c: Column) -> Column:
 
 def address_list(c: Column) -> Column:
     """Parts between commas and semicolons, trimmed, without empty ones; null has none."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,;]"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

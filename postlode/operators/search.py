@@ -18,7 +18,7 @@ from ..functions.values import MessageReference, clamp, timestamp
 
 TEXT = ("subject", "sender", "recipients", "attachments", "body")
 #: Mailboxes that hold nearly everything, chosen only where there is no other.
-BULK = ("[Gmail]/All Mail", "[Gmail]/Tous les messages", "Archive")
+BULK = ("[Gmail]/All Mail", "[Gmail]/Important", "[Gmail]/Tous les messages")
 NO_SIZE = 10**9
 PREVIEWS = 20
 

@@ -5,11 +5,504 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import drafts, ingest, search
+from ..ship import ship
+from .views import LOCATIONS, MESSAGES, NOW, locations, messages, table
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+GAP = r"[^\p{L}\p{N}]"
+
+
+def _register(name: str, query, sql: str | None = None) -> None:
+    _Q[name] = query
+    if sql:
+        _SQL[name] = sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- full-text search -------------------------------------------------------------------------
+
+
+def _re(*terms: str, prefix: bool = False, first: bool = False) -> str:
+    """SQL's pattern for terms in a row (RE2 has no look-around)."""
+    begin = f"^{GAP}*" if first else f"(^|{GAP})"
+    return f"{begin}{f'{GAP}+'.join(terms)}" + ("" if prefix else f"({GAP}|$)")
+
+
+def _has(pattern: str, columns: tuple[str, ...] = ("fsubject", "fsender", "fbody")) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, '{pattern}')" for c in columns) + ")"
+
+
+def _fts(query: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return search.matching(messages(spark, d), query)[0].select("id")
+
+    return run
+
+
+def _fts_sql(where: str) -> str:
+    return f"WITH {MESSAGES} SELECT id FROM messages_v WHERE {where}"
+
+
+_T = lambda t: _has(_re(t))
+_near = rf"(^|{GAP})the({GAP}+[\p{{L}}\p{{N}}]+){{0,3}}{GAP}+with({GAP}|$)"
+_raen = rf"(^|{GAP})with({GAP}+[\p{{L}}\p{{N}}]+){{0,3}}{GAP}+the({GAP}|$)"
+
+for _name, _query, _where in (
+    ("term", "with", _T("with")),
+    ("folded_term", "été", _T("ete")),
+    ("implicit_and", "with from", f"{_T('with')} AND {_T('from')}"),
+    ("or", "dans OR nicht", f"{_T('dans')} OR {_T('nicht')}"),
+    ("not", "the NOT with", f"{_T('the')} AND NOT {_T('with')}"),
+    ("precedence", "dans OR the with NOT from", f"{_T('dans')} OR ({_T('the')} AND {_T('with')} AND NOT {_T('from')})"),
+    ("phrase", '"of the"', _has(_re("of", "the"))),
+    ("prefix", "thing*", _has(_re("thing", prefix=True))),
+    ("initial", "^the", _has(_re("the", first=True))),
+    ("concat", "of + the", _has(_re("of", "the"))),
+    ("near", "NEAR(the with, 3)", f"({_has(_near)} OR {_has(_raen)})"),
+    ("empty", 'with OR "..."', _T("with")),
+    ("column", "sender:src7", _has(_re("src7"), ("fsender",))),
+    ("column_set", "{subject sender} : the", _has(_re("the"), ("fsubject", "fsender"))),
+    ("column_exclude", "- body : the", _has(_re("the"), ("fsubject", "fsender"))),
+    ("column_group", "subject : (the AND of)", f"{_has(_re('the'), ('fsubject',))} AND {_has(_re('of'), ('fsubject',))}"),
+    ("fallback", "license, version", f"{_T('license')} AND {_T('version')}"),
+):
+    _register(f"q_fts_{_name}", _fts(_query), _fts_sql(_where))
+
+
+def _near3(spark: SparkSession, d: str) -> DataFrame:
+    """A group of three phrases, by token positions."""
+    return _fts('NEAR("of the" with from, 8)')(spark, d)
+
+
+_register("q_fts_near_phrases", _near3)
+_register(
+    "q_tokens_count",
+    lambda s, d: messages(s, d).select("id", X.token_count(X.fold(F.col("body"))).cast("long").alias("n_tokens")),
+    rf"WITH {MESSAGES} SELECT id, CAST(len(regexp_extract_all(fbody, '[\p{{L}}\p{{N}}]+')) AS BIGINT) AS n_tokens FROM messages_v",
+)
+_register(
+    "q_vocab_top",
+    lambda s, d: messages(s, d).select(F.explode(X.tokens(X.fold(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100),
+    rf"WITH {MESSAGES} SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(fbody, '[\p{{L}}\p{{N}}]+')) AS term FROM messages_v) GROUP BY term ORDER BY n DESC, term LIMIT 100",
+)
+
+# ---- filters, locations, threads --------------------------------------------------------------
+
+_SINCE, _UNTIL = "2024-01-05", "2024-01-20"
+_LOW, _HIGH = 1704412800, 1705795199
+
+
+def _filter(**conditions):
+    return lambda s, d: search.filtered(messages(s, d), locations(s, d), **conditions).select("id")
+
+
+def _held_sql(*where: str) -> str:
+    exists = " AND ".join(f"EXISTS (SELECT 1 FROM locations_v l WHERE l.message = m.id AND {w})" for w in where)
+    return f"WITH {MESSAGES}, {LOCATIONS} SELECT id FROM messages_v m WHERE {exists}"
+
+
+_register("q_filter_dates", _filter(since=_SINCE, until=_UNTIL), f"WITH {MESSAGES} SELECT id FROM messages_v WHERE date_received BETWEEN {_LOW} AND {_HIGH}")
+_register("q_filter_account", _filter(account="DE"), _held_sql("lower(account) = 'de'"))
+_register("q_filter_mailbox", _filter(mailbox="SRC3"), _held_sql("lower(mailbox) = 'src3'"))
+_register("q_filter_unread", _filter(unread_only=True), _held_sql("read = 0"))
+_register("q_filter_flagged", _filter(flagged_only=True), _held_sql("flagged = 1"))
+_register("q_filter_uncorrelated", _filter(account="en", mailbox="src3", unread_only=True, flagged_only=True), _held_sql("account = 'en'", "mailbox = 'src3'", "read = 0", "flagged = 1"))
+
+_PICKED = """sizes AS (SELECT account, mailbox, count(*) AS n FROM locations_v GROUP BY ALL),
+ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY message ORDER BY (l.mailbox IN ('[Gmail]/All Mail', '[Gmail]/Tous les messages', '[Gmail]/Important'))::INT, n, l.mailbox, l.account, read, flagged) AS place
+  FROM locations_v l JOIN sizes USING (account, mailbox)),
+chosen AS (SELECT * FROM ranked WHERE place = 1),
+others AS (SELECT l.message, string_agg(l.mailbox, '|' ORDER BY l.mailbox) AS also_in FROM locations_v l JOIN chosen c ON l.message = c.message AND l.mailbox <> c.mailbox GROUP BY l.message)"""
+
+
+def _token_sql(a: str, m: str, i: str) -> str:
+    return f"""rtrim(replace(replace(to_base64(encode('{{"a":"' || {a} || '","m":"' || {m} || '","i":' || {i} || '}}')), '+', '-'), '/', '_'), '=')"""
+
+
+def _joined(df: DataFrame, name: str = "also_in") -> DataFrame:
+    return df.withColumn(name, F.array_join(name, "|"))
+
+
+_register(
+    "q_search_full",
+    lambda s, d: _joined(search.search_all(messages(s, d), locations(s, d), "the with", since=_SINCE, until=_UNTIL, account="en", unread_only=True)),
+    f"""WITH {MESSAGES}, {LOCATIONS}, hits AS (
+  SELECT * FROM messages_v m WHERE {_T('the')} AND {_T('with')} AND date_received BETWEEN {_LOW} AND {_HIGH}
+    AND EXISTS (SELECT 1 FROM locations_v l WHERE l.message = m.id AND account = 'en')
+    AND EXISTS (SELECT 1 FROM locations_v l WHERE l.message = m.id AND read = 0)
+  ORDER BY date_received DESC, id DESC LIMIT 20), {_PICKED}
+SELECT {_token_sql('c.account', 'c.mailbox', 'h.id')} AS message_id, h.id AS mail_id, subject, sender,
+  strftime(to_timestamp(date_received) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS date_received, c.account, c.mailbox,
+  coalesce(also_in, '') AS also_in, c.read <> 0 AS read, c.flagged <> 0 AS flagged, rfc_id AS rfc_message_id
+FROM hits h JOIN chosen c ON c.message = h.id LEFT JOIN others o ON o.message = h.id""",
+)
+_register(
+    "q_pick_location",
+    lambda s, d: search.picked(messages(s, d).select("id"), locations(s, d)).select("id", "account", "mailbox", "read", "flagged"),
+    f"WITH {LOCATIONS}, {_PICKED} SELECT message AS id, account, mailbox, read, flagged FROM chosen",
+)
+_register(
+    "q_also_in",
+    lambda s, d: _joined(search.picked(messages(s, d).select("id"), locations(s, d)).select("id", "also_in")),
+    f"WITH {LOCATIONS}, {_PICKED} SELECT c.message AS id, coalesce(also_in, '') AS also_in FROM chosen c LEFT JOIN others o ON o.message = c.message",
+)
+_register("q_mailbox_sizes", lambda s, d: search.mailbox_sizes(locations(s, d)), f"WITH {LOCATIONS} SELECT account, mailbox, count(*) AS n FROM locations_v GROUP BY ALL")
+_register(
+    "q_thread",
+    lambda s, d: search.thread(messages(s, d), locations(s, d), 13, 500),
+    f"""WITH {MESSAGES}, {LOCATIONS}, own AS (
+  SELECT * FROM messages_v WHERE conversation_id = (SELECT conversation_id FROM messages_v WHERE id = 13) ORDER BY date_received ASC NULLS FIRST, id LIMIT 500), {_PICKED}
+SELECT {_token_sql('c.account', 'c.mailbox', 'o.id')} AS message_id, o.id AS mail_id, subject, sender, date_received, c.account, c.mailbox,
+  c.read <> 0 AS read, c.flagged <> 0 AS flagged, o.id = 13 AS is_requested
+FROM own o JOIN chosen c ON c.message = o.id""",
+)
+_register(
+    "q_thread_conversations",
+    lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max("turn").alias("last_turn")),
+    "SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+)
+_register(
+    "q_limit_then_drop",
+    lambda s, d: search.picked(search.newest(messages(s, d).select("id", "date_received"), 150), locations(s, d).where("mailbox <> '[Gmail]/All Mail'")).select("id", "mailbox"),
+    f"WITH {MESSAGES}, {LOCATIONS}, hits AS (SELECT id FROM messages_v ORDER BY date_received DESC, id DESC LIMIT 150) SELECT id, mailbox FROM hits JOIN locations_v ON message = id WHERE mailbox <> '[Gmail]/All Mail'",
+)
+_WINDOW = f"""WITH {MESSAGES}, {LOCATIONS}, own AS (
+  SELECT m.*, l.read, l.flagged FROM messages_v m JOIN locations_v l ON l.message = m.id WHERE l.account = 'en' AND l.mailbox = '[Gmail]/All Mail')"""
+_register(
+    "q_scan_window",
+    lambda s, d: search.list_messages(messages(s, d), locations(s, d), "en", "[Gmail]/All Mail", 40, True, 250).select("id", "date_received", "read", "window_truncated"),
+    f"{_WINDOW}, seen AS (SELECT * FROM own ORDER BY date_received DESC, id DESC LIMIT 250) SELECT id, date_received, read, (SELECT count(*) > 250 FROM own) AS window_truncated FROM seen WHERE read = 0 ORDER BY date_received DESC, id DESC LIMIT 40",
+)
+_register(
+    "q_preview_budget",
+    lambda s, d: search.list_messages(messages(s, d), locations(s, d), "en", "[Gmail]/All Mail", 60, preview_chars=80).select("id", "preview"),
+    f"{_WINDOW} SELECT id, CASE WHEN row_number() OVER (ORDER BY date_received DESC, id DESC) <= 20 THEN translate(substring(body, 1, 80), chr(13) || chr(10), '  ') END AS preview FROM own ORDER BY date_received DESC, id DESC LIMIT 60",
+)
+
+# ---- statistics -------------------------------------------------------------------------------
+
+_register(
+    "q_status_counts",
+    lambda s, d: search.status_counts(messages(s, d), locations(s, d)).select("messages", "locations"),
+    f"WITH {LOCATIONS} SELECT (SELECT count(*) FROM documents) AS messages, (SELECT count(*) FROM locations_v) AS locations",
+)
+_register("q_status_accounts", lambda s, d: search.accounts(messages(s, d)), "SELECT lang AS account, count(*) AS n FROM documents GROUP BY lang")
+_register(
+    "q_status_span",
+    lambda s, d: search.status_counts(messages(s, d), locations(s, d)).select("oldest", "newest"),
+    f"WITH {MESSAGES} SELECT min(date_received) AS oldest, max(date_received) AS newest FROM messages_v WHERE date_received > 0",
+)
+_register(
+    "q_list_mailboxes",
+    lambda s, d: search.list_mailboxes(locations(s, d), True),
+    f"WITH {LOCATIONS} SELECT account, mailbox, count(*) FILTER (read = 0) AS unread, count(*) AS total FROM locations_v GROUP BY ALL",
+)
+_register(
+    "q_count_unread",
+    lambda s, d: search.count_unread(locations(s, d)),
+    f"WITH {LOCATIONS} SELECT account, mailbox, count(*) FILTER (read = 0) AS unread FROM locations_v GROUP BY ALL HAVING unread > 0",
+)
+_register(
+    "q_mailboxes_by_account",
+    lambda s, d: search.mailboxes_by_account(locations(s, d)).select("account", "mailbox_count", F.expr("aggregate(mailboxes, 0L, (a, m) -> a + m.unread)").alias("unread")),
+    f"WITH {LOCATIONS} SELECT account, count(DISTINCT mailbox) AS mailbox_count, count(*) FILTER (read = 0) AS unread FROM locations_v GROUP BY account",
+)
+
+# ---- ingest -----------------------------------------------------------------------------------
+
+
+def _store(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """orders are messages, customers addresses, nations subjects, line items recipients and attachments."""
+    o = table(s, d, "orders")
+    return {
+        "messages": o.select(
+            F.col("o_orderkey").alias("rowid"), (F.col("o_custkey") % 40).alias("mailbox"), F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("deleted"),
+            F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("date_received"), F.col("o_totalprice").cast("long").alias("size"), F.col("o_custkey").alias("conversation_id"),
+            F.lit(0).alias("read"), F.lit(0).alias("flagged"), (F.col("o_orderkey") % 30).alias("subject"), F.col("o_custkey").alias("sender"),
+        ),
+        "subjects": table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("rowid"), F.col("n_name").alias("subject")),
+        "addresses": table(s, d, "customer").select(F.col("c_custkey").alias("rowid"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.com")).alias("address"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_name")).alias("comment")),
+    }
+
+
+_ROWS = """rows_v AS (
+  SELECT o_orderkey AS id, coalesce(n_name, '') AS subject,
+         CASE WHEN c_custkey IS NULL THEN '' WHEN c_nationkey % 3 <> 0 THEN c_name || ' <c' || c_custkey || '@x.com>' ELSE 'c' || c_custkey || '@x.com' END AS sender,
+         CAST(epoch(o_orderdate) AS BIGINT) AS date_received
+  FROM orders LEFT JOIN nation ON o_orderkey % 30 = n_nationkey LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')"""
+
+
+def _message_rows(s: SparkSession, d: str) -> DataFrame:
+    t = _store(s, d)
+    return ingest.message_rows(t["messages"], t["subjects"], t["addresses"]).select("id", "subject", "sender", "date_received")
+
+
+_register("q_message_rows", _message_rows, f"WITH {_ROWS} SELECT * FROM rows_v")
+
+
+def _recipients(s: SparkSession, d: str) -> DataFrame:
+    r = table(s, d, "lineitem").select(F.col("l_orderkey").alias("message"), F.col("l_suppkey").alias("address"), F.col("l_linenumber").alias("position"))
+    a = table(s, d, "supplier").select(F.col("s_suppkey").alias("rowid"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@x.com")).alias("address"), F.col("s_name").alias("comment"))
+    return ingest.recipients_by_message(r, a)
+
+
+_register(
+    "q_recipients",
+    _recipients,
+    "SELECT l_orderkey AS message, string_agg(s_name || ' s' || s_suppkey || '@x.com', ' ' ORDER BY l_linenumber, s_name || ' s' || s_suppkey || '@x.com') AS recipients FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey",
+)
+
+
+def _attachments(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(".pdf")).alias("name"))
+    li = table(s, d, "lineitem").where("l_quantity > 25")
+    return ingest.attachments_by_message(li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("message"), "name", F.col("l_linenumber").alias("position")))
+
+
+_register(
+    "q_attachments",
+    _attachments,
+    "SELECT l_orderkey AS message, string_agg(p_name || '.pdf', ' ' ORDER BY l_linenumber, p_name) AS attachments FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25 GROUP BY l_orderkey",
+)
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "documents").select(F.col("doc_id").alias("rowid"), (F.col("doc_id") % 7).alias("mailbox"), F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0).alias("deleted"))
+    labels = table(s, d, "labels").select(F.col("doc_id").alias("message_id"), (F.col("quality") + F.col("doc_id") % 5).cast("long").alias("mailbox_id"))
+    return ingest.membership(m, labels)
+
+
+_PLACES = "places AS (SELECT doc_id AS message, doc_id % 7 AS mailbox_id FROM documents WHERE doc_id % 13 <> 0 UNION SELECT doc_id, CAST(quality + doc_id % 5 AS BIGINT) FROM labels)"
+_register("q_membership", _places, f"WITH {_PLACES} SELECT * FROM places")
+
+
+def _boxes(s: SparkSession) -> DataFrame:
+    return s.range(7).select(F.col("id").alias("rowid"), F.when(F.col("id") < 5, 190).otherwise(90 + 20 * F.col("id")).cast("long").alias("total_count"))
+
+
+_register(
+    "q_check_membership",
+    lambda s, d: ingest.check_membership(_places(s, d), _boxes(s)),
+    f"WITH {_PLACES}, b AS (SELECT range AS rowid, CASE WHEN range < 5 THEN 190 ELSE 90 + 20 * range END AS total_count FROM range(7)), g AS (SELECT mailbox_id, count(*) AS got FROM places GROUP BY 1) SELECT count(*) AS checked, count(*) FILTER (abs(coalesce(got, 0) - total_count) / total_count < 0.02) AS agreeing FROM b LEFT JOIN g ON rowid = mailbox_id WHERE total_count > 100",
+)
+_register(
+    "q_check_file_ratio",
+    lambda s, d: ingest.check_file_ratio(table(s, d, "documents").select(F.col("doc_id").alias("rowid"), F.lit(0).alias("deleted")), table(s, d, "labels").select(F.col("doc_id").alias("id"))),
+    "SELECT count(l.doc_id) AS known, count(*) AS total, count(l.doc_id) / count(*) AS ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
+)
+_register(
+    "q_check_dates",
+    lambda s, d: ingest.check_dates(_store(s, d)["messages"]),
+    "SELECT CAST(epoch(min(o_orderdate)) AS BIGINT) AS oldest, CAST(epoch(max(o_orderdate)) AS BIGINT) AS newest, epoch(max(o_orderdate)) > 1e8 AND epoch(max(o_orderdate)) < 1e10 AS plausible FROM orders WHERE epoch(o_orderdate) > 0",
+)
+
+
+def _held(s: SparkSession, d: str) -> DataFrame:
+    """An older state: documents but for those of the last source, and some that are gone since."""
+    docs = messages(s, d)
+    old = docs.where("sender <> 'src19'").select("id", "account", "date_received")
+    return old.unionByName(docs.where("sender = 'src0'").select((F.col("id") + 10**9).alias("id"), "account", "date_received"))
+
+
+def _live(s: SparkSession, d: str) -> DataFrame:
+    return messages(s, d).where("sender <> 'src5'").select("id", "account", "date_received")
+
+
+_STATES = f"""{MESSAGES}, held AS (
+  SELECT id, account, date_received FROM messages_v WHERE sender <> 'src19'
+  UNION ALL SELECT id + 1000000000, account, date_received FROM messages_v WHERE sender = 'src0'),
+live AS (SELECT id, account, date_received FROM messages_v WHERE sender <> 'src5')"""
+_register("q_sync_gone", lambda s, d: ingest.gone(_held(s, d), _live(s, d)), f"WITH {_STATES} SELECT id FROM held WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.id = held.id)")
+_register("q_sync_new", lambda s, d: ingest.new(_held(s, d), _live(s, d)), f"WITH {_STATES} SELECT id FROM live WHERE NOT EXISTS (SELECT 1 FROM held WHERE live.id = held.id)")
+
+
+def _applied(s: SparkSession, d: str) -> DataFrame:
+    held, live = _held(s, d), _live(s, d)
+    more = live.join(ingest.new(held, live).select(F.col("id").alias("__n")), F.col("id") == F.col("__n"), "left_semi")
+    return ingest.applied(held, more, ingest.gone(held, live), "id")
+
+
+_register("q_sync_apply", _applied, f"WITH {_STATES} SELECT * FROM held WHERE id IN (SELECT id FROM live) UNION ALL SELECT * FROM live WHERE id NOT IN (SELECT id FROM held)")
+_register(
+    "q_sync_locations",
+    lambda s, d: ingest.applied(locations(s, d), locations(s, d).limit(0), ingest.gone(_held(s, d), _live(s, d)), "message"),
+    f"WITH {_STATES}, {LOCATIONS} SELECT * FROM locations_v WHERE message NOT IN (SELECT id FROM held WHERE id NOT IN (SELECT id FROM live))",
+)
+
+# ---- text -------------------------------------------------------------------------------------
+
+_ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_strip = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _a, _b in _ENT:
+    _strip = f"replace({_strip}, '{_a}', '{_b}')"
+_register(
+    "q_strip_markup",
+    lambda s, d: table(s, d, "pages").select("page_id", X.strip_markup(F.col("html")).alias("plain")),
+    rf"SELECT page_id, trim(regexp_replace({_strip}, '\s+', ' ', 'g')) AS plain FROM pages",
+)
+
+
+def _strip_general(s: SparkSession, d: str) -> DataFrame:
+    return table(ship(s), d, "pages").select("page_id", X.strip_markup_general(F.col("html")).alias("plain"))
+
+
+_register("q_strip_markup_any_entity", _strip_general, _SQL["q_strip_markup"])
+_WEB = r"^(https?)://([^/]*)/(.+)$"
+_register(
+    "q_url_parse",
+    lambda s, d: table(s, d, "pages").select("page_id", X.mailbox_url(F.col("url"), _WEB).alias("u")).where("u is not null").select("page_id", "u.scheme", "u.account", "u.path"),
+    f"SELECT page_id, regexp_extract(url, '{_WEB}', 1) AS scheme, regexp_extract(url, '{_WEB}', 2) AS account, url_decode(regexp_extract(url, '{_WEB}', 3)) AS path FROM pages WHERE regexp_matches(url, '{_WEB}')",
+)
+_register(
+    "q_addresses",
+    lambda s, d: _joined(table(s, d, "documents").select("doc_id", X.addresses(F.col("text")).alias("found")), "found").where("found <> ''"),
+    r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+'), lambda x: lower(x)))), '|') AS found FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+')",
+)
+_register(
+    "q_address_list",
+    lambda s, d: _joined(table(s, d, "customer").select("c_custkey", X.address_list(F.concat_ws(", ", "c_name", F.lit(" "), F.concat(F.col("c_mktsegment"), F.lit(";;x@y.fr ")))).alias("parts")), "parts"),
+    "SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex(c_name || ',  , ' || c_mktsegment || ';;x@y.fr ', '[,;]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM customer",
+)
+_register(
+    "q_slug",
+    lambda s, d: table(s, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 70)).alias("slug")),
+    "WITH t AS (SELECT doc_id, rtrim(substring(lower(trim(regexp_replace(strip_accents(substring(text, 1, 70)), '[^A-Za-z0-9]+', '-', 'g'), '-')), 1, 48), '-') AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'no-subject' ELSE s END AS slug FROM t",
+)
+_register(
+    "q_message_token",
+    lambda s, d: locations(s, d).select("message", "mailbox", X.message_token(F.col("account"), F.col("mailbox"), F.col("message")).alias("token")),
+    f"WITH {LOCATIONS} SELECT message, mailbox, {_token_sql('account', 'mailbox', 'message')} AS token FROM locations_v",
+)
+_register(
+    "q_truncations",
+    lambda s, d: messages(s, d).select("id", X.truncated(F.col("body"), 500).alias("t"), X.preview(F.col("body"), 60).alias("preview")).select("id", "t.body", "t.body_truncated", "preview"),
+    f"WITH {MESSAGES} SELECT id, substring(body, 1, 500) AS body, length(body) > 500 AS body_truncated, translate(substring(body, 1, 60), chr(13) || chr(10), '  ') AS preview FROM messages_v",
+)
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Events framed as live records, and read back."""
+    framed = table(s, d, "events").select("event_id", F.concat_ws("\x1f", F.col("event_id").cast("string"), "event_type", F.when(F.col("user_id") % 2 == 0, " TRUE").otherwise("no"), F.col("user_id").cast("string")).alias("raw"))
+    r = framed.select("event_id", F.explode(X.records(F.concat("raw", F.lit("\x1e")))).alias("r"))
+    return r.select("event_id", X.field(F.col("r"), 1).alias("kind"), X.as_bool(X.field(F.col("r"), 2)).alias("even"), X.as_int(X.field(F.col("r"), 3)).alias("user_id"), X.as_int(X.field(F.col("r"), 9, "?"), -1).alias("missing"))
+
+
+_register("q_live_records", _records, "SELECT event_id, event_type AS kind, user_id % 2 = 0 AS even, user_id, CAST(-1 AS BIGINT) AS missing FROM events")
+
+# ---- drafts, ledger, log ----------------------------------------------------------------------
+
+
+def _draft_files(s: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.when(F.col("event_type") == "purchase", "sent/").otherwise(""), F.col("event_id").cast("string"), F.when(F.col("event_type") == "error", ".txt").otherwise(".eml"))
+    return table(s, d, "events").select(name.alias("path"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("mtime"))
+
+
+_register(
+    "q_retention",
+    lambda s, d: drafts.expired(_draft_files(s, d), NOW, 7, 30),
+    f"""WITH f AS (SELECT CASE WHEN event_type = 'purchase' THEN 'sent/' ELSE '' END || event_id || CASE WHEN event_type = 'error' THEN '.txt' ELSE '.eml' END AS path, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS mtime FROM events)
+SELECT path, mtime FROM f WHERE event_type <> 'error' AND mtime < {NOW} - 86400 * CASE WHEN event_type = 'purchase' THEN 30 ELSE 7 END""",
+)
+
+
+def _ledger_match(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.concat(F.lit("s"), (F.col("conv_id") % 5).cast("string")).alias("subject"), F.array(F.concat(F.lit("Ada <U"), (F.col("conv_id") % 9).cast("string"), F.lit("@x.com>"))).alias("to"), (F.lit(NOW) - F.col("conv_id")).alias("date_received"))
+    e = table(s, d, "events").where("event_type = 'signup'").select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("subject"), F.array(F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string"), F.lit("@x.com"))).alias("to"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    return drafts.leftovers(c, e, NOW, 90 * 3600.0).select("id", "subject")
+
+
+_register(
+    "q_ledger_match",
+    _ledger_match,
+    f"""WITH c AS (SELECT conv_id AS id, 's' || conv_id % 5 AS subject, 'u' || conv_id % 9 AS who FROM conversations WHERE turn = 0 ORDER BY {NOW} - conv_id DESC, conv_id DESC LIMIT 25)
+SELECT id, subject FROM c WHERE EXISTS (SELECT 1 FROM events WHERE event_type = 'signup' AND {NOW} - floor(epoch(ts)) < 90 * 3600 AND 's' || user_id % 5 = c.subject AND 'u' || user_id % 9 = c.who)""",
+)
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    kinds = {"view": "mark_as_read", "click": "mark_as_unread", "error": "flag", "signup": "move", "purchase": "delete"}
+    action = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return table(s, d, "events").select(F.col("user_id").alias("id"), F.try_element_at(action, F.col("event_type")).alias("action"), F.concat(F.lit("v"), (F.col("event_id") % 7).cast("string")).alias("arg"), "ts", F.col("event_id").alias("seq"))
+
+
+_register(
+    "q_mutation_fold",
+    lambda s, d: drafts.folded_log(_log(s, d)),
+    """WITH l AS (SELECT user_id AS id, ts, event_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'read' WHEN 'error' THEN 'flag' ELSE 'mailbox' END AS attribute,
+  CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '0' WHEN 'purchase' THEN 'Trash' ELSE 'v' || event_id % 7 END AS value FROM events)
+SELECT id, attribute, arg_max(value, (ts, event_id)) AS value FROM l GROUP BY id, attribute""",
+)
+
+# ---- files and streams: not in SQL ------------------------------------------------------------
+
+
+def _emlx(s: SparkSession, d: str) -> DataFrame:
+    """Documents as stored message files, parsed back."""
+    from ..sources import mime
+
+    raw = F.concat(F.lit("Message-ID: <doc-"), F.col("doc_id").cast("string"), F.lit("@fixture>\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), F.col("text"))
+    stored = F.concat(F.octet_length(raw).cast("string"), F.lit("\n"), raw, F.lit("\n<plist/>"))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(stored, "utf-8").alias("content"))
+    return mime.parsed_text(rows)
+
+
+_register("q_emlx_parse", _emlx, "SELECT doc_id AS id, 'doc-' || doc_id || '@fixture' AS rfc_id, substring(text, 1, 200000) AS body FROM documents")
+
+
+def _classify(s: SparkSession, d: str) -> DataFrame:
+    """Pages as HTML messages with one image shown, one not, and a file."""
+    from ..sources import mime
+
+    def part(kind: str, name: str, cid: str, disposition: str) -> str:
+        return f"--B\r\nContent-Type: {kind}; name=\"{name}\"\r\nContent-Disposition: {disposition}; filename=\"{name}\"\r\nContent-ID: <{cid}>\r\n\r\nabc\r\n"
+
+    tail = part("image/png", "logo.png", "LOGO", "inline") + part("image/png", "photo.png", "OTHER", "inline") + part("application/pdf", "doc.pdf", "LOGO", "attachment") + "--B--\r\n"
+    raw = F.concat(F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=B\r\n\r\n--B\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n<img src=\"cid:logo\">"), F.col("html"), F.lit("\r\n" + tail))
+    stored = F.concat(F.octet_length(raw).cast("string"), F.lit("\n"), raw)
+    return mime.parsed_attachments(table(s, d, "pages").select(F.col("page_id").alias("id"), F.encode(stored, "utf-8").alias("content"))).select("id", "name", "skipped")
+
+
+_register("q_attachment_classify", _classify, "SELECT page_id AS id, name, name = 'logo.png' AS skipped FROM pages, (VALUES ('logo.png'), ('photo.png'), ('doc.pdf')) t(name)")
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """An index built from documents and brought up to date by a stream of changes."""
+    import tempfile
+
+    from ..sources import index
+    from ..streaming.sync import sync_stream
+
+    folder = tempfile.mkdtemp(prefix="postlode-stream-")
+    m = messages(s, d).select("id", "account", "subject", "date_received")
+    index.write_generation(f"{_made(folder, 'index')}", m.where("id % 3 <> 0"), locations(s, d))
+    at = [F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq")]
+    more = m.where("id % 3 = 0").select("*", F.lit("upsert").alias("op"), *at)
+    less = m.where("id % 5 = 1").select("*", F.lit("delete").alias("op"), (at[0] + 1).alias("ts"), at[1])
+    more.unionByName(less).write.parquet(f"{folder}/changes")
+    sync_stream(s, f"{folder}/changes", "id long, account string, subject string, date_received long, op string, ts long, seq long", f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return index.open_index(s, f"{folder}/index")[0].select("id", "account")
+
+
+def _made(folder: str, name: str) -> str:
+    import os
+
+    path = os.path.join(folder, name)
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+_register("q_stream_sync", _stream, "SELECT doc_id AS id, lang AS account FROM documents WHERE doc_id % 5 <> 1")
