@@ -80,7 +80,7 @@ def discard_draft(path: str) -> None:
 
 
 def draft_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, mtime (seconds) of all files under a folder."""
+    """path, mtime (seconds) of all files under a folder; the source passes over files without content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.unix_seconds("modificationTime").alias("mtime"))
 
