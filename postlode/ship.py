@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers."""
+"""Makes this package importable in Python workers, and their batches of a size for whole texts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the session's Python files, once for each Spark context."""
@@ -23,5 +25,7 @@ def ship(spark: SparkSession) -> SparkSession:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("postlode", os.path.relpath(full, here)))
     sc.addPyFile(archive)
+    if spark.conf.get(BATCH, "10000") == "10000":  # Spark's default; a setting of the session's own stays
+        spark.conf.set(BATCH, "1000")
     sc._postlode_shipped = True
     return spark
