@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ._shared import written
 
 #: Schemas of the tools, in the part of JSON Schema that valid() knows.
 TOOLS: dict[str, dict] = {
@@ -202,6 +203,7 @@ def formatted(conversations: DataFrame, tools: dict[str, dict] | None = None) ->
     turns = numbered.select("conv_id", F.posexplode("all").alias("n", "t")).select("conv_id", "n", "t.role", "t.text")
     parse = F.arrow_udf(_parsed, f"struct<calls:{_CALL},result:{_RESULT},content:string>").asNondeterministic()
     turns = turns.select("conv_id", "n", "role", parse("role", "text").alias("p")).select("conv_id", "n", "role", "p.*")
+    turns = written(turns, "turns")  # read by calls, results and talk
     calls = turns.select("conv_id", "n", F.posexplode("calls").alias("k", "c")).select("conv_id", "n", "k", "c.*")
     heads = calls.groupBy("conv_id", "id").agg(F.min(F.struct("n", "k")).alias("head"))
     results = turns.where("result is not null").groupBy("conv_id", F.col("result.id").alias("id")).agg(F.min(F.struct("n", F.col("result.content").alias("content"))).alias("r"))
