@@ -38,7 +38,8 @@ def fold_text(text: str) -> str:
 def fold(c: Column) -> Column:
     """Lower case without diacritics, as full-text terms are compared."""
     src, dst = fold_map()
-    return F.lower(F.translate(c, src + _MARKS, dst))  # marks have no counterpart: they go
+    plain = F.octet_length(c) == F.length(c)  # ASCII has nothing to translate
+    return F.when(plain, F.lower(c)).otherwise(F.lower(F.translate(c, src + _MARKS, dst)))  # marks have no counterpart: they go
 
 
 def tokens(folded: Column) -> Column:

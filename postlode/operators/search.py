@@ -23,16 +23,14 @@ NO_SIZE = 10**9
 PREVIEWS = 20
 
 
-def folded(messages: DataFrame) -> DataFrame:
-    """messages with a folded column (__f_<name>) for each searched one, made once for all predicates."""
-    return messages.select("*", *[X.fold(F.coalesce(F.col(c), F.lit(""))).alias(f"__f_{c}") for c in TEXT if c in messages.columns])
-
-
 def matching(messages: DataFrame, query: str) -> tuple[DataFrame, str]:
     """(rows that match, query as interpreted)."""
-    text = {c: F.col(f"__f_{c}") if c in messages.columns else F.lit("") for c in TEXT}
-    where, used = compiled(query, text)
-    return folded(messages).where(where).select(*messages.columns), used
+    there = [c for c in TEXT if c in messages.columns]
+    _, used = compiled(query, {c: F.lit("") for c in TEXT})
+    # each column is folded once a row: a lambda's variable is evaluated once, an alias in a filter at every use
+    texts = F.array(F.struct(*[X.fold(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in there]))
+    found = F.exists(texts, lambda t: compiled(query, {c: t[c] if c in there else F.lit("") for c in TEXT})[0])
+    return messages.where(found), used
 
 
 def _held(messages: DataFrame, locations: DataFrame, where: Column) -> DataFrame:
@@ -88,7 +86,9 @@ def picked(hits: DataFrame, locations: DataFrame) -> DataFrame:
 
 def search_all(messages: DataFrame, locations: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
     """The newest matches, one chosen location each."""
-    found, _ = matching(messages, query)
+    # dates reach the scan, texts are matched next, and only matches meet their locations
+    dates = {k: filters.pop(k) for k in ("since", "until") if k in filters}
+    found, _ = matching(filtered(messages, locations, **dates, zone=filters.get("zone", "UTC")), query)
     hits = newest(filtered(found, locations, **filters), limit).select("id", "subject", "sender", "date_received", "rfc_id")
     return picked(hits, locations).select(
         X.message_token(F.col("account"), F.col("mailbox"), F.col("id")).alias("message_id"),
