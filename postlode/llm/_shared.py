@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, one machine) a folder of our own is made and set.
+    Only where that is unset, on one machine (as in tests), a folder of our own is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="postlode-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

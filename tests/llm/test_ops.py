@@ -45,7 +45,7 @@ def empty(spark):
     return table(spark, [])
 
 
-# ---- words ------------------------------------------------------------------------------------
+# words
 
 
 def test_words_and_shingles():
@@ -59,7 +59,7 @@ def test_words_and_shingles():
     assert again[0] == h[1]
 
 
-# ---- 1 perplexity -----------------------------------------------------------------------------
+# 1 perplexity
 
 
 def _kn(texts):
@@ -123,7 +123,7 @@ def test_perplexity_rejects_and_keeps(spark, docs, labels, odd, empty):
     assert perplexity.accepted(empty).count() == 0
 
 
-# ---- 2 language -------------------------------------------------------------------------------
+# 2 language
 
 
 @pytest.fixture(scope="module")
@@ -167,7 +167,7 @@ def test_language_odd(spark, docs, odd, empty, net):
     assert langid.accepted(german.withColumn("lang", F.lit(None).cast("string")), net=net).count() == 3
 
 
-# ---- 3 packing --------------------------------------------------------------------------------
+# 3 packing
 
 
 def _pack_slowly(size, capacity, weights, rule):
@@ -217,7 +217,7 @@ def test_packed(spark, odd, empty, rule):
     assert {r["tokens"] for r in by} == {7}
 
 
-# ---- 4 near copies ----------------------------------------------------------------------------
+# 4 near copies
 
 
 def _hamming(sig, words):
@@ -297,7 +297,7 @@ def test_near_copies_odd(spark, odd, empty):
     assert simhash.groups(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
-# ---- 5 licenses -------------------------------------------------------------------------------
+# 5 licenses
 
 
 def _contained(text):
@@ -341,7 +341,7 @@ def test_band_count():
             assert 1 - (1 - s**rows) ** b >= 0.999 > 1 - (1 - s**rows) ** (b - 1)
 
 
-# ---- 6 mixing ---------------------------------------------------------------------------------
+# 6 mixing
 
 
 def _mix_slowly(rows, target, budget):
@@ -384,7 +384,7 @@ def test_keys_are_exponential(spark):
     assert abs(u.mean() - 0.5) < 0.02 and 0 < u.min() and u.max() < 1
 
 
-# ---- 7 token rollups --------------------------------------------------------------------------
+# 7 token rollups
 
 
 def _rows(df):
@@ -433,7 +433,7 @@ def test_corpus_totals(spark, docs, labels):
     assert got.agg(F.sum("chars")).first()[0] == left.agg(F.sum(F.length("text"))).first()[0]
 
 
-# ---- 8 quality --------------------------------------------------------------------------------
+# 8 quality
 
 
 def test_quality_held_out(spark):
@@ -465,7 +465,7 @@ def test_quality_odd(spark, docs, labels, odd, empty):
     assert not x[0].any() and np.isfinite(x).all() and x[1][quality.CLASSES**2 + 4] == pytest.approx(1 / 3)
 
 
-# ---- 9 chat -----------------------------------------------------------------------------------
+# 9 chat
 
 
 def test_order():
@@ -516,7 +516,7 @@ def test_chat_plain(spark):
     assert got == {k: {"messages": v, "tool_calls": []} for k, v in want.items()}
 
 
-# ---- 10 embeddings ----------------------------------------------------------------------------
+# 10 embeddings
 
 
 @pytest.mark.parametrize("cell,cosine", [(20, 0.95), (20, 0.6), (4000, 0.9)])
@@ -536,7 +536,7 @@ def test_embedding_pairs(spark, monkeypatch, cell, cosine):
     assert embeddings.pairs(df.limit(0)).count() == 0
 
 
-# ---- pipeline ---------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline(spark):
