@@ -1,7 +1,7 @@
 """Search, threads, locations and statistics over messages and their locations.
 
-messages: id, account, rfc_id, subject, sender, date_received, size, conversation_id, and the
-searched text columns (TEXT; those that are missing count as empty).
+messages: id, account, rfc_id, date_received, size, conversation_id, and the searched columns of
+TEXT (those that are missing count as empty).
 locations: message, account, mailbox, read, flagged.
 """
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-# ---- full-text search -------------------------------------------------------------------------
+# full-text search
 
 
 def _re(*terms: str, prefix: bool = False, first: bool = False) -> str:
@@ -99,7 +101,7 @@ _register(
     rf"WITH {MESSAGES} SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(fbody, '[\p{{L}}\p{{N}}]+')) AS term FROM messages_v) GROUP BY term ORDER BY n DESC, term LIMIT 100",
 )
 
-# ---- filters, locations, threads --------------------------------------------------------------
+# filters, locations, threads
 
 _SINCE, _UNTIL = "2024-01-05", "2024-01-20"
 _LOW, _HIGH = 1704412800, 1705795199
@@ -193,7 +195,7 @@ _register(
     f"{_WINDOW} SELECT id, CASE WHEN row_number() OVER (ORDER BY date_received DESC, id DESC) <= 20 THEN translate(substring(body, 1, 80), chr(13) || chr(10), '  ') END AS preview FROM own ORDER BY date_received DESC, id DESC LIMIT 60",
 )
 
-# ---- statistics -------------------------------------------------------------------------------
+# statistics
 
 _register(
     "q_status_counts",
@@ -222,7 +224,7 @@ _register(
     f"WITH {LOCATIONS} SELECT account, count(DISTINCT mailbox) AS mailbox_count, count(*) FILTER (read = 0) AS unread FROM locations_v GROUP BY account",
 )
 
-# ---- ingest -----------------------------------------------------------------------------------
+# ingest
 
 
 def _store(s: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -343,7 +345,7 @@ _register(
     f"WITH {_STATES}, {LOCATIONS} SELECT * FROM locations_v WHERE message NOT IN (SELECT id FROM held WHERE id NOT IN (SELECT id FROM live))",
 )
 
-# ---- text -------------------------------------------------------------------------------------
+# text
 
 _ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 _strip = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
@@ -403,7 +405,7 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 
 _register("q_live_records", _records, "SELECT event_id, event_type AS kind, user_id % 2 = 0 AS even, user_id, CAST(-1 AS BIGINT) AS missing FROM events")
 
-# ---- drafts, ledger, log ----------------------------------------------------------------------
+# drafts, ledger, log
 
 
 def _draft_files(s: SparkSession, d: str) -> DataFrame:
@@ -447,7 +449,7 @@ _register(
 SELECT id, attribute, arg_max(value, (ts, event_id)) AS value FROM l GROUP BY id, attribute""",
 )
 
-# ---- files and streams: not in SQL ------------------------------------------------------------
+# files and streams: not in SQL
 
 
 def _emlx(s: SparkSession, d: str) -> DataFrame:
@@ -480,13 +482,14 @@ _register("q_attachment_classify", _classify, "SELECT page_id AS id, name, name
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    """An index built from documents and brought up to date by a stream of changes."""
-    import tempfile
-
+    """An index built from documents and brought up to date by a stream of changes, in the shared folder."""
     from ..sources import index
     from ..streaming.sync import sync_stream
 
-    folder = tempfile.mkdtemp(prefix="postlode-stream-")
+    shared = (s.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://") or None
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="postlode-stream-", dir=shared)
     m = messages(s, d).select("id", "account", "subject", "date_received")
     index.write_generation(f"{_made(folder, 'index')}", m.where("id % 3 <> 0"), locations(s, d))
     at = [F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq")]
@@ -498,8 +501,6 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def _made(folder: str, name: str) -> str:
-    import os
-
     path = os.path.join(folder, name)
     os.makedirs(path, exist_ok=True)
     return path

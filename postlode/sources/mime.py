@@ -31,9 +31,12 @@ def payload(content: bytes | None) -> bytes | None:
     return rest[:n] if line and n >= 0 else None
 
 
-def strip_markup(text: str) -> str:
-    text = re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", text)
-    return " ".join(html.unescape(re.sub(r"(?s)<[^>]+>", " ", text)).split())
+_HIDDEN, _TAG = re.compile(r"<(script|style)\b.*?</\1>", re.I | re.S), re.compile("<[^>]+>")
+
+
+def strip_markup(marked: str) -> str:
+    bare = _TAG.sub(" ", _HIDDEN.sub(" ", marked))
+    return " ".join(html.unescape(bare).split())
 
 
 def _decoded(part: Message) -> str:

@@ -36,8 +36,8 @@ def find_store(root: str) -> str:
 def snapshot(path: str, workspace: str | None = None) -> str:
     """A copy of a database with its log, so that a writer doesn't disturb reads."""
     folder = tempfile.mkdtemp(dir=workspace)
-    for suffix in ("", "-wal", "-shm"):
-        if os.path.exists(path + suffix):
+    for suffix in ("-shm", "-wal", ""):
+        if os.path.isfile(path + suffix):
             shutil.copy2(path + suffix, os.path.join(folder, os.path.basename(path) + suffix))
     return os.path.join(folder, os.path.basename(path))
 
