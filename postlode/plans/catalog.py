@@ -64,7 +64,7 @@ _raen = rf"(^|{GAP})with({GAP}+[\p{{L}}\p{{N}}]+){{0,3}}{GAP}+the({GAP}|$)"
 
 for _name, _query, _where in (
     ("term", "with", _T("with")),
-    ("folded_term", "été", _T("ete")),
+    ("folded_term", "RÉ", _T("re")),
     ("implicit_and", "with from", f"{_T('with')} AND {_T('from')}"),
     ("or", "dans OR nicht", f"{_T('dans')} OR {_T('nicht')}"),
     ("not", "the NOT with", f"{_T('the')} AND NOT {_T('with')}"),
