@@ -17,7 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": lambda s, d: packing.packed(table(s, d, "documents")),
         "op4_simhash": lambda s, d: simhash.groups(table(s, d, "documents")),
         "op5_licenses": lambda s, d: licenses.found(table(s, d, "documents")),
-        "op6_mixing": lambda s, d: mixing.decided(table(s, d, "documents")),
+        "op6_mixing": lambda s, d: mixing.decided(table(s, d, "documents"), count=mixing.pre_tokens),
         "op7_token_rollup": lambda s, d: rollup.corpus_totals(table(s, d, "documents"), table(s, d, "labels").where("toxic = 1")),
         "op8_quality": lambda s, d: quality.accepted(table(s, d, "documents"), table(s, d, "labels")),
         "op9_chat": lambda s, d: chat.formatted(table(s, d, "conversations")),

@@ -10,19 +10,25 @@ The running sum has two levels: buckets of the keys (more the more documents a s
 summed and prefix-summed, then documents within their bucket, so no task holds a whole source.
 What comes out for each source is its epochs and the last key taken, one row a source.
 
-Token counts are pre-tokens (words, digits, signs), which SQL can count as well.
+Tokens are those of the byte-level BPE vocabulary of op7. Another count can be given: op6 itself
+counts pre-tokens (words, digits, signs), as its SQL does. The quality weight is the share of
+words among a text's pre-tokens, whatever counts its length.
 
-Defined cases: a null source is a source of its own; null ids or null and empty texts have no
-tokens and are left out; equal keys (rows that repeat) are taken together, whole or not at all;
+Defined cases: a null source is a source of its own; null ids and texts of no tokens (null, empty;
+white space only has BPE tokens) are left out; equal keys (rows that repeat) are taken together, whole or not at all;
 null, zero or negative weights count as LEAST_WEIGHT; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..ship import ship
+from . import rollup
 from ._shared import written
 
 SEED = "mix-1"
@@ -34,6 +40,11 @@ WORD = r"\p{L}+"
 
 
 def tokens(text: Column) -> Column:
+    """Tokens of a text in the byte-level BPE vocabulary."""
+    return rollup.counter()(text)
+
+
+def pre_tokens(text: Column) -> Column:
     """Pre-tokens of a text: each word, each digit and each sign."""
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
@@ -44,12 +55,15 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with __source, __tokens, __key; a document's quality weight is the share of words among its tokens."""
-    n = tokens(F.col("text"))
-    t = docs.where("doc_id is not null").select("*", F.coalesce("source", F.lit("")).alias("__source"), n.alias("__tokens"), F.regexp_count("text", F.lit(WORD)).cast("double").alias("__words"))
-    weight = F.greatest(F.col("__words") / F.col("__tokens"), F.lit(LEAST_WEIGHT))
-    return t.where("__tokens > 0").withColumn("__key", -F.log(uniform(F.col("doc_id"), seed)) / weight).drop("__words")
+def keyed(docs: DataFrame, seed: str = SEED, count: Callable[[Column], Column] = tokens) -> DataFrame:
+    """docs with __source, __tokens, __key; a document's quality weight is the share of words among its pre-tokens."""
+    ship(docs.sparkSession)
+    t = docs.where("doc_id is not null and text <> ''").select(
+        "*", F.coalesce("source", F.lit("")).alias("__source"), count(F.col("text")).alias("__tokens"),
+        F.regexp_count("text", F.lit(WORD)).cast("double").alias("__words"), pre_tokens(F.col("text")).alias("__parts"),
+    )
+    weight = F.greatest(F.try_divide("__words", "__parts"), F.lit(LEAST_WEIGHT))
+    return t.withColumn("__key", -F.log(uniform(F.col("doc_id"), seed)) / weight).drop("__words", "__parts")
 
 
 def budgets(totals: DataFrame, target: dict[str, float] | None, total_budget: float | None, temperature: float = TEMPERATURE) -> DataFrame:
@@ -94,9 +108,9 @@ def cutoffs(keys: DataFrame, target: dict[str, float] | None = None, total_budge
     return plan.join(edge, "__source", "left").select(F.col("__source").alias("__s"), "epochs", "edge")
 
 
-def decided(docs: DataFrame, target: dict[str, float] | None = None, total_budget: float | None = None, seed: str = SEED) -> DataFrame:
+def decided(docs: DataFrame, target: dict[str, float] | None = None, total_budget: float | None = None, seed: str = SEED, count: Callable[[Column], Column] = tokens) -> DataFrame:
     """doc_id, source, tokens, copies (at least 1) of the documents in the mixture."""
-    keys = written(keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-keys")
+    keys = written(keyed(docs.select("doc_id", "source", "text"), seed, count).drop("text"), "mix-keys").where("__tokens > 0")
     cut = cutoffs(keys, target, total_budget)
     copies = F.col("epochs") + F.coalesce(F.col("__key") <= F.col("edge"), F.lit(False)).cast("long")
     joined = keys.join(cut, F.col("__source") == F.col("__s")).select("doc_id", "source", F.col("__tokens").alias("tokens"), copies.alias("copies"))
@@ -109,7 +123,7 @@ def mixed(docs: DataFrame, target: dict[str, float] | None = None, total_budget:
     keys = written(keyed(docs.select("doc_id", "source", "text"), seed).select("__source", "__tokens", "__key"), "mix-keys")
     cut = cutoffs(keys, target, total_budget)
     copies = F.col("epochs") + F.coalesce(F.col("__key") <= F.col("edge"), F.lit(False)).cast("long")
-    # a row a source: the text stays where it is
+    # a row a source: the text stays where it is, and as the key needs no length none is counted again
     return keyed(docs, seed).join(F.broadcast(cut), F.col("__source") == F.col("__s")).select(*columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
 
 

@@ -10,7 +10,7 @@ A text longer than a bin is cut into pieces of a whole bin and a remainder. Docu
 hash into groups of about GROUP pieces, which are packed independently; a group leaves at most
 a few bins part-filled.
 
-Lengths are pre-tokens, or the column that ``length`` names.
+Lengths are tokens of the byte-level BPE vocabulary of op7, or the column that ``length`` names.
 
 Defined cases: null ids and documents of no tokens are left out; rows that repeat are packed as
 often as they occur; ties go to the lesser doc_id, start and bin; an empty table gives no rows;
@@ -100,8 +100,8 @@ def packed(docs: DataFrame, capacity: tuple[int, int, int] = (TOKENS, DOCS, ATTE
     """doc_id, start (first token of the piece), tokens, bin_id, position (in the bin) of every piece."""
     ship(docs.sparkSession)
     n = F.col(f"`{length}`").cast("long") if length else tokens(F.col("text"))
-    sized = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), n.alias("n")).where("n > 0")
-    sized = written(sized, "lengths")
+    sized = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), n.alias("n"))
+    sized = written(sized, "lengths").where("n > 0")  # filtered once written, so that each text is counted once
     pieces = sized.agg(F.sum(F.ceil(F.col("n") / capacity[0]))).first()[0] or 0
     groups = max(1, math.ceil(int(pieces) / GROUP))
     grouped = sized.select("id", "n", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))

@@ -217,6 +217,23 @@ def test_packed(spark, odd, empty, rule):
     assert {r["tokens"] for r in by} == {7}
 
 
+def test_lengths_are_bpe_tokens(spark):
+    r = random.Random(4)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(1000)), "".join(r.choice("abcdefghijklmnop") for _ in range(9000)), "plain words, 12345", " \n "]
+    df = table(spark, [(i, t, "en", f"s{i}") for i, t in enumerate(texts)])
+    enc = rollup._encoding(rollup.VOCABULARY)
+    want = {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
+    got = Counter()
+    for x in packing.packed(df).collect():
+        assert x["tokens"] <= packing.TOKENS
+        got[x["doc_id"]] += x["tokens"]
+    assert got == want and want[0] > 900 and want[1] > packing.TOKENS
+    target = {f"s{i}": 0.25 for i in range(4)}
+    # a budget that holds the two short texts many times and neither of the long ones
+    assert {x["doc_id"]: x["tokens"] for x in mixing.decided(df, target, 4 * 600).collect()} == {i: want[i] for i in (2, 3)}
+    assert {x["doc_id"] for x in mixing.mixed(df, target, 4 * 600).collect()} == {2, 3}
+
+
 # 4 near copies
 
 
