@@ -6,7 +6,9 @@ decreasing length go to the open bin, among those with room in every dimension,
 greatest weighted dot-product of the piece's size and its residual capacities (DOT), or the
 smallest norm of what would be left (NORM); where none has room, a bin opens.
 
-A text longer than a bin is cut into pieces of a whole bin and a remainder. Documents are split by
+A text longer than a piece may be is cut into pieces of that length and a remainder; the longest
+piece is what a bin holds by its tokens and by its attention cost alone, so every bin is within
+all three capacities. Documents are split by
 hash into groups of about GROUP pieces, which are packed independently; a group leaves at most
 a few bins part-filled.
 
@@ -40,7 +42,7 @@ DOT, NORM = "dot", "norm"
 def pack(size: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = WEIGHTS, rule: str = NORM) -> np.ndarray:
     """Bin of each piece, for pieces in the order given; size: tokens of each.
 
-    A piece alone in a bin always fits: attention capacity holds for bins of two pieces or more.
+    A piece opens a bin unchecked: pieces are cut to longest() before.
     """
     cap = np.array(capacity, float)
     w = np.array(weights)
@@ -76,13 +78,23 @@ def pack(size: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float,
     return out
 
 
+def longest(capacity: tuple[int, int, int]) -> int:
+    """Tokens of the longest piece that an empty bin has room for."""
+    most = min(int(capacity[0]), math.isqrt(int(capacity[2])))
+    if most < 1 or capacity[1] < 1:
+        raise ValueError(f"no piece fits the capacities {capacity}")
+    return most
+
+
 def _group(capacity, weights, rule):
+    most = longest(capacity)
+
     def run(part: pa.Table) -> pa.Table:
         ids, size = part.column("id").to_numpy(), part.column("n").to_numpy()
-        pieces = -(-size // capacity[0])
+        pieces = -(-size // most)
         row = np.repeat(np.arange(len(ids)), pieces)
-        start = capacity[0] * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        length = np.minimum(size[row] - start, capacity[0])
+        start = most * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        length = np.minimum(size[row] - start, most)
         order = np.lexsort((start, ids[row], -length))
         row, start, length = row[order], start[order], length[order]
         bins = pack(length, capacity, weights, rule)
@@ -102,7 +114,7 @@ def packed(docs: DataFrame, capacity: tuple[int, int, int] = (TOKENS, DOCS, ATTE
     n = F.col(f"`{length}`").cast("long") if length else tokens(F.col("text"))
     sized = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), n.alias("n"))
     sized = written(sized, "lengths").where("n > 0")  # filtered once written, so that each text is counted once
-    pieces = sized.agg(F.sum(F.ceil(F.col("n") / capacity[0]))).first()[0] or 0
+    pieces = sized.agg(F.sum(F.ceil(F.col("n") / longest(capacity)))).first()[0] or 0
     groups = max(1, math.ceil(int(pieces) / GROUP))
     grouped = sized.select("id", "n", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
     return grouped.groupBy("g").applyInArrow(_group(capacity, weights, rule), "doc_id long, start long, tokens long, bin_id long, position long")

@@ -217,6 +217,23 @@ def test_packed(spark, odd, empty, rule):
     assert {r["tokens"] for r in by} == {7}
 
 
+@pytest.mark.parametrize("rule", [packing.DOT, packing.NORM])
+def test_every_bin_is_within_all_capacities(spark, rule):
+    lengths = [1, 500, 1773, 1774, 2048, 2049, 10_000]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    bins, ends = {}, {}
+    for x in packing.packed(df, rule=rule, length="n").collect():
+        bins.setdefault(x["bin_id"], []).append(x["tokens"])
+        ends.setdefault(x["doc_id"], []).append((x["start"], x["start"] + x["tokens"]))
+    for b in bins.values():
+        assert sum(b) <= packing.TOKENS and len(b) <= packing.DOCS and sum(n * n for n in b) <= packing.ATTENTION
+    for i, n in enumerate(lengths):  # the pieces cover the text without gap or overlap
+        cuts = sorted(ends[i])
+        assert cuts[0][0] == 0 and cuts[-1][1] == n and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    with pytest.raises(ValueError):
+        packing.longest((2048, 16, 0))
+
+
 def test_lengths_are_bpe_tokens(spark):
     r = random.Random(4)
     texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(1000)), "".join(r.choice("abcdefghijklmnop") for _ in range(9000)), "plain words, 12345", " \n "]
