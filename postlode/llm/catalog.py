@@ -21,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_rollup": lambda s, d: rollup.corpus_totals(table(s, d, "documents"), table(s, d, "labels").where("toxic = 1")),
         "op8_quality": lambda s, d: quality.accepted(table(s, d, "documents"), table(s, d, "labels")),
         "op9_chat": lambda s, d: chat.formatted(table(s, d, "conversations")),
-        "op10_embeddings": lambda s, d: embeddings.pairs(table(s, d, "embeddings")),
+        "op10_embeddings": lambda s, d: embeddings.classes(table(s, d, "embeddings")),
     }
 
 

@@ -553,21 +553,58 @@ def test_chat_plain(spark):
 # 10 embeddings
 
 
-@pytest.mark.parametrize("cell,cosine", [(20, 0.95), (20, 0.6), (4000, 0.9)])
-def test_embedding_pairs(spark, monkeypatch, cell, cosine):
-    monkeypatch.setattr(embeddings, "CELL", cell)
+def _classes_slowly(items, cosine):
+    """items: distinct (id, unit vector); (id, least id of its component, number of partners) of each."""
+    near = [{j for j, (_, w) in enumerate(items) if i != j and len(v) == len(w) and v @ w >= cosine} for i, (_, v) in enumerate(items)]
+    out = []
+    for i, (name, _) in enumerate(items):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out.append((name, min(items[j][0] for j in seen), len(near[i])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk,cosine", [(40, 0.95), (25, 0.6), (90, 0.9), (10**6, 0.9)])
+def test_embedding_classes(spark, monkeypatch, chunk, cosine):
+    monkeypatch.setattr(embeddings, "CHUNK_BYTES", chunk * 8 * 16)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
     r = np.random.default_rng(2)
     base = r.standard_normal((60, 16))
-    x = np.concatenate([base, base[:40] + 0.15 * r.standard_normal((40, 16)), base[:10], base[:10] * 3, r.standard_normal((100, 16))])
+    hot = base[0] + 0.1 * r.standard_normal((60, 16))  # a third of all in one group
+    x = np.concatenate([base, base[:40] + 0.15 * r.standard_normal((40, 16)), base[:10], base[:10] * 3, hot])
     rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
-    rows += [(500, None, 1, "x"), (501, [], 1, "x"), (502, [0.0] * 16, 1, "x"), (503, [float("nan")] * 16, 1, "x"), (None, x[0].tolist(), 1, "x"), (504, [1.0, 2.0], 1, "x"), (0, x[0].tolist(), 1, "x"), (505, [None] * 16, 1, "x")]
+    nothing = [(500, None), (501, []), (502, [0.0] * 16), (503, [float("nan")] * 16), (None, x[0].tolist()), (505, [None] * 16), (506, [float("inf")] + [1.0] * 15)]
+    other = [(504, [1.0, 2.0]), (508, [2.0, 4.0]), (510, [-1.0, 2.0]), (511, [1e200, 2e200]), (512, [1e-170, 2e-170]), (0, base[1].tolist())]
+    rows += [(*t, 1, "x") for t in nothing + other] + [(0, x[0].tolist(), 1, "x")] * 2
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int, home string")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    c = u @ u.T
-    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if c[i, j] >= cosine}
-    got = [(r["vec_a"], r["vec_b"]) for r in embeddings.pairs(df, cosine).collect()]
-    assert set(got) == want and len(got) == len(want)
-    assert embeddings.pairs(df.limit(0)).count() == 0
+    unit = lambda v: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())
+    items = [(i, x[i] / np.sqrt((x[i] * x[i]).sum())) for i in range(len(x))] + [(i, unit(v)) for i, v in other]
+    got = sorted((r["vec_id"], r["class_id"], r["links"]) for r in embeddings.classes(df, cosine).collect())
+    assert got == _classes_slowly(items, cosine)
+    assert embeddings.classes(df.limit(0)).count() == 0
+
+
+def test_embedding_ties_at_the_threshold(spark):
+    v = {0: [1.0, 0.0], 1: [0.6, 0.8], 2: [0.8, 0.6], 3: [0.0, 1.0]}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>")
+    u = {i: np.float32(x).astype(float) for i, x in v.items()}
+    u = {i: x / np.sqrt((x * x).sum()) for i, x in u.items()}
+    for cosine in (float(u[0] @ u[2]), 0.96):
+        got = sorted(tuple(r) for r in embeddings.classes(df, cosine).collect())
+        assert got == _classes_slowly(sorted(u.items()), cosine)
+
+
+def test_pivots_prune_where_vectors_cluster():
+    r = np.random.default_rng(0)
+    centre = r.standard_normal((50, 32))
+    x = np.repeat(centre, 40, axis=0) + 0.05 * r.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = embeddings.planned(x, 2000, embeddings.radius(0.97), 100)
+    copies = cells.of(x)[2].sum() / len(x)
+    assert len(cells.pivots) >= 16 and copies < 1.5
 
 
 # pipeline
