@@ -459,12 +459,81 @@ def test_long_text_counts_the_same(monkeypatch):
     assert rollup.count_tokens([t])[0] == whole
 
 
-def test_corpus_totals(spark, docs, labels):
+def _signed(spark, *rows):
+    return spark.createDataFrame([(s, "en", "t", d, n, n) for s, d, n in rows], rollup.Store.schema)
+
+
+def _by_source(store):
+    return {r["source"]: (r["documents"], r["tokens"]) for r in store.totals().collect()}
+
+
+def test_fold_beside_commits(spark, tmp_path, monkeypatch):
+    s = rollup.Store(spark, f"file://{tmp_path}/store")
+    other = rollup.Store(spark, f"file://{tmp_path}/store")
+    s.commit("a", _signed(spark, ("x", 1, 10)))
+    whole = s._summed
+
+    def between(fold, batches):
+        monkeypatch.setattr(s, "_summed", whole)
+        other.commit("b", _signed(spark, ("x", 1, 1), (None, 1, 5)))
+        return whole(fold, batches)
+
+    monkeypatch.setattr(s, "_summed", between)
+    assert s.fold()
+    want = {"x": (2, 11), None: (1, 5)}
+    assert _by_source(s) == want and not s.commit("a", _signed(spark, ("x", 1, 10)))
+
+    def raced(fold, batches):
+        monkeypatch.setattr(s, "_summed", whole)
+        assert other.fold()
+        return whole(fold, batches)
+
+    monkeypatch.setattr(s, "_summed", raced)
+    assert not s.fold()  # the other took the number
+    assert _by_source(s) == want
+    for k in range(3):
+        assert s.commit(f"c{k}", _signed(spark, ("x", 1, 1))) and s.fold()
+    assert _by_source(s) == {"x": (5, 14), None: (1, 5)}
+    for batch in ("a", "b", "c0", "c2"):
+        assert not s.commit(batch, _signed(spark, ("x", 1, 10)))
+    assert len([n for n in s._names() if n.startswith("fold-")]) == 2
+
+
+def test_failed_moves_lose_nothing(spark, tmp_path, monkeypatch):
+    s = rollup.Store(spark, f"file://{tmp_path}/store")
+    s.commit("a", _signed(spark, ("x", 1, 10)))
+
+    class Fails:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            return False
+
+    fs = s._fs
+    s._fs = Fails(fs)
+    assert not s.fold() and not s.commit("b", _signed(spark, ("x", 1, 1)))
+    s._fs = fs
+    assert _by_source(s) == {"x": (1, 10)} and s.commit("b", _signed(spark, ("x", 1, 1))) and _by_source(s) == {"x": (2, 11)}
+    assert not [n for n in s._names() if n.startswith(".tmp")]
+
+
+def test_corpus_totals(spark, docs, labels, odd):
     toxic = labels.where("toxic = 1")
-    got = rollup.corpus_totals(docs, toxic)
-    left = docs.join(toxic.select("doc_id"), "doc_id", "left_anti")
-    assert got.agg(F.sum("documents")).first()[0] == left.count()
-    assert got.agg(F.sum("chars")).first()[0] == left.agg(F.sum(F.length("text"))).first()[0]
+    enc = rollup._encoding(rollup.VOCABULARY)
+    for d in (docs, odd):
+        bad = {r["doc_id"] for r in toxic.collect()}
+        want = {}
+        for r in d.collect():
+            if r["doc_id"] not in bad:
+                k = want.setdefault((r["source"], r["lang"]), [0, 0, 0])
+                for i, n in enumerate((1, len(enc.encode_ordinary(r["text"] or "")), len(r["text"] or ""))):
+                    k[i] += n
+        got = {(r["source"], r["lang"]): [r["documents"], r["tokens"], r["chars"]] for r in rollup.corpus_totals(d, toxic).collect()}
+        assert got == want
 
 
 # 8 quality
