@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op10_embeddings": embeddings.SQL}
+    return {"op6_mixing": mixing.SQL, "op9_chat": chat.SQL, "op10_embeddings": embeddings.SQL}

@@ -579,9 +579,102 @@ def test_order():
 
 def test_valid():
     s = chat.TOOLS["search"]
-    assert chat.valid({"query": "x", "limit": 3}, s)
-    for bad in ({}, {"query": ""}, {"query": 1}, {"query": "x", "limit": 0}, {"query": "x", "limit": True}, {"query": "x", "more": 1}, []):
+    assert chat.valid({"query": "x", "limit": 3}, s) and chat.valid({"query": "x", "limit": 3.0}, s)
+    for bad in ({}, {"query": ""}, {"query": 1}, {"query": "x", "limit": 0}, {"query": "x", "limit": True}, {"query": "x", "limit": math.inf}, {"query": "x", "limit": math.nan}, {"query": "x", "more": 1}, []):
         assert not chat.valid(bad, s)
+    either = {"type": ["integer", "null"], "minimum": 2}
+    assert chat.valid(None, either) and chat.valid(2, either) and not chat.valid(1, either) and not chat.valid("2", either)
+    assert chat.valid(True, {"const": True}) and not chat.valid(1, {"const": True}) and not chat.valid(True, {"enum": [1]})
+    assert not chat.valid({"x": 1}, {"additionalProperties": {"type": "string"}}) and not chat.valid([1, "a"], {"items": {"type": "number"}})
+    for odd in ({"pattern": "x"}, {"type": "date"}, {"properties": {"a": {"oneOf": []}}}, {"items": 5}):
+        with pytest.raises(ValueError):
+            chat.known(odd)
+
+
+def test_forms_of_calls():
+    of = lambda *c: chat.calls_of({"tool_calls": list(c)})
+    same = of({"id": "1", "name": "f", "arguments": {"a": 1}}, {"id": 1, "type": "function", "function": {"name": "f", "arguments": '{"a":1}'}})
+    assert same[0] == same[1] and same[0]["arguments"] == '{"a":1}' and not same[0]["malformed"]
+    for bad in ({"name": "f"}, {"id": "", "name": "f"}, {"id": "x"}, {"id": True, "name": "f"}, 7, None, {"id": "x", "function": {}}):
+        (c,) = of(bad)
+        assert c["malformed"] and json.loads(c["arguments"]) == bad
+    deep = '{"a":' * 5000 + "1" + "}" * 5000
+    for text in ('{"x": NaN}', '{"x": 1e999}', '{"x": -Infinity}', deep, '{"x": "\\ud800"}', "[1]", "{", ""):
+        assert chat._object(text) is None
+    (c,) = of({"id": "1", "name": "f", "arguments": '{"limit": 1e999}'})
+    assert json.loads(c["arguments"]) == '{"limit": 1e999}'
+
+
+def _chat_slowly(turns, tools):
+    """One conversation's turns (turn, role, text) by plain loops: statuses by order of output, messages, orphans."""
+    turns = sorted(((-(2**62) if t is None else t), r or "", x or "") for t, r, x in turns)
+    calls, results, first = [], {}, {}
+    for n, (_, role, text) in enumerate(turns):
+        v = chat._object(text)
+        if role == "assistant" and v is not None and isinstance(v.get("tool_calls"), list):
+            calls += [(n, c) for c in chat.calls_of(v)]
+        if role == "tool" and v is not None and "tool_call_id" in v:
+            results.setdefault(v["tool_call_id"], []).append(n)
+    for i, (n, c) in enumerate(calls):
+        if not c["malformed"]:
+            first.setdefault(c["id"], i)
+    done, order = set(), []
+    while True:
+        free = [i for i, (_, c) in enumerate(calls) if i not in order and all(first[x] in order for x in c["needs"] if x in first)]
+        if not free:
+            break
+        order.append(min(free))
+    before = len(order)
+    order += [i for i in range(len(calls)) if i not in order]
+    out = []
+    for place, i in enumerate(order):
+        n, c = calls[i]
+        head = not c["malformed"] and first[c["id"]] == i
+        answered = head and c["id"] in results
+        status = (
+            "malformed" if c["malformed"] else "duplicate" if not head else "cyclic" if place >= before else "unknown_tool" if c["name"] not in tools
+            else "invalid_arguments" if not chat.valid(json.loads(c["arguments"]), tools[c["name"]]) else "ok" if answered else "unanswered"
+        )
+        out.append((c["id"], n, status, results[c["id"]][0] if answered else None))
+    used = {m for *_, m in out if m is not None}
+    orphans = sum(len(v) for k, v in results.items() if k not in first)
+    return out, [n for n in range(len(turns)) if n not in used], orphans
+
+
+def test_random_conversations_against_loops(spark):
+    r = random.Random(8)
+    rows = []
+    for conv in range(60):
+        for _ in range(r.randrange(1, 9)):
+            turn = r.choice([None, 0, 1, 2, 3, 4, 5])
+            if r.random() < 0.5:
+                calls = []
+                for _ in range(r.randrange(0, 4)):
+                    i, needs = r.choice("abcdef"), r.sample("abcdefg", r.randrange(0, 3))
+                    form = r.random()
+                    arguments = {"query": r.choice(["x", "$" + r.choice("abc"), ""])} if form < 0.8 else {"limit": r.choice([1, 2.5, None])}
+                    c = {"id": i, "name": r.choice(["search", "search", "nope"]), "arguments": arguments, "depends_on": needs}
+                    calls.append(c if form < 0.6 else {"id": i, "function": {"name": c["name"], "arguments": json.dumps(arguments)}} if form < 0.9 else {"name": "x"})
+                rows.append((conv, turn, "assistant", json.dumps({"content": "c", "tool_calls": calls})))
+            else:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice("abcdefg"), "content": str(r.random())})))
+    df = spark.createDataFrame([(*x, "z", 1) for x in rows], "conv_id long, turn long, role string, text string, calls string, n int")
+    seen = Counter()
+    for g in chat.formatted(df).collect():
+        want, kept, orphans = _chat_slowly([x[1:] for x in rows if x[0] == g["conv_id"]], chat.TOOLS)
+        got = json.loads(g["formatted"])
+        assert [(c["id"], c["turn"], c["status"], "result" in c) for c in got["tool_calls"]] == [(i, n, s, m is not None) for i, n, s, m in want]
+        assert (len(got["messages"]), g["orphan_results"], g["faulty_calls"]) == (len(kept), orphans, sum(s != "ok" for _, _, s, _ in want))
+        seen.update(s for _, _, s, _ in want)
+    assert len(seen) == 7
+
+
+def test_unsound_values_don_t_end_the_job(spark):
+    texts = ['{"tool_calls":[{"id":"a","name":"search","arguments":{"query":"x","limit":1e999}}]}', '{"tool_calls":[{"id":"a","name":"search","arguments":{"query":"x","limit":NaN}}]}', '{"tool_calls":[{"id":"a","name":"search","arguments":"{\\"query\\":\\"x\\",\\"limit\\":1e999}"}]}', '{"a":' * 2000 + "1" + "}" * 2000]
+    df = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: json.loads(r["formatted"], parse_constant=chat._no_constant) for r in chat.formatted(df, {**chat.TOOLS, "more": {"type": ["object", "null"]}}).collect()}
+    assert [m["content"] for i in (0, 1, 3) for m in got[i]["messages"]] == [texts[0], texts[1], texts[3]]
+    assert [c["status"] for c in got[2]["tool_calls"]] == ["invalid_arguments"]
 
 
 def test_chat(spark):
