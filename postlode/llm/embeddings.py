@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..ship import ship
-from ._shared import dropped, written
+from ._shared import Forest, dropped, written
 from .simhash import components
 
 COSINE = 0.95
@@ -183,28 +183,6 @@ def _assign(cells: dict[int, Cells], chunks: dict[int, tuple[np.ndarray, np.ndar
     return run
 
 
-class _Forest:
-    """Connected groups of the numbers below n."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            x, y = self.root[i], self.root[j]
-            some = x != y
-            if not some.any():
-                return
-            i, j = i[some], j[some]
-            x, y = np.minimum(x[some], y[some]), np.maximum(x[some], y[some])
-            np.minimum.at(self.root, y, x)
-            while True:
-                up = self.root[self.root]
-                if (up == self.root).all():
-                    break
-                self.root = up
-
-
 def _join(r: float, cosine: float):
     """node, links (partners by weight), root (a node of its group) of the vectors of a task that have partners in it."""
 
@@ -215,7 +193,7 @@ def _join(r: float, cosine: float):
         left, far, node, weight, v = left[order], far[order], node[order], weight[order], v[order]
         n, own = len(node), int(left.sum())
         one = part.column("a")[0].as_py() == part.column("b")[0].as_py()
-        links, forest = np.zeros(n, np.int64), _Forest(n)
+        links, forest = np.zeros(n, np.int64), Forest(n)
         for a in range(0, own, BLOCK):
             e = min(a + BLOCK, own)
             for b in range(a, own, BLOCK) if one else range(own, n, BLOCK):

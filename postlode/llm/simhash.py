@@ -1,16 +1,23 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-A document's signature has 256 bits over its set of words. The first 128 are searched: two
-documents are candidates within BUDGET differing bits there, and duplicates if at most
+A document's signature has 256 bits over its set of words, all of them. The first 128 are searched:
+two documents are candidates within BUDGET differing bits there, and duplicates if at most
 FULL_BUDGET of all 256 differ. Any pair within BUDGET spends no more than its share of errors in
 one of six blocks (the shares sum to BUDGET - 5), so six tries, each with another block's bits on
 top, find every pair exactly: node pairs descend together, add up the bits that differ, and end
-where a share is exceeded. Tries are cut at depth p into cells that join independently; a
-signature goes to each cell whose p bits are within the share of its own.
+where a share is exceeded.
+
+Tries are cut at depth p into cells that join independently; a signature goes to each cell whose p
+bits are within the share of its own. A cell of more than HOME signatures of its own, or GUESTS of
+others, is cut into chunks, each two of which meet in a task of their own. A task returns no pairs
+but, for each of its signatures, the number of its partners there and one signature of its
+connected group there, so a group of any size gives as many rows as it has members.
 
 Defined cases: null ids, and texts without a word (null, empty, punctuation only), belong to no
-group; rows that repeat a doc_id are one document for grouping; documents of equal word sets are
-equal signatures; an empty table gives no rows; columns other than doc_id and text are not read.
+group; rows that repeat doc_id and text are one document; a doc_id whose rows hold different texts
+is one document for each text; documents of equal word sets have equal signatures; the document of
+the least doc_id (of one doc_id, the least hash of the text) of a group is the one kept; an empty
+table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,18 +28,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import _text
-from ._shared import dropped, written
+from ._shared import Forest, dropped, fresh, written
 
 BUDGET, FULL_BUDGET = 19, 38
 #: (first bit, bits, errors it may hold) of each block of the searched 128 bits.
 BLOCKS = ((0, 22, 3), (22, 22, 3), (44, 21, 2), (65, 21, 2), (86, 21, 2), (107, 21, 2))
-LONG_WORD = 4
 LANES = 240
+#: Signatures of a task: of the cell's own, and of others.
+HOME, GUESTS = 1 << 17, 1 << 18
+#: Tries are cut at this depth at least, so that cells are as many as cores, and at most at all bits of a block.
+SHALLOWEST, DEEPEST = 3, 21
+SALTS = 32
+BITS = ["s0", "s1", "s2", "s3"]
 
 assert sum(e + 1 for *_, e in BLOCKS) > BUDGET
 
@@ -51,13 +63,9 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     out, has = np.zeros((n, 4), np.uint64), np.zeros(n, bool)
     for a, b in _text.slices(texts):
-        h, row, length = _text.words(texts.slice(a, b - a))
+        h, row, _ = _text.words(texts.slice(a, b - a))
         if not len(h):
             continue
-        long = length >= LONG_WORD
-        enough = np.bincount(row[long], minlength=b - a) >= 3
-        keep = long | ~enough[row]
-        h, row = h[keep], row[keep]
         own = _text.mix(h ^ _text.mix(row.astype(np.uint64), 5))
         _, first = np.unique(own, return_index=True)
         first.sort()
@@ -81,16 +89,16 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig, has = signatures(_text.as_strings(batch.column(1)))
-        cols = [pa.array(np.ascontiguousarray(sig[has, j]).view(np.int64)) for j in range(4)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has)), *cols], names=["doc_id", "s0", "s1", "s2", "s3"])
+        sig, has = signatures(_text.as_strings(batch.column(2)))
+        cols = [pa.array(np.ascontiguousarray(sig[:, j]).view(np.int64), mask=~has) for j in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "t", *BITS])
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id and its signature s0..s3."""
+    """doc_id, t (hash of the text) and the signature s0..s3 (null: no word) of every row with a doc_id."""
     ship(docs.sparkSession)
-    narrow = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return narrow.mapInArrow(_sign, "doc_id long, s0 long, s1 long, s2 long, s3 long")
+    narrow = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return narrow.mapInArrow(_sign, "doc_id long, t long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _rotated(hi: np.ndarray, lo: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +117,8 @@ def _ranges(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def trie_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, bits: int, share: int, budget: int = BUDGET, small: int = 32, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i of a, j of b) of the pairs within share in the first bits and budget in all 128.
+def trie_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, bits: int, share: int, budget: int = BUDGET, small: int = 32, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i of a, j of b) of the pairs within share in the first bits and budget in all 128, in portions.
 
     a and b: (high, low) 64 bits, each sorted by high. Without b: pairs i < j of a. A node is a
     range of the sorted signatures; at most ``most`` node pairs are taken down together.
@@ -128,7 +136,6 @@ def trie_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
     za = zeros_of(a)
     zb = za if self_join else zeros_of(b)
-    found_i, found_j = [], []
 
     def compare(al, ah, bl, bh):
         """All pairs of each two ranges, in portions."""
@@ -149,8 +156,8 @@ def trie_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
             ok = e <= share
             i, j, x = i[ok], j[ok], x[ok]
             ok = np.bitwise_count(x).astype(np.int16) + np.bitwise_count(a[1][i] ^ b[1][j]) <= budget
-            found_i.append(i[ok])
-            found_j.append(j[ok])
+            if ok.any():
+                yield i[ok], j[ok]
             start = stop
 
     z = np.zeros(1, np.int64)
@@ -159,7 +166,7 @@ def trie_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
         d, al, ah, bl, bh, err = stack.pop()
         done = ((ah - al) * (bh - bl) <= small) | (d == bits)
         if done.any():
-            compare(al[done], ah[done], bl[done], bh[done])
+            yield from compare(al[done], ah[done], bl[done], bh[done])
             al, ah, bl, bh, err = (v[~done] for v in (al, ah, bl, bh, err))
         if not len(al):
             continue
@@ -171,8 +178,6 @@ def trie_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
         live = (err <= share) & (ah > al) & (bh > bl)
         al, ah, bl, bh, err = (v[live] for v in (al, ah, bl, bh, err))
         stack += [(d + 1, *(v[s : s + most] for v in (al, ah, bl, bh, err))) for s in range(0, len(al), most)]
-    cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    return cat(found_i), cat(found_j)
 
 
 def _first_block(x: np.ndarray, y: np.ndarray, r: int) -> np.ndarray:
@@ -184,60 +189,107 @@ def _first_block(x: np.ndarray, y: np.ndarray, r: int) -> np.ndarray:
     return first
 
 
-def _cell(depth: int):
-    def join(cell: pa.Table) -> pa.Table:
-        r = cell.column("cell")[0].as_py() >> 20
-        at, bits, share = BLOCKS[r]
-        ids = cell.column("id").to_numpy()
-        hi, lo = (cell.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-        home = cell.column("home").to_numpy()
-        top, rest = _rotated(hi, lo, at)
-        sides = []
-        for part in (np.flatnonzero(home), np.flatnonzero(~home)):
-            part = part[np.argsort(top[part], kind="stable")]
-            sides.append((part, (top[part], rest[part])))
-        (own, a), (guest, b) = sides
-        i, j = trie_pairs(a, None, bits, share)
-        k, m = trie_pairs(a, b, bits, share)
-        i, j = np.concatenate([own[i], own[k]]), np.concatenate([own[j], guest[m]])
-        first = _first_block(hi[i] ^ hi[j], lo[i] ^ lo[j], r)
-        i, j = ids[i[first]], ids[j[first]]
-        return pa.table({"x": np.minimum(i, j), "y": np.maximum(i, j)})
-
-    return join
-
-
-def _cells_of(top: Column, r: int, masks: list[int]) -> Column:
-    """Array of (cell, home) of a signature whose top bits of block r are ``top``: its own cell, and the lower ones near."""
-    near = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: top.bitwiseXOR(m))
-    return F.transform(F.filter(near, lambda c: c <= top), lambda c: F.struct((c + F.lit(r << 20)).alias("cell"), (c == top).alias("home")))
-
-
-def hamming_pairs(signed: DataFrame, n: int) -> DataFrame:
-    """x < y of all doc_ids in signed (distinct signatures) within BUDGET and FULL_BUDGET.
-
-    n: rows of signed, for the depth of the cells: about 2^16 signatures at home in one.
-    """
-    depth = min(16, max(5, math.ceil(math.log2(max(n, 1) / 65536))))
-    masks = {e: sorted(sum(1 << c for c in combo) for k in range(e + 1) for combo in combinations(range(depth), k)) for e in {e for *_, e in BLOCKS}}
-    per_block = []
-    for r, (at, _, share) in enumerate(BLOCKS):
-        # the top bits of block r, from the two signed longs
-        if at + depth <= 64:
-            top = F.shiftrightunsigned("s0", 64 - at - depth)
-        elif at >= 64:
-            top = F.shiftrightunsigned("s1", 128 - at - depth)
-        else:
-            top = F.shiftleft("s0", at + depth - 64).bitwiseOR(F.shiftrightunsigned("s1", 128 - at - depth))
-        top = top.bitwiseAND(F.lit((1 << depth) - 1))
-        per_block.append(_cells_of(top, r, masks[share]))
-    spread = signed.select(F.col("doc_id").alias("id"), F.col("s0").alias("a"), F.col("s1").alias("b"), F.explode(F.concat(*per_block)).alias("c"))
-    pairs = spread.select("c.cell", "c.home", "id", "a", "b").groupBy("cell").applyInArrow(_cell(depth), "x long, y long")
-    rest = signed.select("doc_id", "s0", "s1", "s2", "s3")
-    left = rest.toDF("x", "x0", "x1", "x2", "x3")
-    right = rest.toDF("y", "y0", "y1", "y2", "y3")
-    differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(4)), F.lit(0))
-    return pairs.join(left, "x").join(right, "y").where(differ <= FULL_BUDGET).select("x", "y")
+def masks(depth: int) -> dict[int, np.ndarray]:
+    """For each share of errors, the differences of the first bits that it allows; 0 first."""
+    return {e: np.array([sum(1 << c for c in combo) for k in range(e + 1) for combo in combinations(range(depth), k)]) for e in {e for *_, e in BLOCKS}}
+
+
+def _tops(sig: list[np.ndarray], depth: int) -> list[np.ndarray]:
+    """The first bits of each block."""
+    return [(_rotated(sig[0], sig[1], at)[0] >> np.uint64(64 - depth)).astype(np.int64) for at, *_ in BLOCKS]
+
+
+def _sig(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy().view(np.uint64) for c in BITS]
+
+
+def _home_counts(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((len(BLOCKS), 1 << depth), np.int64)
+        for batch in batches:
+            for r, top in enumerate(_tops(_sig(batch), depth)):
+                count[r] += np.bincount(top, minlength=1 << depth)
+        r, cell = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(count[r, cell])], names=["r", "cell", "n"])
+
+    return run
+
+
+def chunks_of(home: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of own signatures, and of others, of each block and cell, from the cells' counts of own ones."""
+    own, guests = np.ceil(home / HOME).astype(np.int32), np.zeros_like(home)
+    cell = np.arange(1 << depth)
+    for r, (*_, share) in enumerate(BLOCKS):
+        for m in masks(depth)[share][1:]:
+            other = cell ^ m
+            guests[r] += np.where(other > cell, home[r][other], 0)
+    return np.maximum(own, 1), np.ceil(guests / GUESTS).astype(np.int32)
+
+
+def _tasks(depth: int, sent):
+    """Each signature for the tasks that need it; a pair of cells meets in the lesser of the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, guests = sent.value
+        near = masks(depth)
+        for batch in batches:
+            mixed = _text.mix(batch.column(0).to_numpy().view(np.uint64), 3) >> np.uint64(1)
+            for r, top in enumerate(_tops(_sig(batch), depth)):
+                cell = top[:, None] ^ near[BLOCKS[r][2]]
+                i, k = np.nonzero(cell <= top[:, None])
+                cell, home = cell[i, k], k == 0
+                h, g = own[r][cell], guests[r][cell]
+                mine = (mixed[i] % np.where(home, h, np.maximum(g, 1)).astype(np.uint64)).astype(np.int64) + np.where(home, 0, h)
+                # a chunk at home meets itself, the others at home, and all of guests; one of guests all at home
+                which, o = _ranges(np.where(home, h + g, h))
+                a, b = np.minimum(mine[which], o), np.maximum(mine[which], o)
+                task = ((np.int64(r) << 21 | cell[which]) << 40) | a << 20 | b
+                for s in range(0, len(which), 1 << 15):
+                    w = which[s : s + (1 << 15)]
+                    rows = batch.take(pa.array(i[w]))
+                    yield pa.RecordBatch.from_arrays([pa.array(task[s : s + (1 << 15)]), pa.array(mine[w] == a[s : s + (1 << 15)]), *rows.columns], names=["task", "own", *rows.schema.names])
+
+    return run
+
+
+def _join(task: pa.Table) -> pa.Table:
+    """node, links, root of the signatures of a task that have partners in it."""
+    key = task.column("task")[0].as_py() & (2**64 - 1)
+    r = key >> 61
+    at, bits, share = BLOCKS[r]
+    node, weight, own = (task.column(c).to_numpy() for c in ("node", "weight", "own"))
+    sig = _sig(task)
+    top, rest = _rotated(sig[0], sig[1], at)
+    sides = []
+    for part in (np.flatnonzero(own), np.flatnonzero(~own)):
+        part = part[np.argsort(top[part], kind="stable")]
+        sides.append((part, (top[part], rest[part])))
+    (left, a), (right, b) = sides
+    alone = key >> 20 & (2**20 - 1) == key & (2**20 - 1)
+    links, forest = np.zeros(len(node), np.int64), Forest(len(node))
+    for i, j in trie_pairs(a, None if alone else b, bits, share):
+        i, j = left[i], left[j] if alone else right[j]
+        x = [s[i] ^ s[j] for s in sig]
+        ok = _first_block(x[0], x[1], r) & (sum(np.bitwise_count(d).astype(np.int16) for d in x) <= FULL_BUDGET)
+        i, j = i[ok], j[ok]
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
+        forest.add(i, j)
+    some = links > 0
+    return pa.table({"node": node[some], "links": links[some], "root": node[forest.root[some]]})
+
+
+def met(nodes: DataFrame, n: int) -> DataFrame:
+    """node, links, root: partial counts of partners (by weight), and of each a member of its group, of the n distinct signatures in nodes (node, weight, s0..s3)."""
+    depth = min(DEEPEST, max(SHALLOWEST, math.ceil(math.log2(max(n, 1) / HOME))))
+    home = np.zeros((len(BLOCKS), 1 << depth), np.int64)
+    # a row a cell, of which there are about n / HOME in each block
+    for batch in nodes.select(*BITS).mapInArrow(_home_counts(depth), "r int, cell int, n long").groupBy("r", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        home[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
+    sent = nodes.sparkSession.sparkContext.broadcast(chunks_of(home, depth))  # 8 bytes a cell and block
+    narrow = nodes.select("node", "weight", *BITS)
+    tasks = narrow.mapInArrow(_tasks(depth, sent), "task long, own boolean, node long, weight long, s0 long, s1 long, s2 long, s3 long")
+    return tasks.groupBy("task").applyInArrow(_join, "node long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,26 +317,59 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def grouped(items: DataFrame) -> DataFrame:
+    """doc_id, t, group_id, keep, links of the documents in items (doc_id, t, s0..s3; each once) that have a near copy."""
+    # documents of equal signatures are one node; salted, as a third of all may be copies of one
+    salt = F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)).alias("salt")
+    signed = items.where("s0 is not null")
+    some = signed.groupBy(*BITS, salt).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t")).alias("least"))
+    nodes = some.groupBy(*BITS).agg(F.sum("c").alias("weight"), F.min("least").alias("least"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), *BITS, "weight", "least"), "signatures")
+    near = written(met(nodes, nodes.count()), "near")
+    links = near.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(near.select(F.col("node").alias("x"), F.col("root").alias("y"))).withColumnRenamed("id", "node")
+    found = nodes.join(links, "node", "left").join(roots, "node", "left").where("links is not null or weight > 1")
+    found = found.select(*BITS, "weight", "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    first = found.groupBy("root").agg(F.min("least").alias("first"))
+    known = found.join(first, "root").select(*BITS, "first", (F.col("links") + F.col("weight") - 1).alias("links"))
+    spread = some.select(*BITS, "salt").join(known, BITS)
+    out = signed.select("doc_id", "t", *BITS, salt).join(spread, [*BITS, "salt"])
+    out = written(out.select("doc_id", "t", F.col("first.doc_id").alias("group_id"), (F.struct("doc_id", "t") == F.col("first")).alias("keep"), "links"), "groups")
+    for x in (nodes, near):
+        dropped(x)
+    return out
+
+
+def _items(docs: DataFrame) -> DataFrame:
+    """doc_id, t, s0..s3, rows: each document once, and how many rows it has."""
+    return written(sign(docs).groupBy("doc_id", "t", *BITS).agg(F.count("*").alias("rows")), "items")
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (least doc_id of the group), keep (is that one), for documents that have a near copy."""
-    signed = written(sign(docs), "signatures")
-    bits = ["s0", "s1", "s2", "s3"]
-    reps = written(signed.groupBy(*bits).agg(F.min("doc_id").alias("doc_id")), "representatives")
-    pairs = hamming_pairs(reps, reps.count())
-    same = signed.join(reps.withColumnRenamed("doc_id", "y"), bits).where("doc_id <> y").select(F.col("doc_id").alias("x"), "y")
-    found = components(pairs.unionByName(same))
-    return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("keep"))
+    """doc_id, group_id (least doc_id of the group), keep (is the one kept), links (near copies that it has), for documents that have a near copy."""
+    items = _items(docs)
+    out = grouped(items).drop("t")
+    dropped(items)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose group keeps another; of rows that repeat a doc_id, one stays.
+    """docs without the documents whose group keeps another; of rows that repeat doc_id and text one stays, the least as JSON.
 
     Rows of null doc_id stay.
     """
-    gone = groups(docs).where("not keep").select(F.col("doc_id").alias("__gone"))
-    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    items = _items(docs)
+    a, b = fresh(docs, "a", "b")
+    own = [F.col("doc_id").cast("long"), F.xxhash64("text")]
+
+    def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias(a), F.col("t").alias(b))
+        return rows.join(some, (own[0] == F.col(a)) & (own[1] == F.col(b)), how)
+
+    left = among(docs, grouped(items).where("not keep"), "left_anti")
+    repeated = items.where("rows > 1")
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(again)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = among(left, repeated, "left_semi").groupBy(own[0].alias(a), own[1].alias(b)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return among(left, repeated, "left_anti").unionByName(one)
