@@ -74,6 +74,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end]."""
+    value, _ = _byte_tables()
+    up, down = _powers(len(data))
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(value[data] * up, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text's row, length in bytes) of each word in order.
 
@@ -84,7 +94,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value, is_word = _byte_tables()
+    _, is_word = _byte_tables()
     inside = is_word[data]
     before = np.empty(n, bool)
     before[0] = False
@@ -98,11 +108,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = offsets[1:][offsets[1:] > 0] - 1
     after[last] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(value[data] * up, out=total[1:])
-    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+    h = spans(data, starts, ends)
     return h, np.searchsorted(offsets, starts, "right") - 1, ends - starts
 
 

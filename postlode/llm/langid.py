@@ -2,14 +2,21 @@
 
 The network reads windows of WINDOW bytes in both directions, labels every byte position, and a
 document's probabilities are the means of its positions' probabilities over the whole text (and
-PRIOR positions of even odds). It is
-trained in numpy by backpropagation through time on a bounded sample of labelled documents
-(``train_docs`` for each language, taken in the order of a hash of doc_id).
+PRIOR positions of even odds, so that a few bytes decide little). A document is rejected where the
+best language exceeds the one that it claims by more than MARGIN.
+
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled
+windows: ``train_windows`` for each language, those of least hash among all different windows of
+all labelled texts, whatever their lengths; half of them are cut to lengths down to 3 bytes, as
+texts may be short, and batches hold all languages alike. The sample takes one scan to count
+windows by language and one to pick them (another only for a language whose windows mostly
+repeat), however many languages there are.
 
 Defined cases: a null or empty text has no positions, so its language is null and it is rejected;
-a document whose ``lang`` is null is kept if its language is certain enough; a table without
-labelled text rejects all documents; an empty table gives no rows; rows that repeat are judged
-alike; other columns are passed on and never read.
+a document whose ``lang`` is null is kept if the best language's probability is at least CERTAIN;
+one whose ``lang`` is only on empty texts is of an unknown language; a table without labelled text
+rejects all documents; an empty table gives no rows; rows that repeat are judged alike; other
+columns are passed on and never read.
 """
 
 from __future__ import annotations
@@ -20,17 +27,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
 from . import _text
+from ._shared import fresh
 
 WINDOW, HIDDEN, EMBED = 128, 12, 8
-LEAST = 0.1
-#: Positions of even odds that every text has besides its own, so that a few bytes decide nothing.
-PRIOR = 48
+MARGIN, CERTAIN = 0.2, 0.5
+PRIOR = 8
 BATCH_BYTES = 384 << 10
+TRAIN_WINDOWS = 1440
 
 
 class BiGRU:
@@ -46,8 +55,10 @@ class BiGRU:
             self.p[f"cand_{d}"] = w(HIDDEN, EMBED + HIDDEN + 1)
 
     def _direction(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states (time, HIDDEN, windows) of direction d over bytes x (time, windows)."""
+        """Hidden states (time, HIDDEN, windows) of direction d over bytes x (time, windows); 0 at padding, so that it has no say."""
         steps, n = x.shape
+        real = x < 256
+        whole = real.all(axis=1)
         gate, cand, emb = self.p[f"gate_{d}"], self.p[f"cand_{d}"], self.p["emb"]
         half = gate * np.float32(0.5)  # sigmoid(a) = (tanh(a / 2) + 1) / 2
         hs, saved = np.empty((steps, HIDDEN, n), np.float32), []
@@ -72,6 +83,8 @@ class BiGRU:
             np.subtract(c, h, out=t)
             t *= z
             h = np.add(h, t, out=hs[s])
+            if not whole[s]:
+                h *= real[s]
         return hs, saved
 
     def forward(self, x: np.ndarray, keep: bool = False):
@@ -90,7 +103,7 @@ class BiGRU:
         gate, cand = self.p[f"gate_{d}"], self.p[f"cand_{d}"]
         dh = np.zeros_like(dh_at[0])
         for s, u1, u2, h, a, c in reversed(saved):
-            dh = dh + dh_at[s]
+            dh = (dh + dh_at[s]) * (x[s] < 256)
             z, r = a[:HIDDEN], a[HIDDEN:]
             dc = dh * z * (1 - c * c)
             dz = dh * (c - h) * z * (1 - z)
@@ -125,9 +138,11 @@ class BiGRU:
     def fit(self, x: np.ndarray, label: np.ndarray, steps: int, batch: int = 192, rate: float = 0.012, seed: int = 3) -> float:
         """Adam over random batches of windows (columns of x); returns the last loss."""
         r, loss = np.random.default_rng(seed), 0.0
+        share = 1.0 / np.bincount(label)[label]
+        share /= share.sum()  # languages alike, whatever their numbers of windows
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
         for i in range(1, steps + 1):
-            pick = r.choice(x.shape[1], min(batch, x.shape[1]), replace=False)
+            pick = r.choice(x.shape[1], batch, p=share)
             loss, g = self.gradients(x[:, pick], label[pick])
             norm = np.sqrt(sum(float((w * w).sum()) for w in g.values()))
             lr = rate * min(1.0, 2 * (steps - i + 1) / steps)
@@ -155,7 +170,7 @@ class BiGRU:
                 s, e, w = start[k : k + most], stop[k : k + most], row[k : k + most]
                 at = s + np.arange(WINDOW)[:, None]
                 inside = at < e
-                x = np.where(inside, data[np.minimum(at, len(data) - 1)], 256)
+                x = np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16), np.int16(256))
                 y = self.forward(x)
                 pooled = np.einsum("tln,tn->nl", y, inside.astype(np.float32))
                 np.add.at(total, w, pooled)
@@ -165,45 +180,82 @@ class BiGRU:
         return out
 
 
-def _windows(texts: list[str], per_text: int) -> np.ndarray:
-    """Up to per_text evenly spread windows of each text: (WINDOW, windows)."""
-    cols = []
-    for t in texts:
-        data = np.frombuffer(t.encode(), np.uint8).astype(np.int64)
-        n = -(-len(data) // WINDOW)
-        for k in sorted({int(i) for i in np.linspace(0, n - 1, min(per_text, n))}) if n else ():
-            col = np.full(WINDOW, 256)
-            part = data[k * WINDOW : (k + 1) * WINDOW]
-            if len(cols) % 2:  # every other window is cut, for short texts
-                part = part[: 16 + (len(cols) * 37) % (WINDOW - 16)]
-            col[: len(part)] = part
-            cols.append(col)
-    return np.stack(cols, axis=1) if cols else np.zeros((WINDOW, 0), np.int64)
-
-
-def training_rows(docs: DataFrame, train_docs: int) -> dict[str, list[str]]:
-    """Texts by language: up to train_docs of each, least hash of doc_id first. Only they reach the driver."""
-    labelled = docs.where("doc_id is not null and lang is not null and length(text) >= 64").select("doc_id", "lang", "text")
-    order = F.struct(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
-    chosen: dict[str, list[str]] = {}
-    for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():
-        # the share of hashes that holds about twice the sample, so that the sort is small
-        share = min(1.0, 2.0 * train_docs / r["n"] + 50.0 / r["n"])
-        edge = int(-(2**63) + share * (2**64 - 1))
-        top = labelled.where(F.col("lang") == r["lang"]).where(order["h"] <= F.lit(min(edge, 2**63 - 1))).orderBy(order).limit(train_docs)
-        chosen[r["lang"]] = [x["text"] for x in top.select("text").collect()]
-    return chosen
-
-
-def train(docs: DataFrame, train_docs: int = 240, windows: int = 6, steps: int = 360) -> BiGRU | None:
+def windows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, text, start, end) of the windows of whole texts, with starts and ends in raw(texts)'s bytes; some MB at a time."""
+    data, offsets = _text.raw(texts)
+    size = np.diff(offsets)
+    count = (size + WINDOW - 1) // WINDOW
+    row = np.repeat(np.arange(len(size)), count)
+    start = offsets[row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    end = np.minimum(start + WINDOW, offsets[row + 1])
+    step = (1 << 20) // WINDOW
+    for k in range(0, len(row), step):
+        s, e, w = start[k : k + step], end[k : k + step], row[k : k + step]
+        part = data[s[0] : e[-1]]
+        yield _text.spans(part, s - s[0], e - s[0]), w, s, e
+
+
+def _picked(edges: dict[str, int]):
+    """lang, h, w: the different windows whose hashes are at most their language's edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(edges), pa.string())
+        most = np.array([*edges.values(), -(2**63)], np.int64)
+        for batch in batches:
+            texts, langs = _text.as_strings(batch.column(1)), batch.column(0)
+            at = pc.fill_null(pc.index_in(langs, names), len(edges)).to_numpy(zero_copy_only=False)
+            data, _ = _text.raw(texts)
+            for h, row, start, end in windows(texts):
+                h = h.view(np.int64)
+                some = np.flatnonzero(h <= most[at[row]])
+                some = some[np.unique(h[some], return_index=True)[1]]  # one text is in one language, and so are its windows
+                cut = [data[s:e].tobytes() for s, e in zip(start[some], end[some], strict=True)]
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[some])), pa.array(h[some]), pa.array(cut, pa.binary())], names=["lang", "h", "w"])
+
+    return run
+
+
+def training_windows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> dict[str, list[bytes]]:
+    """Windows by language: up to ``most`` different ones of each, least hash first. Only they reach the driver."""
+    ship(docs.sparkSession)
+    labelled = docs.where("lang is not null and text <> ''").select(F.col("lang").cast("string").alias("lang"), "text")
+    size = F.ceil(F.octet_length("text") / WINDOW)
+    count = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(size).alias("n")).collect()}  # a row a language
+    chosen: dict[str, list[bytes]] = {}
+    share = {k: (4 * most + 200) / n for k, n in count.items()}
+    while share:
+        edges = {k: min(2**63 - 1, int(-(2**63) + v * 2**64)) for k, v in share.items()}
+        rows = labelled.where(F.col("lang").isin(list(edges))) if len(edges) < len(count) else labelled
+        some = rows.mapInArrow(_picked(edges), "lang string, h long, w binary").dropDuplicates(["lang", "h"])
+        first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+        found: dict[str, list[bytes]] = {k: [] for k in edges}
+        for r in some.withColumn("i", first).where(F.col("i") <= most).orderBy("lang", "h").select("lang", "w").collect():
+            found[r["lang"]].append(bytes(r["w"]))
+        # a language whose windows repeat has fewer different ones below its edge
+        short = {k for k in found if len(found[k]) < most and share[k] < 1}
+        chosen |= {k: v for k, v in found.items() if k not in short}
+        share = {k: 64 * share[k] for k in short}
+    return {k: chosen[k] for k in sorted(chosen)}
+
+
+def _columns(cut: list[bytes], seed: int = 1) -> np.ndarray:
+    """(WINDOW, windows); every other one is cut, for short texts."""
+    r = np.random.default_rng(seed)
+    x = np.full((WINDOW, len(cut)), 256)
+    for i, w in enumerate(cut):
+        part = np.frombuffer(w, np.uint8)[: int(3 * (WINDOW / 3) ** r.random()) if i % 2 else WINDOW]
+        x[: len(part), i] = part
+    return x
+
+
+def train(docs: DataFrame, train_windows: int = TRAIN_WINDOWS, steps: int = 360) -> BiGRU | None:
     """A network for the languages in docs; None if nothing is labelled."""
-    rows = training_rows(docs, train_docs)
+    rows = training_windows(docs, train_windows)
     if not rows:
         return None
-    net = BiGRU(sorted(rows))
-    xs = [_windows(rows[k], windows) for k in net.labels]
-    label = np.repeat(np.arange(len(xs)), [x.shape[1] for x in xs])
-    net.fit(np.concatenate(xs, axis=1), label, steps)
+    net = BiGRU(list(rows))
+    xs = [_columns(w) for w in rows.values()]
+    net.fit(np.concatenate(xs, axis=1), np.repeat(np.arange(len(xs)), [x.shape[1] for x in xs]), steps)
     return net
 
 
@@ -242,21 +294,22 @@ def identified(docs: DataFrame, net: BiGRU | None = None) -> DataFrame:
     return narrow.select("doc_id", "lang", score.alias("s")).select("doc_id", "lang", "s.*")
 
 
-def _accepted(score: Column, least: float) -> Column:
-    return F.coalesce(score["claimed"] >= least, score["probability"] >= 0.5, F.lit(False))
+def _accepted(score: Column, margin: float) -> Column:
+    return F.coalesce(score["claimed"] >= score["probability"] - margin, score["probability"] >= CERTAIN, F.lit(False))
 
 
-def accepted(docs: DataFrame, least: float = LEAST, net: BiGRU | None = None) -> DataFrame:
-    """identified() for the documents kept: where a language is claimed, its probability reaches ``least``; else that of the best reaches 0.5."""
+def accepted(docs: DataFrame, margin: float = MARGIN, net: BiGRU | None = None) -> DataFrame:
+    """identified() for the documents kept: where a language is claimed, no other exceeds it by more than ``margin``; else the best reaches CERTAIN."""
     i = identified(docs, net)
-    return i.where(_accepted(F.struct("probability", "claimed"), least))
+    return i.where(_accepted(F.struct("probability", "claimed"), margin))
 
 
-def filtered(docs: DataFrame, least: float = LEAST, net: BiGRU | None = None) -> DataFrame:
+def filtered(docs: DataFrame, margin: float = MARGIN, net: BiGRU | None = None) -> DataFrame:
     """The documents kept, with all their columns."""
     ship(docs.sparkSession)
     net = net or train(docs)
     if net is None:
         return docs.where(F.lit(False))
-    scored = docs.select("*", scorer(net)("text", "lang").alias("__language_id"))
-    return scored.where(_accepted(F.col("__language_id"), least)).drop("__language_id")
+    (name,) = fresh(docs, "score")
+    scored = docs.select("*", scorer(net)("text", "lang").alias(name))
+    return scored.where(_accepted(F.col(name), margin)).drop(name)

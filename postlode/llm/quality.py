@@ -94,11 +94,6 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _lines(data: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each non-empty line."""
-    up, down = _text._powers(len(data))
-    value, _ = _text._byte_tables()
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(value[data] * up, out=total[1:])
     cut = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], cut + 1]))
     starts = starts[starts < len(data)]
@@ -107,7 +102,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> tuple[np.n
     ends = np.minimum(ends, offsets[row[starts] + 1])
     some = ends > starts
     starts, ends = starts[some], ends[some]
-    return _text.mix((total[ends] - total[starts]) * down[starts]), row[starts].astype(np.int64)
+    return _text.spans(data, starts, ends), row[starts].astype(np.int64)
 
 
 class PU:

@@ -148,6 +148,76 @@ def test_gradients():
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(grad[at], rel=0.05, abs=1e-4)
 
 
+def _gru_slowly(net, text):
+    """Probabilities of a text by scalar loops: windows, both directions, every position, their mean."""
+    data, total = text.encode(), np.zeros(len(net.labels))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for at in range(0, len(data), langid.WINDOW):
+        part = data[at : at + langid.WINDOW]
+        states = {}
+        for d in "fb":
+            gate, cand = net.p[f"gate_{d}"].tolist(), net.p[f"cand_{d}"].tolist()
+            h, n = [0.0] * langid.HIDDEN, langid.HIDDEN
+            for s in range(len(part)) if d == "f" else reversed(range(len(part))):
+                e = net.p["emb"][:, part[s]].tolist()
+                a = [sigmoid(sum(w * v for w, v in zip(g, [*e, *h, 1.0], strict=True))) for g in gate]
+                c = [math.tanh(sum(w * v for w, v in zip(g, [*e, *(x * y for x, y in zip(a[n:], h, strict=True)), 1.0], strict=True))) for g in cand]
+                h = [h[k] + a[k] * (c[k] - h[k]) for k in range(n)]
+                states[d, s] = h
+        for s in range(len(part)):
+            y = [sum(w * v for w, v in zip(o, [*states["f", s], *states["b", s], 1.0], strict=True)) for o in net.p["out"].tolist()]
+            z = [math.exp(v - max(y)) for v in y]
+            total += np.array(z) / sum(z)
+    return (total + langid.PRIOR / len(total)) / (len(data) + langid.PRIOR)
+
+
+def test_network_against_scalar_loops(net, docs):
+    texts = [r["text"] for r in docs.orderBy("n_chars").limit(6).collect()] + ["a", "é" * 100, docs.where("n_chars > 300").first()["text"][:300]]
+    got = net.probabilities(pa.array([*texts, ""], pa.large_string()))
+    for t, p in zip(texts, got, strict=False):
+        assert p == pytest.approx(_gru_slowly(net, t), abs=2e-4)
+    assert np.isnan(got[-1]).all()
+
+
+def test_training_windows_are_of_whole_texts(spark, docs):
+    # short texts only, one text repeated under one id, and a very long one
+    rows = [(1, "kurz und gut", "de", None)] * 900 + [(2, "so ist es", "de", None), (None, "", "xx", None), (3, None, "yy", None), (4, "ab" * 40_000 + "the end", "en", None)]
+    got = langid.training_windows(table(spark, rows), 5000)
+    assert sorted(got) == ["de", "en"] and sorted(got["de"]) == [b"kurz und gut", b"so ist es"]
+    tail = (b"ab" * 40_000 + b"the end")[-(80_007 % langid.WINDOW) :]
+    assert sorted(got["en"]) == sorted({b"ab" * 64, tail})
+    want = {}
+    for r in docs.collect():
+        b = r["text"].encode()
+        want.setdefault(r["lang"], set()).update(b[k : k + langid.WINDOW] for k in range(0, len(b), langid.WINDOW))
+    every = langid.training_windows(docs, 10**6)
+    assert {k: set(v) for k, v in every.items()} == want
+    few = langid.training_windows(docs, 30)
+    assert {k: v for k, v in few.items()} == {k: v[:30] for k, v in every.items()}
+
+
+def test_short_and_mixed_documents(spark, net, docs):
+    r = random.Random(3)
+    vocabulary = {k: [w for x in docs.where(F.col("lang") == k).collect() for w in x["text"].split()] for k in ("en", "de", "fr", "es")}
+    rows, want = [], {}
+    for i in range(400):
+        own, other = r.sample(sorted(vocabulary), 2)
+        right, n = i % 2 == 0, r.randrange(8, 25)
+        # right: at most a sixth of the words from elsewhere; wrong: at least five sixths
+        words = [r.choice(vocabulary[other if (k % 6 == 5) == right else own]) for k in range(n)]
+        rows.append((i, " ".join(words), own, "s"))
+        want[i] = right
+    kept = {x["doc_id"] for x in langid.accepted(table(spark, rows), net=net).collect()}
+    assert sum(i in kept for i in want if want[i]) >= 190 and sum(i in kept for i in want if not want[i]) <= 10
+
+
+def test_a_language_of_short_texts(spark, docs):
+    german = [(10_000 + i, x["text"][:40], "de", "s") for i, x in enumerate(docs.where("lang = 'de' and n_chars > 100").limit(25).collect())] * 2
+    english = [(20_000 + i, x["text"][:600], "en", "s") for i, x in enumerate(docs.where("lang = 'en'").limit(60).collect())]
+    kept = Counter(x["doc_id"] // 10_000 for x in langid.accepted(table(spark, german + english)).collect())
+    assert kept[1] >= 45 and kept[2] >= 57
+
+
 def test_language_held_out(spark, net):
     held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 200 and n_chars >= 200")
     rows = langid.identified(held, net).collect()
@@ -160,6 +230,7 @@ def test_language_odd(spark, docs, odd, empty, net):
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert not {900, 901} & set(ids) and ids.count(0) == 3 and 903 in ids
+    assert langid.training_windows(empty) == {} and langid.train(odd.where("doc_id = 901")) is None
     assert langid.filtered(empty).count() == 0 and langid.accepted(empty).count() == 0
     german = docs.where("lang = 'de' and n_chars > 500").limit(3).withColumn("lang", F.lit("en"))
     assert langid.accepted(german, net=net).count() == 0
