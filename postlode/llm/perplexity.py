@@ -1,30 +1,35 @@
-"""Perplexity rules: a modified Kneser-Ney model of character n-grams for each language.
+"""Perplexity rules: a modified Kneser-Ney model of byte n-grams for each language.
 
 Spark counts the n-grams of order ORDER of every text; continuation counts, discounts and
 interpolated probabilities of all orders follow by aggregations and joins over that table, so
 what is gathered grows with the input. The model is kept as sorted hash arrays: for each language
 the hashes of its n-grams in order, with log-probabilities and back-off weights beside them and
-an index of the leading hash bits. A document's perplexity is that of all its characters and an
-end mark; each language has a band of log-perplexities, fences beyond the quartiles, outside of
-which (above or below) documents are rejected; a text of n characters has SLACK / sqrt(n) besides.
+an index of the leading hash bits.
 
-A model of up to BROADCAST_ENTRIES entries is sent to the workers as arrays. A larger one stays a
-table, and the documents' own n-gram counts are joined with it by hash.
+Texts fall into two halves by a hash, each language has a model of either, and a text is scored
+under that of the other half, so no text is predicted from its own n-grams or those of its exact
+copies. A document's perplexity is that of all its bytes and an end mark; each language has a band
+of log-perplexities, fences beyond the quartiles of its different texts, outside of which (above or
+below) documents are rejected; a text of n bytes has SLACK / sqrt(n) besides.
 
-Characters are classes of 12 bits (lower case; digits alike; white space collapsed; code points
-from 4096 up are folded onto 256 classes). Texts start after ORDER - 1 start marks, which count
-as characters of a context.
+A model of up to BROADCAST_ENTRIES entries is sent to the workers as arrays, which back off as they
+look up. For a larger one the same probabilities, back-off included, are joined level by level to
+the distinct n-grams of the documents, and those to the documents' own counts.
+
+Symbols are the bytes of the text in lower case; digits are alike, white space and control
+characters are one space and collapse. Texts start after ORDER - 1 start marks, which count as
+bytes of a context.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a null language is a
-language of its own; a band is never narrower than FLOOR on either side, so that few or equal
-documents are all kept; rows that repeat count as often as they occur; an empty table gives no
-rows; columns other than doc_id, lang and text are not read.
+language of its own; a language without text in the other half has the even perplexity 256; a band
+is never narrower than FLOOR on either side, so that few or equal documents are all kept; rows
+that repeat count as often as they occur; an empty table gives no rows; columns other than doc_id,
+lang and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,48 +42,55 @@ from ..ship import ship
 from . import _text
 from ._shared import dropped, written
 
-ORDER, BITS = 5, 12
+ORDER, BITS = 5, 8
 FENCE, FLOOR, SLACK = 2.5, 0.08, 3.0
 BROADCAST_ENTRIES = 6_000_000
-UNKNOWN = 1.0 / 4096
+UNKNOWN = 1.0 / 256
 MOST_HELD = 3_000_000
+PORTION = 1 << 20
 
 _START, _END, _SPACE = 2, 3, 32
 _MASK = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 
 
-@cache
-def _class_of() -> np.ndarray:
-    """Class of each code point; two non-characters stand for the marks."""
-    t = np.arange(0x110000, dtype=np.uint32)
-    t[4096:] = 0xF00 + (t[4096:] % 256)
+def _classes() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint8)
     t[:33] = _SPACE
-    t[127:161] = _SPACE
+    t[127] = _SPACE
     t[48:58] = 48
-    for c in (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B)):
-        t[c] = _SPACE
-    t[0x10FFFE], t[0x10FFFF] = _START, _END
-    return t.astype(np.int64)
-
-
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(packed n-gram ending at each character and at the end mark, text's number)."""
-    pad = "\U0010fffe" * (ORDER - 1)
-    clean = [t.replace("\U0010fffe", " ").replace("\U0010ffff", " ") if "\U0010fffe" in t or "\U0010ffff" in t else t for t in texts]
-    whole = "".join([x for t in clean for x in (pad, t, "\U0010ffff")])
-    c = _class_of()[np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)]
-    if not len(c):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return t
+
+
+_CLASS = _classes()
+
+
+def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(packed n-gram ending at each byte and at the end mark, text's number), PORTION at a time; texts are in lower case."""
+    data, offsets = _text.raw(texts)
+    n, pad = len(texts), ORDER - 1
+    c = np.full(len(data) + n * ORDER, _START, np.uint8)
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    c[np.arange(len(data)) + row * ORDER + pad] = _CLASS[data]
+    c[offsets[1:] + np.arange(n) * ORDER + pad] = _END
     keep = np.ones(len(c), bool)
-    space = c == _SPACE
-    keep[1:] = ~(space[1:] & space[:-1])
+    keep[1:] = (c[1:] != _SPACE) | (c[:-1] != _SPACE)
     c = c[keep]
-    key = c.copy()
-    for k in range(1, ORDER):
-        key[k:] |= c[:-k] << (BITS * k)
-    real = c != _START
-    row = np.cumsum(c == _END) - (c == _END)
-    return key[real], row[real]
+    before = 0  # texts that ended before
+    for s in range(0, len(c), PORTION):
+        part = c[max(0, s - pad) : s + PORTION].astype(np.int64)
+        lead = s - max(0, s - pad)
+        key = part[lead:].copy()
+        for k in range(1, ORDER):
+            # the first bytes of all are start marks, which end no n-gram
+            earlier = part[lead - k : len(part) - k] if lead >= k else np.concatenate([np.full(k - lead, _START), part[: len(part) - k]])
+            key |= earlier << (BITS * k)
+        own = part[lead:]
+        real = own != _START
+        end = own == _END
+        number = before + np.cumsum(end) - end
+        before += int(end.sum())
+        yield key[real], number[real]
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +100,25 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _by_lang(batch: pa.RecordBatch, texts: pa.Array, a: int, b: int) -> Iterator[tuple[str, list[str], np.ndarray]]:
-    """(language, its non-empty texts of rows a to b, their rows)."""
-    langs = pc.fill_null(batch.column(1).slice(a, b - a).cast(pa.string()), "")
-    some = pc.greater(pc.binary_length(texts.slice(a, b - a)), 0)
-    for lang in langs.unique().to_pylist():
-        rows = np.flatnonzero(pc.and_(pc.equal(langs, lang), some).to_numpy(zero_copy_only=False))
+def _group(lang: Column, text: Column) -> Column:
+    """The half of a text and its language: "0=en"; "1-" for null."""
+    half = F.pmod(F.xxhash64(text), F.lit(2)).cast("string")
+    return F.concat(half, F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("-")))
+
+
+def other(group: str) -> str:
+    """The group by which the texts of a group are judged."""
+    return ("1" if group[0] == "0" else "0") + group[1:]
+
+
+def _by_group(groups: pa.Array, texts: pa.Array, a: int, b: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(group, its non-empty texts of rows a to b in lower case, their rows)."""
+    groups, texts = groups.slice(a, b - a), texts.slice(a, b - a)
+    some = pc.greater(pc.binary_length(texts), 0)
+    for group in groups.unique().to_pylist():
+        rows = np.flatnonzero(pc.and_(pc.equal(groups, group), some).to_numpy(zero_copy_only=False))
         if len(rows):
-            yield lang, pc.utf8_lower(texts.slice(a, b - a).take(pa.array(rows))).to_pylist(), rows + a
+            yield group, pc.utf8_lower(texts.take(pa.array(rows))), rows + a
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +134,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(e), pa.string()), pa.array(e), pa.array(n[s : s + (1 << 16)])], names=["lang", "key", "n"])
 
     for batch in batches:
-        texts = _text.as_strings(batch.column(2))
+        texts = _text.as_strings(batch.column(1))
         for a, b in _text.slices(texts):
-            for lang, part, _ in _by_lang(batch, texts, a, b):
-                key = np.sort(ngrams(part)[0])
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                held.setdefault(lang, []).append((key[first], np.diff(np.append(first, len(key)))))
-                size += len(first)
+            for lang, part, _ in _by_group(batch.column(0), texts, a, b):
+                for key, _ in ngrams(part):
+                    key = np.sort(key)
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                    held.setdefault(lang, []).append((key[first], np.diff(np.append(first, len(key)))))
+                    size += len(first)
             if size > MOST_HELD:
                 for lang, parts in held.items():
                     held[lang] = [_merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
@@ -129,9 +153,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """lang ('' for null), key, n: the n-grams of order ORDER of all texts."""
+    """lang (half and language), key, n: the n-grams of order ORDER of all texts."""
     ship(docs.sparkSession)
-    part = docs.select(F.lit(0).alias("z"), F.col("lang").cast("string"), "text").mapInArrow(_count, "lang string, key long, n long")
+    part = docs.select(_group(F.col("lang"), F.col("text")).alias("lang"), "text").mapInArrow(_count, "lang string, key long, n long")
     return part.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -147,14 +171,21 @@ def _discounts(c: DataFrame) -> DataFrame:
     return t.select("lang", d(1, 0.5).alias("d1"), d(2, 1.0).alias("d2"), d(3, 1.5).alias("d3"))
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """lang, level, key, value: log-probability of each n-gram of order ``level``; log back-off weight of each context of ``-level`` characters."""
+def levels_of(counts: DataFrame) -> dict[int, DataFrame]:
+    """lang, key, n by order: counts of order ORDER (a written table), continuation counts below."""
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_MASK[k])).alias("key")).agg(F.count("*").alias("n"))
-    lower, parts = None, []
+        below = levels[k + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_MASK[k])).alias("key")).agg(F.count("*").alias("n"))
+        levels[k] = written(below, f"level{k}")
+    return levels
+
+
+def model(levels: dict[int, DataFrame]) -> DataFrame:
+    """lang, level, key, value: log-probability of each n-gram of order ``level``; log back-off weight of each context of ``-level`` bytes."""
+    lower, parts, made = None, [], []
     for k in range(1, ORDER + 1):
-        c = levels[k].join(F.broadcast(_discounts(levels[k])), "lang")  # a row a language
+        d123 = _discounts(levels[k]).withColumnRenamed("lang", "dl")
+        c = levels[k].join(d123, F.col("lang") == F.col("dl"))
         ctx = W.partitionBy("lang", "ctx")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         c = c.withColumn("ctx", F.shiftright("key", BITS)).withColumn("d", d)
@@ -167,11 +198,15 @@ def model(counts: DataFrame) -> DataFrame:
             p = c.join(low, (F.col("lang") == F.col("l")) & (F.col("key").bitwiseAND(F.lit(_MASK[k - 1])) == F.col("suffix")))
             p = p.select("lang", "key", "ctx", (own + gamma * F.col("q")).alias("p"), gamma.alias("g"))
         lower = p = written(p, f"kn{k}")
-        parts.append(p.select("lang", F.lit(k).alias("level"), "key", F.log("p").alias("value")))
-        parts.append(p.groupBy("lang", "ctx").agg(F.first("g").alias("g")).select("lang", F.lit(1 - k).alias("level"), F.col("ctx").alias("key"), F.log("g").alias("value")))
+        made.append(p)
+        parts.append(p.select("lang", F.lit(k).alias("level"), "key", F.log("p").cast("float").alias("value")))
+        parts.append(p.groupBy("lang", "ctx").agg(F.first("g").alias("g")).select("lang", F.lit(1 - k).alias("level"), F.col("ctx").alias("key"), F.log("g").cast("float").alias("value")))
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.unionByName(x)
+    whole = written(whole, "kn")
+    for p in made:
+        dropped(p)
     return whole
 
 
@@ -209,7 +244,7 @@ class HashArray:
 
 
 class Model:
-    """The arrays of each language and level; log-probabilities with back-off."""
+    """The arrays of each half of a language, and level; log-probabilities with back-off."""
 
     def __init__(self, rows: pa.Table):
         self.arrays: dict[tuple[str, int], HashArray] = {}
@@ -234,74 +269,91 @@ class Model:
         return out
 
 
-_SCORES = "doc_id long, lang string, n long, logp double"
+_SCORES = "doc_id long, lang string, t long, n long, logp double"
 
 
 def _score_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _text.as_strings(batch.column(2))
+        texts = _text.as_strings(batch.column(4))
         n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for a, b in _text.slices(texts):
-            for lang, part, rows in _by_lang(batch, texts, a, b):
-                key, row = ngrams(part)
-                n[rows] = np.bincount(row, minlength=len(rows))
-                total[rows] = np.bincount(row, model.logp(lang, key), minlength=len(rows))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], names=["doc_id", "lang", "n", "logp"])
+            for group, part, rows in _by_group(batch.column(3), texts, a, b):
+                for key, row in ngrams(part):
+                    n[rows] += np.bincount(row, minlength=len(rows))
+                    total[rows] += np.bincount(row, model.logp(other(group), key), minlength=len(rows))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n), pa.array(total)], names=["doc_id", "lang", "t", "n", "logp"])
 
 
 def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's own n-grams and their counts; a row number tells repeated ids apart."""
     for batch in batches:
-        texts = _text.as_strings(batch.column(3))
+        texts = _text.as_strings(batch.column(5))
         for a, b in _text.slices(texts):
-            inner = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["doc_id", "lang"])
-            for lang, part, rows in _by_lang(inner, texts, a, b):
-                key, row = ngrams(part)
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
-                count = np.diff(np.append(first, len(key)))
-                at = pa.array(rows[row[first]])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([lang] * len(first), pa.string()), pa.array(key[first]), pa.array(count)],
-                    names=["part", "doc_id", "lang", "l", "key", "c"],
-                )
-
-
-def scored(docs: DataFrame, kn: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """doc_id, lang, n (characters and the end mark; 0 for an empty text), logp (their sum) under the model of the document's language.
-
-    kn: the rows of model(). The join, for models that are too large to send, needs every n-gram
-    in the model, as is so where the documents are those that it was counted on.
+            for group, part, rows in _by_group(batch.column(4), texts, a, b):
+                for key, row in ngrams(part):
+                    order = np.lexsort((key, row))
+                    key, row = key[order], row[order]
+                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+                    count = np.diff(np.append(first, len(key)))
+                    at = pa.array(rows[row[first]])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(at) for c in range(4)), pa.array([group] * len(first), pa.string()), pa.array(key[first]), pa.array(count)],
+                        names=["part", "doc_id", "lang", "t", "g", "key", "c"],
+                    )
+
+
+def looked_up(levels: dict[int, DataFrame], kn: DataFrame) -> DataFrame:
+    """g, key, value: log-probability of each n-gram of order ORDER of a group under the model of the other, with back-off."""
+    flipped = F.concat(F.when(F.substring("lang", 1, 1) == "0", F.lit("1")).otherwise(F.lit("0")), F.substring("lang", 2, 1 << 30))
+    found = None
+    for k in range(1, ORDER + 1):
+        own = levels[k].select(F.col("lang").alias("g"), flipped.alias("f"), "key", F.shiftright("key", BITS).alias("ctx"), F.col("key").bitwiseAND(F.lit(_MASK[k - 1])).alias("suffix"))
+        top = kn.where(F.col("level") == k).select(F.col("lang").alias("f"), "key", F.col("value").alias("p"))
+        back = kn.where(F.col("level") == 1 - k).select(F.col("lang").alias("f"), F.col("key").alias("ctx"), F.col("value").alias("w"))
+        own = own.join(top, ["f", "key"], "left").join(back, ["f", "ctx"], "left")
+        if found is None:
+            below = F.lit(float(np.float32(np.log(UNKNOWN))))
+        else:
+            own = own.join(found.select("g", F.col("key").alias("suffix"), F.col("value").alias("below")), ["g", "suffix"])
+            below = F.col("below")
+        last, found = found, written(own.select("g", "key", F.coalesce(F.col("p"), F.coalesce("w", F.lit(0.0)) + below).cast("double").alias("value")), f"found{k}")
+        if last is not None:
+            dropped(last)
+    return found
+
+
+def scored(docs: DataFrame, levels: dict[int, DataFrame], kn: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """doc_id, lang, t (hash of the text), n (bytes and the end mark; 0 for an empty text), logp (their sum) under the other half's model.
+
+    levels and kn: levels_of() and model() of the same documents.
     """
     ship(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("t"), _group(F.col("lang"), F.col("text")).alias("g"), "text")
     if kn.count() <= broadcast_entries:
         sent = docs.sparkSession.sparkContext.broadcast(Model(kn.toArrow()))
         return narrow.mapInArrow(lambda batches: _score_batches(sent.value, batches), _SCORES)
-    own = docs.select(F.monotonically_increasing_id().alias("part"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    grams = own.mapInArrow(_doc_counts, "part long, doc_id long, lang string, l string, key long, c long")
-    top = kn.where(F.col("level") == ORDER).select(F.col("lang").alias("l"), "key", "value")
-    sums = grams.join(top, ["l", "key"]).groupBy("part", "doc_id", "lang").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("logp"))
-    blank = narrow.where("text is null or text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp"))
-    return sums.select("doc_id", "lang", "n", "logp").unionByName(blank)
+    own = narrow.select(F.monotonically_increasing_id().alias("part"), "*")
+    grams = own.mapInArrow(_doc_counts, "part long, doc_id long, lang string, t long, g string, key long, c long")
+    sums = grams.join(looked_up(levels, kn), ["g", "key"]).groupBy("part", "doc_id", "lang", "t").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("logp"))
+    blank = narrow.where("text is null or text = ''").select("doc_id", "lang", "t", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp"))
+    return sums.select("doc_id", "lang", "t", "n", "logp").unionByName(blank)
 
 
 def bands(scores: DataFrame, fence: float = FENCE, floor: float = FLOOR) -> DataFrame:
-    """lang, low, high: the log-perplexities that each language accepts."""
-    q = scores.groupBy("lang").agg(F.percentile_approx("x", [0.25, 0.75], 10000).alias("q"))
+    """band (a language), low, high: the log-perplexities x that each language accepts, from its different texts t."""
+    q = scores.groupBy("lang", "t").agg(F.first("x").alias("x")).groupBy("lang").agg(F.percentile_approx("x", [0.25, 0.75], 10000).alias("q"))
     reach = F.greatest(F.lit(fence) * (F.col("q")[1] - F.col("q")[0]), F.lit(floor))
     return q.select(F.col("lang").alias("band"), (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
 
 
 def accepted(docs: DataFrame, fence: float = FENCE, floor: float = FLOOR, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """doc_id, lang, perplexity of the documents within their language's band; bands and model come from docs."""
-    counts = written(counted(docs), "ngrams")
-    kn = written(model(counts), "kn")
-    s = scored(docs, kn, broadcast_entries).where("n > 0").select("doc_id", "lang", "n", (-F.col("logp") / F.col("n")).alias("x"))
+    levels = levels_of(written(counted(docs), "ngrams"))
+    kn = model(levels)
+    s = scored(docs, levels, kn, broadcast_entries).where("n > 0").select("doc_id", "lang", "t", "n", (-F.col("logp") / F.col("n")).alias("x"))
     s = written(s, "perplexity")
-    dropped(counts)
-    dropped(kn)
+    for x in (*levels.values(), kn):
+        dropped(x)
     slack = SLACK / F.sqrt("n")
-    band = F.broadcast(bands(s, fence, floor))  # a row a language
+    band = bands(s, fence, floor)
     return s.join(band, F.col("lang").eqNullSafe(F.col("band"))).where(F.col("x").between(F.col("low") - slack, F.col("high") + slack)).select("doc_id", "lang", F.exp("x").alias("perplexity"))

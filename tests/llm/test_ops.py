@@ -62,13 +62,31 @@ def test_words_and_shingles():
 # 1 perplexity
 
 
+def _keys(text):
+    """N-grams by plain loops: bytes in lower case, digits alike, white space and control characters one space."""
+    c = [48 if 48 <= b < 58 else 32 if b < 33 or b == 127 else b for b in text.lower().encode()]
+    c = [b for i, b in enumerate(c) if b != 32 or not i or c[i - 1] != 32]
+    c = [perplexity._START] * (perplexity.ORDER - 1) + c + [perplexity._END]
+    return [int.from_bytes(bytes(c[i : i + perplexity.ORDER])) for i in range(len(c) - perplexity.ORDER + 1)]
+
+
+def test_ngrams_against_loops(monkeypatch):
+    monkeypatch.setattr(perplexity, "PORTION", 7)
+    texts = ["a  B\t\n12 é", "x", " ", "日本語のテキスト", "the end of a longer text"]
+    got = {}
+    for key, row in perplexity.ngrams(pa.array([t.lower() for t in texts], pa.large_string())):
+        for k, r in zip(key.tolist(), row.tolist(), strict=True):
+            got.setdefault(r, []).append(k)
+    assert got == {i: _keys(t) for i, t in enumerate(texts)}
+
+
 def _kn(texts):
-    """Modified Kneser-Ney by dictionaries."""
-    keys = Counter(perplexity.ngrams([t.lower() for t in texts])[0].tolist())
+    """Modified Kneser-Ney by dictionaries: (probabilities, back-off weights) by order."""
+    keys = Counter(k for t in texts for k in _keys(t))
     levels = {perplexity.ORDER: keys}
     for k in range(perplexity.ORDER - 1, 0, -1):
         levels[k] = Counter(key & perplexity._MASK[k] for key in levels[k + 1])
-    p = {}
+    p, every, back = {}, {}, {}
     for k in range(1, perplexity.ORDER + 1):
         t = Counter(levels[k].values())
         y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
@@ -85,42 +103,86 @@ def _kn(texts):
             c = key >> perplexity.BITS
             low = p[key & perplexity._MASK[k - 1]] if k > 1 else perplexity.UNKNOWN
             new[key] = (n - d[min(n, 3)]) / total[c] + cut[c] / total[c] * low
-        p = new
-    return p
+        p = every[k] = new
+        back[k] = {c: cut[c] / total[c] for c in total}
+    return every, back
+
+
+def _logp_slowly(kn, key):
+    every, back = kn
+    weight = 0.0
+    for k in range(perplexity.ORDER, 0, -1):
+        key &= perplexity._MASK[k]
+        if key in every[k]:
+            return weight + math.log(every[k][key])
+        weight += math.log(back[k].get(key >> perplexity.BITS, 1.0))
+    return weight + math.log(perplexity.UNKNOWN)
+
+
+def _half(spark, texts):
+    return {r["t"]: r["g"][0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", perplexity._group(F.lit("x"), F.col("t")).alias("g")).collect()}
 
 
 def test_perplexity_matches_brute_force(spark, docs):
     one = docs.where("lang = 'es'")
-    texts = {r["doc_id"]: r["text"] for r in one.collect()}
-    p = _kn(list(texts.values()))
-    kn = perplexity.written(perplexity.model(perplexity.counted(one)), "kn").cache()
-    sent, joined = ({r["doc_id"]: r for r in perplexity.scored(one, kn, most).collect()} for most in (10**9, 0))
-    for i, t in texts.items():
-        key = perplexity.ngrams([t.lower()])[0]
-        want = sum(math.log(p[k]) for k in key.tolist())
+    more = [(9000, "日本語のテキスト 12", "es", "s"), (9001, "日本語ではない", None, "s"), (9002, "日本語", "", "s")]
+    one = one.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(i, t, lang, s) for i, t, lang, s in more], "doc_id long, text string, lang string, source string"))
+    rows = [tuple(r) for r in one.collect()]
+    half = _half(spark, [r[1] for r in rows])
+    kn = {}
+    for h in "01":
+        for lang in ("es", None, ""):
+            own = [r[1] for r in rows if r[2] == lang and half[r[1]] == h]
+            kn[h, lang] = _kn(own) if own else ({k: {} for k in range(1, 6)}, {k: {} for k in range(1, 6)})
+    levels = perplexity.levels_of(perplexity.written(perplexity.counted(one), "n"))
+    table_ = perplexity.model(levels)
+    sent, joined = ({r["doc_id"]: r for r in perplexity.scored(one, levels, table_, most).collect()} for most in (10**9, 0))
+    assert len(sent) == len(joined) == len(rows)
+    unseen = 0
+    for i, t, lang, _ in rows:
+        key, own = _keys(t), kn["1" if half[t] == "0" else "0", lang]
+        unseen += sum(k not in own[0][perplexity.ORDER] for k in key)
+        want = sum(_logp_slowly(own, k) for k in key)
         for got in (sent[i], joined[i]):
             assert got["n"] == len(key) and got["logp"] == pytest.approx(want, rel=1e-4)
+    assert unseen > 100
+
+
+def test_bands_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, lang, i % 150, 50, 2 + r.gauss(0, 0.2) if i < 150 else None) for lang in ("en", None) for i in range(200)]
+    x = {(lang, t): v for _, lang, t, _, v in rows if v is not None}
+    rows = [(i, lang, t, n, x[lang, t]) for i, lang, t, n, _ in rows]
+    got = {b["band"]: (b["low"], b["high"]) for b in perplexity.bands(spark.createDataFrame(rows, "doc_id long, lang string, t long, n long, x double")).collect()}
+    for lang in ("en", None):
+        v = sorted(x[k] for k in x if k[0] == lang)
+        a, b = v[math.ceil(0.25 * len(v)) - 1], v[math.ceil(0.75 * len(v)) - 1]
+        reach = max(perplexity.FENCE * (b - a), perplexity.FLOOR)
+        assert got[lang] == pytest.approx((a - reach, b + reach))
 
 
 def test_perplexity_backs_off(spark, docs):
-    m = perplexity.Model(perplexity.model(perplexity.counted(docs.where("lang = 'en'"))).toArrow())
-    total = sum(math.exp(m.logp("en", np.array([(97 << 48) | (97 << 36) | (113 << 24) | (113 << 12) | c]))[0]) for c in range(4096))
+    m = perplexity.Model(perplexity.model(perplexity.levels_of(perplexity.written(perplexity.counted(docs.where("lang = 'en'")), "n"))).toArrow())
+    total = sum(math.exp(m.logp("0=en", np.array([int.from_bytes(bytes([97, 97, 113, 113, c]))]))[0]) for c in range(256))
     assert 0.95 < total < 1.05
-    assert m.logp("xx", np.array([5])) == pytest.approx(math.log(perplexity.UNKNOWN))
+    assert m.logp("0=xx", np.array([5])) == pytest.approx(math.log(perplexity.UNKNOWN))
     a = perplexity.HashArray(np.arange(1000) * 7, np.arange(1000.0))
     assert a.get(np.array([7, 8, 0, 6993]))[[0, 2, 3]].tolist() == [1, 0, 999] and np.isnan(a.get(np.array([8]))[0])
 
 
 def test_perplexity_rejects_and_keeps(spark, docs, labels, odd, empty):
-    noise = "".join(random.Random(1).choice("qxzjkw@~^") for _ in range(2000))
+    r = random.Random(1)
+    noise = [(7000 + k, "".join(r.choice("abcdefghijklmnopqrstuvwxyz .,;@~^0189") for _ in range(n)), "en", "s") for k, n in enumerate((300, 2000, 20_000, 35_000, 45_000))]
+    dull = [(7100, "the " * 800, "en", "s"), (7101, "a" * 5000, "en", "s")]
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").where("lang = 'en'").collect()]
-    mixed = table(spark, [*rows, (7001, noise, "en", "s"), (7002, "the " * 800, "en", "s")])
-    kept = {r["doc_id"] for r in perplexity.accepted(mixed).collect()}
+    kept = {r["doc_id"] for r in perplexity.accepted(table(spark, [*rows, *noise, *dull])).collect()}
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()} & {r[0] for r in rows}
-    assert not kept & {7001, 7002} and len(kept & good) > 0.97 * len(good)
+    assert not kept & {x[0] for x in noise + dull} and len(kept & good) > 0.97 * len(good)
     got = [r["doc_id"] for r in perplexity.accepted(odd).collect()]
     assert not {900, 901} & set(got) and got.count(0) in (0, 3)
     assert perplexity.accepted(empty).count() == 0
+    few = [(1, "日本語のテキスト", None, "s"), (2, "日本語のテキスト", None, "s"), (3, "other words", "xx", "s")]
+    assert {r["doc_id"] for r in perplexity.accepted(table(spark, few)).collect()} == {1, 2, 3}
 
 
 # 2 language
