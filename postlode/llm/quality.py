@@ -4,13 +4,14 @@ Trusted positives are documents that ``labels`` calls good (quality 1, toxic 0);
 unlabelled web text. A linear model over character-class statistics minimises the non-negative
 unbiased PU risk  pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1))  with the sigmoid loss; the class
 prior pi is estimated from the two samples (best bin: least ratio of the unlabelled to the
-positive share above a score, with a confidence margin). It is fitted on bounded samples
-(``positives``, ``unlabelled``: documented limits, least hash of doc_id first); every document is
-scored over its whole text.
+positive share above a score, with a confidence margin). It is fitted on bounded samples of
+different texts (``positives``, ``unlabelled``: documented limits, least hash of the text first; a
+text is positive if any of its documents is). Their features, not their texts, come to the driver;
+every document is scored over its whole text.
 
 Defined cases: a null or empty text has no score and is rejected; without trusted positives, or
 without unlabelled text, nothing can be learned and every non-empty document is kept with a null
-score; rows that repeat are judged alike; an empty table gives no rows; labels with null or
+score; one text counts once in a sample, however many documents hold it; rows that repeat are judged alike; an empty table gives no rows; labels with null or
 unknown ids are ignored; other columns are passed on and never read.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import _text
+from ._shared import dropped, fresh, written
 
 CLASSES = 16
 FEATURES = CLASSES * CLASSES + 12
@@ -126,7 +128,29 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
     return float(np.clip(qu[best] / qp[best], 0.05, 0.99))
 
 
-def _descend(xp, xu, prior, steps, rate, seed, nonneg=True, l2=1e-4):
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * v))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk of positives as such, risk of negatives) with the sigmoid loss; the non-negative risk is a + max(0, b)."""
+    sp, su = _sigmoid(p @ w[:-1] + w[-1]), _sigmoid(u @ w[:-1] + w[-1])
+    return float(prior * (1 - sp).mean()), float(su.mean() - prior * sp.mean())
+
+
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
+    """Of a + b of risk(); where b is below zero, of -b: a step back from it. Without a prior: of the logistic loss of p against u."""
+    sp, su = _sigmoid(p @ w[:-1] + w[-1]), _sigmoid(u @ w[:-1] + w[-1])
+    if prior is None:
+        gp, gu = (sp - 1) / len(p), su / len(u)
+    else:
+        # l(+1) = 1 - s, l(-1) = s; the derivative of s in the margin is s (1 - s)
+        dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
+        gp, gu = (-2 * prior * dp, du) if su.mean() >= prior * sp.mean() else (prior * dp, -du)
+    return np.append(gp @ p + gu @ u, gp.sum() + gu.sum())
+
+
+def _descend(xp, xu, prior, steps, rate, seed, l2=1e-4):
     """Minimises the nnPU risk (or, with prior None, plain positive against unlabelled) by Adam on mini-batches."""
     r = np.random.default_rng(seed)
     w = np.zeros(xp.shape[1] + 1)
@@ -134,17 +158,7 @@ def _descend(xp, xu, prior, steps, rate, seed, nonneg=True, l2=1e-4):
     for i in range(1, steps + 1):
         p = xp[r.integers(0, len(xp), min(256, len(xp)))]
         u = xu[r.integers(0, len(xu), min(512, len(xu)))]
-        sp, su = 1 / (1 + np.exp(-(p @ w[:-1] + w[-1]))), 1 / (1 + np.exp(-(u @ w[:-1] + w[-1])))
-        if prior is None:
-            gp, gu = (sp - 1) / len(p), su / len(u)  # logistic
-        else:
-            # sigmoid loss: l(+1) = 1 - s, l(-1) = s; its derivative in the margin is -/+ s (1 - s)
-            dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-            if not nonneg or su.mean() - prior * sp.mean() >= 0:
-                gp, gu = -2 * prior * dp, du
-            else:  # the negative part went below zero: step back from it
-                gp, gu = prior * dp, -du
-        g = np.append(gp @ p + gu @ u, gp.sum() + gu.sum())
+        g = gradient(w, p, u, prior)
         g[:-1] += l2 * w[:-1]
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
@@ -169,23 +183,37 @@ def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 1500, keep: float = 0.995,
     return PU(mean, scale, w[:-1], w[-1], prior, edge)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the positive and of the unlabelled sample."""
+    spark = ship(docs.sparkSession)
+    rows = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good")).distinct()
+    known = rows.select("id", "t").join(good, F.col("id") == F.col("good"), "left")
+    texts = written(known.groupBy("t").agg(F.max(F.col("good").isNotNull()).alias("positive")), "texts")
+    h = F.xxhash64("t", F.lit(29))
+    some = [texts.where("positive" if p else "not positive").orderBy(h, "t").limit(most) for p, most in ((True, positives), (False, unlabelled))]
+    chosen = some[0].unionByName(some[1]).toArrow().to_pylist()  # at most positives + unlabelled hashes
+    dropped(texts)
+    if not chosen:
+        return np.zeros((0, FEATURES), np.float32), np.zeros((0, FEATURES), np.float32)
+    small = spark.createDataFrame([(x["t"], x["positive"]) for x in chosen], "c long, positive boolean")
+    picked = rows.join(F.broadcast(small), F.col("t") == F.col("c")).select("t", "positive", "text")
+    measured = picked.select("t", "positive", F.arrow_udf(_vectors, "array<float>")("text").alias("x"))
+    got = measured.groupBy("t").agg(F.first("positive").alias("positive"), F.first("x").alias("x")).orderBy(h, "t").select("positive", "x").toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, FEATURES)
+    p = got.column("positive").to_numpy()
+    return x[p], x[~p]
+
+
+def _vectors(texts: pa.Array) -> pa.Array:
+    x = features(_text.as_strings(texts))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000) -> PU | None:
-    """A model from at most so many positive and unlabelled documents; None where either is missing."""
-    rows = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    ids = rows.select("doc_id").join(good, F.col("doc_id") == F.col("good_id"), "left")
-    h = F.xxhash64("doc_id", F.lit(29))
-    texts = []
-    for which, most in (("good_id is not null", positives), ("good_id is null", unlabelled)):
-        # ids first, so that only the sample's texts leave the scan
-        chosen = ids.where(which).select("doc_id").orderBy(h, "doc_id").limit(most)
-        chosen = [r[0] for r in chosen.collect()]
-        if not chosen:
-            return None
-        edge = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "chosen long")
-        got = rows.join(F.broadcast(edge), F.col("doc_id") == F.col("chosen"), "left_semi").orderBy(h, "doc_id").limit(most).select("text").toArrow()
-        texts.append(features(_text.as_strings(got.column(0))))
-    return fit(*texts)
+    """A model from at most so many positive and unlabelled texts; None where either is missing."""
+    xp, xu = sampled(docs, labels, positives, unlabelled)
+    return fit(xp, xu) if len(xp) and len(xu) else None
 
 
 def scorer(model: PU):
@@ -220,5 +248,6 @@ def filtered(docs: DataFrame, labels: DataFrame, model: PU | None = None) -> Dat
     model = model or train(docs, labels)
     if model is None:
         return docs.where(_kept(None, None, F.col("text")))
-    scored = docs.select("*", scorer(model)("text").alias("__quality_score"))
-    return scored.where(_kept(F.col("__quality_score"), model, None)).drop("__quality_score")
+    (name,) = fresh(docs, "score")
+    scored = docs.select("*", scorer(model)("text").alias(name))
+    return scored.where(_kept(F.col(name), model, None)).drop(name)

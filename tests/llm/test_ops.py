@@ -704,6 +704,72 @@ def test_quality_held_out(spark):
     assert np.mean([r["doc_id"] in kept for r in rows if r["quality"] == 0]) < 0.1
 
 
+def test_risk_and_gradient_against_loops():
+    r = np.random.default_rng(4)
+    for prior in (0.3, 0.9):
+        signs = set()
+        for k in range(12):
+            p, u = r.normal(1.5, 1, (7, 3)), r.normal(-1.5 if k % 2 else 0.5, 1, (9, 3))
+            w = r.normal(0, 1.5, 4)
+            s = lambda x: 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1])))
+            a = prior * sum(1 - s(x) for x in p) / len(p)
+            b = sum(s(x) for x in u) / len(u) - prior * sum(s(x) for x in p) / len(p)
+            assert quality.risk(w, p, u, prior) == pytest.approx((a, b))
+            signs.add(b >= 0)
+
+            def aim(v):
+                one, other = quality.risk(v, p, u, prior)
+                return one + other if b >= 0 else -other
+
+            g = quality.gradient(w, p, u, prior)
+            for i in range(4):
+                e = np.eye(4)[i] * 1e-5
+                assert g[i] == pytest.approx((aim(w + e) - aim(w - e)) / 2e-5, abs=1e-6)
+        assert prior == 0.3 or len(signs) == 2
+
+
+def test_descent_lowers_the_non_negative_risk():
+    r = np.random.default_rng(6)
+    p, u = r.normal(1, 1, (300, 2)), np.concatenate([r.normal(1, 1, (200, 2)), r.normal(-1, 1, (200, 2))])
+    total = lambda w: quality.risk(w, p, u, 0.5)[0] + max(0.0, quality.risk(w, p, u, 0.5)[1])
+    w = quality._descend(p, u, 0.5, 800, 0.01, 1)
+    grid = [total(np.array([a, b, c])) for a in (-1, 0, 1, 2) for b in (-1, 0, 1, 2) for c in (-2, 0, 2)]
+    assert total(w) < min(grid) + 0.01 and total(w) < 0.2
+
+
+def test_features_against_loops(docs):
+    def of(b):
+        return quality._CLASS[b]
+
+    texts = [r["text"] for r in docs.orderBy("n_chars").limit(30).collect()] + ["é é\nx x\n\nx x", "12,AB", "\n"]
+    got = quality.features(pa.array(texts, pa.large_string()))
+    for t, x in zip(texts, got, strict=True):
+        data, k = t.encode(), quality.CLASSES
+        want = np.zeros(k * k)
+        for a, b in zip(data, data[1:]):
+            want[of(a) * k + of(b)] += 1
+        assert x[: k * k] == pytest.approx(np.sqrt(want / max(len(data) - 1, 1)), abs=1e-5)
+        words = "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+        lines = [y for y in t.split("\n") if y]
+        assert x[k * k] == pytest.approx(math.log1p(len(words)) / 10, abs=1e-5)
+        assert x[k * k + 3] == pytest.approx(1 - len(set(words)) / max(len(words), 1), abs=1e-5)
+        assert x[k * k + 4] == pytest.approx(1 - len(set(lines)) / max(len(lines), 1), abs=1e-5)
+        assert x[k * k + 7] == pytest.approx(sum(c.isdigit() for c in t) / len(data), abs=1e-5)
+
+
+def test_quality_sample(spark, docs):
+    some = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").limit(20).collect()]
+    rows = [(i, t, "en", "s") for i, t in some] + [(500 + k, some[0][1], "en", "s") for k in range(50)] + [(7, some[3][1], "en", "s")] * 30 + [(None, "x y", "en", "s"), (600, "", "en", "s")]
+    lab = spark.createDataFrame([(520, 1, 0), (3, 1, None), (4, 1, 1), (5, 0, 0), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    xp, xu = quality.sampled(table(spark, rows), lab, 100, 100)
+    texts = {t for _, t in some}
+    assert len(xp) == 2 and len(xp) + len(xu) == len(texts)
+    want = quality.features(pa.array([some[0][1], some[3][1]], pa.large_string()))
+    assert sorted(x.tobytes() for x in xp) == sorted(x.tobytes() for x in want)
+    fp, fu = quality.sampled(table(spark, rows), lab, 1, 5)
+    assert (len(fp), len(fu)) == (1, 5) and (fu == xu[:5]).all()
+
+
 def test_class_prior():
     r = np.random.default_rng(1)
     p, u = r.normal(2, 1, 3000), np.concatenate([r.normal(2, 1, 3500), r.normal(-2, 1, 1500)])
