@@ -551,11 +551,13 @@ def _mix_slowly(rows, target, budget):
     return want
 
 
-@pytest.mark.parametrize("bucket", [3, 20_000])
-def test_mixing(spark, odd, empty, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,sources", [(3, 0), (20_000, 100_000)])
+def test_mixing(spark, odd, empty, monkeypatch, bucket, sources):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
-    target = {"src0": 0.5, "src1": 0.2, "s": 0.2, "": 0.1}
-    rows = [(r["doc_id"], r["__source"], r["__tokens"], r["__key"]) for r in mixing.keyed(odd).collect()]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+    odd = odd.unionByName(table(spark, [(950, "of the empty source " * 9, "en", "")]))
+    target = {"src0": 0.5, "src1": 0.2, "s": 0.2, None: 0.06, "": 0.04}
+    rows = [(r["doc_id"], r["source"], r["tokens"], r["key"]) for r in mixing.keyed(odd).collect()]
     budget = 3 * sum(r[2] for r in rows) // 2
     want = _mix_slowly(rows, target, budget)
     got = {r["doc_id"]: r["copies"] for r in mixing.decided(odd, target, budget).collect()}
@@ -566,6 +568,23 @@ def test_mixing(spark, odd, empty, monkeypatch, bucket):
     assert mixing.decided(empty).count() == 0 and mixing.mixed(empty, {"a": 1.0}, 10).count() == 0
 
 
+def test_weights(spark):
+    df = table(spark, [(i, f"{w}", "en", "s") for i, w in enumerate(["0.5", "1e400", "NaN", "-3", "nothing", "0", "0.06"])])
+    got = {r["doc_id"]: r["key"] for r in mixing.keyed(df, weight=lambda t: t.try_cast("double")).collect()}
+    u = {r[0]: r[1] for r in df.select("doc_id", mixing.uniform(F.col("doc_id"))).collect()}
+    least = mixing.LEAST_WEIGHT
+    for i, w in enumerate([0.5, math.inf, least, least, least, least, 0.06]):
+        assert got[i] == pytest.approx(-math.log(u[i]) / w)
+
+
+def test_quality_weights_decide_which(spark):
+    # of 2,000 equal documents, those of weight 4 are taken about four times as often as those of weight 1
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good").otherwise("poor").alias("text"), F.lit("s").alias("source"))
+    got = mixing.decided(df, {"s": 1.0}, 400, count=lambda t: F.lit(1).cast("long"), weight=lambda t: F.when(t == "good", 4.0).otherwise(1.0)).collect()
+    good = sum(r["doc_id"] % 2 == 0 for r in got)
+    assert len(got) == 400 and 290 < good < 350
+
+
 def test_keys_are_exponential(spark):
     u = np.array([r[0] for r in spark.range(4000).select(mixing.uniform(F.col("id"))).collect()])
     assert abs(u.mean() - 0.5) < 0.02 and 0 < u.min() and u.max() < 1
