@@ -228,6 +228,14 @@ def scorer(model: PU):
     return F.arrow_udf(score, "double").asNondeterministic()
 
 
+def weight(model: PU | None):
+    """Column function: text -> the score between 0 and 1, 0 for an empty text; 1 without a model."""
+    if model is None:
+        return lambda text: F.lit(1.0)
+    score = scorer(model)
+    return lambda text: F.coalesce(1 / (1 + F.exp(-score(text))), F.lit(0.0))
+
+
 def _kept(score: Column, model: PU | None, text: Column) -> Column:
     return F.coalesce(score >= model.edge, F.lit(False)) if model else F.coalesce(F.length(text) > 0, F.lit(False))
 

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from postlode.llm import _text, catalog, chat, embeddings, langid, licenses, mixing, packing, perplexity, quality, rollup, simhash
 
 D = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, group_id string, key string, language string"
+#: Names that the operators use for columns of their own, here with values that would be wrong anywhere.
+CLASH = "score group_id key language _score a b c g h i k m n p q r s t u w x y z z_ id src epochs edge copy copies tokens start bin_id position keep links node root rows row salt least first weight good positive own task t0 s0 s1 s2 s3 probability claimed perplexity low high band license containment documents chars tokenizer part level value __score __key __source __tokens __gone __again __copy".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 
 def table(spark, rows):
     """Documents with columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", "x", "x", "x") for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), *["x"] * len(CLASH)) for i, t, lang, s in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -1010,34 +1012,136 @@ def test_pivots_prune_where_vectors_cluster():
 # pipeline
 
 
-def test_pipeline(spark):
+def _kept_slowly(name, rows, lab, spark, docs):
+    """doc_id -> copies of the documents that a stage keeps, by plain loops over its input rows (dicts)."""
+    texts = pa.array([r["text"] or "" for r in rows], pa.large_string())
+    if name == "language_id":
+        net = langid.train(docs)
+        p = net.probabilities(texts)
+        keep = []
+        for r, q in zip(rows, p, strict=True):
+            if np.isnan(q[0]):
+                keep.append(False)
+            elif r["lang"] is None:
+                keep.append(q.max() >= langid.CERTAIN)
+            else:
+                keep.append((q[net.labels.index(r["lang"])] if r["lang"] in net.labels else 0.0) >= q.max() - langid.MARGIN)
+        return [int(k) for k in keep]
+    if name == "quality_classifier":
+        m = quality.train(docs, lab)
+        return [int(bool(r["text"]) and v >= m.edge) for r, v in zip(rows, m.score(quality.features(texts)), strict=True)]
+    if name == "simhash_dedup":
+        sig, has = simhash.signatures(texts)
+        near = (_hamming(sig, 2) <= simhash.BUDGET) & (_hamming(sig, 4) <= simhash.FULL_BUDGET) & has[:, None] & has[None]
+        ids = [r["doc_id"] for r in rows]
+        keep, seen = [0] * len(rows), set()
+        for i in sorted(range(len(rows)), key=lambda i: (ids[i] is not None, ids[i] or 0)):
+            if ids[i] is None or not has[i]:
+                keep[i] = 1
+                continue
+            if i in seen:
+                continue
+            keep[i], todo = 1, [i]
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()]).tolist():
+                    if j not in seen and ids[j] is not None:
+                        seen.add(j)
+                        todo.append(j)
+        return keep
+    m = quality.train(docs, lab)
+    weights = 1 / (1 + np.exp(-m.score(quality.features(texts))))
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(F.col("doc_id")).alias("u")).collect()}
+    enc = rollup._encoding(rollup.VOCABULARY)
+    usable = [(r["doc_id"], r["source"], len(enc.encode_ordinary(r["text"])), -math.log(u[r["doc_id"]]) / max(w, mixing.LEAST_WEIGHT)) for r, w in zip(rows, weights, strict=True) if r["doc_id"] is not None and r["text"]]
+    total = Counter()
+    for _, source, n, _ in usable:
+        total[source] += n
+    copies = _mix_slowly(usable, {k: v**mixing.TEMPERATURE for k, v in total.items()}, sum(total.values()))
+    return [copies.get(r["doc_id"], 0) for r in rows]
+
+
+def test_pipeline_against_loops(spark):
     import corpus_pipeline as p
 
-    d = spark.read.parquet(f"{D}/documents.parquet")
-    docs = d
+    d = spark.read.parquet(f"{D}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 17 == 0, "es").otherwise(F.col("lang")))
+    d = d.withColumns({c: F.lit("x") for c in CLASH if c not in d.columns})
+    lab = spark.read.parquet(f"{D}/labels.parquet")
+    docs, sizes = d, []
     for name, stage in p.STAGES[:-1]:
+        rows = [r.asDict() for r in docs.collect()]
+        want = Counter()
+        for r, n in zip(rows, _kept_slowly(name, rows, lab, spark, docs), strict=True):
+            want[tuple(r.values())] += n
         out = stage(spark, docs, D)
         assert out.columns == d.columns
-        before = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
-        docs = spark.createDataFrame(out.toPandas(), d.schema).cache()
-        after = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
-        assert set(after) <= set(before) and after
-        if name == "simhash_dedup":
-            assert simhash.groups(docs).where("not keep").count() <= 1
-    last = p.STAGES[-1][1](spark, docs, D)
-    tokens = docs.agg(F.sum(mixing.tokens(F.col("text")))).first()[0]
-    assert last.agg(F.sum("tokens")).first()[0] == tokens
-    assert p.run(spark, D).count() == last.count()
+        docs = p.written(out, name)
+        assert Counter(tuple(r) for r in docs.collect()) == +want, name
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] > 0
+    enc, total, bins = rollup._encoding(rollup.VOCABULARY), Counter(), {}
+    for r in docs.collect():
+        total[r["doc_id"]] += len(enc.encode_ordinary(r["text"]))
+    got = p.STAGES[-1][1](spark, docs, D).collect()
+    packed = Counter()
+    for r in got:
+        packed[r["doc_id"]] += r["tokens"]
+        bins.setdefault(r["bin_id"], []).append((r["position"], r["tokens"]))
+    assert packed == total
+    flat = sorted((-n, i, s) for i, s, n in ((r["doc_id"], r["start"], r["tokens"]) for r in got))
+    slow = _pack_slowly([-n for n, _, _ in flat], (packing.TOKENS, packing.DOCS, packing.ATTENTION), packing.WEIGHTS, packing.NORM)
+    again = {}
+    for b, (n, _, _) in zip(slow, flat, strict=True):
+        again.setdefault(b, []).append(-n)
+    assert sorted(sorted(n for _, n in b) for b in bins.values()) == sorted(sorted(b) for b in again.values())
+
+
+def test_pipeline_runs_as_its_stages(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for name, stage in p.STAGES:
+        docs = p.written(stage(spark, docs, D), name)
+    assert Counter(map(tuple, p.run(spark, D).collect())) == Counter(map(tuple, docs.collect()))
 
 
 def test_pipeline_odd(spark, odd, empty):
     import corpus_pipeline as p
 
-    for rows in (odd, empty):
-        docs = rows
-        for _, stage in p.STAGES:
-            docs = stage(spark, docs, D)
-            docs.count()
+    steps = dict(p.STAGES)
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    one = ids(p.language_id(spark, odd, D))
+    assert not {900, 901} & set(one) and one[0] == 3 and one[903] == 1
+    two = ids(p.quality_classifier(spark, odd, D))
+    assert not {900, 901} & set(two) and two[0] in (0, 3)
+    three = ids(p.simhash_dedup(spark, odd, D))
+    assert three[0] <= 1 and three[904] == 0 and all(three[i] == 1 for i in (None, 900, 901, 902))
+    four = ids(p.mix_sources(spark, odd, D))
+    assert not {None, 900, 901} & set(four) and four[0] % 3 == 0 and sum(four.values()) > 30
+    five = ids(p.pack(spark, odd, D))
+    assert not {None, 900, 901} & set(five) and five[0] >= 3 and five[903] > 1
+    for name, stage in steps.items():
+        assert stage(spark, empty, D).count() == 0
+        docs = odd
+    for stage in steps.values():
+        docs = p.written(stage(spark, docs, D), "odd")
+    assert docs.count() > 0
+
+
+def test_every_operator_on_odd_tables(spark, odd, empty):
+    lab = spark.read.parquet(f"{D}/labels.parquet")
+    texts = {r["doc_id"] for r in odd.where("text <> '' and doc_id is not null").collect()}
+    runs = {
+        "perplexity": perplexity.accepted, "langid": langid.accepted, "packing": packing.packed, "simhash": simhash.groups, "licenses": licenses.found,
+        "mixing": mixing.decided, "quality": lambda d: quality.accepted(d, lab), "rollup": lambda d: rollup.corpus_totals(d, lab.where("toxic = 1")),
+    }
+    for name, run in runs.items():
+        assert run(empty).count() == 0, name
+        got = run(odd).collect()
+        if name == "rollup":
+            assert sum(r["documents"] for r in got) <= odd.count()
+        else:
+            assert {r["doc_id"] for r in got} - {None} <= texts, name
+    assert {r["doc_id"] for r in packing.packed(odd).collect()} == texts
 
 
 def test_catalog():
