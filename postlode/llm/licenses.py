@@ -1,21 +1,29 @@
 """License scan: MinHash bands over overlapping windows, then exact shingle containment.
 
-Words of a text are cut into overlapping windows at several lengths (each twice the stride of its
-level). A template belongs to the first level whose stride holds it whole, so that wherever it
-stands some window covers it, and its Jaccard similarity with that window is at least SIMILARITY.
-BANDS bands of ROWS MinHash values then collide with probability at least GUARANTEE; a window that
-shares a band with a template retrieves it, and the exact share of the template's shingles that
-the window and a stride on either side hold decides.
+Templates are whole license texts, and the notices and file headers by which texts state a license
+(``license_texts/``, public wording). Words of a text are cut into overlapping windows at several
+lengths (each twice the stride of its level). A template belongs to the first level whose stride
+holds it whole, so that wherever it stands some window covers it, and its Jaccard similarity with
+that window is at least that of a template with CONTAINMENT of its shingles there. BANDS bands of
+ROWS MinHash values then collide with probability at least GUARANTEE; a window that shares a band
+with a template retrieves it, and the exact share of the template's shingles that the window and a
+stride on either side hold decides.
+
+Licenses are told apart by what sets them apart: of two licenses' templates that share half of
+their shingles, each counts only where at least half of the shingles that the other lacks are
+there (as the version or "Lesser"); of templates of different licenses at one place the one with
+most shingles there is reported.
 
 Defined cases: null and empty texts, and texts of fewer words than a shingle, have no license; a
-null doc_id is left out; of several places of one template the greatest containment is reported;
-rows that repeat are reported as often as they occur; an empty table gives no rows; columns other
-than doc_id and text are not read.
+null doc_id is left out; of several places of one license the greatest containment is reported;
+templates with equally many shingles at a place are all reported; rows that repeat are reported as
+often as they occur; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,36 +37,24 @@ from . import _text
 
 SHINGLE, CONTAINMENT = 3, 0.8
 GUARANTEE = 0.9999
+#: Share of a template's shingles from which another license's template is a relative, and share of
+#: what sets the template apart from a relative that has to be there.
+RELATED, APART = 0.5, 0.5
 
-#: Notices by which texts state their license, and openings of license texts (public wording).
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("MIT", "to deal in the Software without restriction, including without limitation the rights"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-)
+Templates = tuple[tuple[str, str], ...]
+
+
+@cache
+def templates() -> Templates:
+    """(license, text) of every template; read on the driver."""
+    folder, out = os.path.join(os.path.dirname(__file__), "license_texts"), []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            if name == "notices.tsv":
+                out += [tuple(line.rstrip("\n").split("\t")) for line in f]
+            else:
+                out.append((name.removesuffix(".txt"), f.read()))
+    return tuple(out)
 
 
 def band_count(similarity: float, rows: int, guarantee: float) -> int:
@@ -71,12 +67,16 @@ class Index:
 
     FIRST, ROWS = 4, 1
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
+    def __init__(self, templates: Templates):
         h, row, _ = _text.words(pa.array([t for _, t in templates], pa.large_string()))
         s, srow = _text.shingles(h, row, SHINGLE)
         self.names = [n for n, _ in templates]
         self.sets = [np.unique(s[srow == i]) for i in range(len(templates))]
         size = np.array([int((srow == i).sum()) for i in range(len(templates))])
+        self.apart = []  # of each template: for each relative of another license, what the relative lacks
+        for i, x in enumerate(self.sets):
+            shared = [np.isin(x, y) if self.names[j] != self.names[i] else np.zeros(len(x), bool) for j, y in enumerate(self.sets)]
+            self.apart.append([x[~z] for z in shared if z.mean() >= RELATED and not z.all()])
         self.level = np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / self.FIRST))).astype(int)
         self.levels = int(self.level.max()) + 1 if templates else 0
         # the least similarity of a template that is wholly inside: its size against the window of two strides
@@ -105,71 +105,93 @@ def _salted(s: np.ndarray, b: int) -> np.ndarray:
 
 
 @cache
-def _index(templates: tuple[tuple[str, str], ...]) -> Index:
+def _index(templates: Templates) -> Index:
     return Index(templates)
 
 
-def _up(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strides joined in twos within a text: (first of each pair, whether it has a second)."""
-    n = len(doc)
-    begin = np.ones(n, bool)
-    begin[1:] = doc[1:] != doc[:-1]
-    number = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
-    first = np.flatnonzero(number % 2 == 0)
-    nxt = np.minimum(first + 1, n - 1)
-    return first, (nxt > first) & (doc[nxt] == doc[first])
+def _levels(edge: np.ndarray, doc: np.ndarray, levels: int) -> list[tuple]:
+    """Of each level: starts of strides, whether the next stride is of the same text, and how strides join in twos to the next level's."""
+    out = []
+    for _ in range(levels):
+        n = len(doc)
+        same = doc[1:] == doc[:-1]
+        begin = np.ones(n, bool)
+        begin[1:] = ~same
+        number = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+        first = np.flatnonzero(number % 2 == 0)
+        nxt = np.minimum(first + 1, n - 1)
+        two = (nxt > first) & (doc[nxt] == doc[first])
+        out.append((edge, same, first, np.where(two, nxt, first)))
+        edge, doc = edge[first], doc[first]
+    return out
+
+
+def _retrieved(s: np.ndarray, doc: np.ndarray, x: Index) -> set[tuple[int, int]]:
+    """(first shingle of a window, template) of those that share a band."""
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    strides = -(-np.diff(np.append(begin, len(doc))) // x.FIRST)
+    edge = np.repeat(begin, strides) + x.FIRST * (np.arange(strides.sum()) - np.repeat(np.cumsum(strides) - strides, strides))
+    levels = _levels(edge, doc[edge], x.levels)
+    pairs: set[tuple[int, int]] = set()
+    for band in range(x.bands):
+        low = np.minimum.reduceat(_salted(s, band), edge)
+        for k, (at, same, first, nxt) in enumerate(levels):
+            values, owners = x.buckets[k][band]
+            if len(values):
+                window = low.copy()
+                np.minimum(window[:-1], low[1:], out=window[:-1], where=same)
+                for i in np.flatnonzero(x.maybe(k, band)[window & np.uint32(0xFFFF)]):
+                    lo, hi = np.searchsorted(values, window[i], "left"), np.searchsorted(values, window[i], "right")
+                    pairs.update((int(at[i]), int(t)) for t in owners[lo:hi])
+            low = np.minimum(low[first], low[nxt])
+    return pairs
 
 
-def scan(texts: pa.Array, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[int, str, float]]:
+def _best(places: list[tuple[int, int, float, np.ndarray]], names: list[str]) -> dict[str, float]:
+    """License -> containment of a text's places (shingles held, template, containment, where they stand): at a place the licenses with most shingles."""
+    out: dict[str, float] = {}
+    taken: list[tuple[int, str, np.ndarray]] = []
+    for held, t, share, where in sorted(places, key=lambda p: (-p[0], p[1], p[3][0])):
+        if not any(n > held and name != names[t] and 2 * np.isin(where, other).sum() > len(where) for n, name, other in taken):
+            taken.append((held, names[t], where))
+            out[names[t]] = max(out.get(names[t], 0.0), share)
+    return out
+
+
+def scan(texts: pa.Array, templates: Templates) -> list[tuple[int, str, float]]:
     """(text, license, containment) of every text and license that are found."""
     x = _index(templates)
-    found: dict[tuple[int, str], float] = {}
+    found = []
     for a, b in _text.slices(texts):
         h, row, _ = _text.words(texts.slice(a, b - a))
         s, doc = _text.shingles(h, row, SHINGLE)
         if not len(s):
             continue
-        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        size = np.diff(np.append(begin, len(doc)))
-        strides = -(-size // x.FIRST)
-        edge0 = np.repeat(begin, strides) + x.FIRST * (np.arange(strides.sum()) - np.repeat(np.cumsum(strides) - strides, strides))
-        doc0 = doc[edge0]
-        pairs: set[tuple[int, int]] = set()  # (first shingle of a window, template)
-        for band in range(x.bands):
-            low = np.minimum.reduceat(_salted(s, band), edge0)
-            edge, d = edge0, doc0
-            for k in range(x.levels):
-                window = low.copy()
-                same = d[1:] == d[:-1]
-                np.minimum(window[:-1], low[1:], out=window[:-1], where=same)
-                values, owners = x.buckets[k][band]
-                if len(values):
-                    for i in np.flatnonzero(x.maybe(k, band)[window & np.uint32(0xFFFF)]):
-                        lo, hi = np.searchsorted(values, window[i], "left"), np.searchsorted(values, window[i], "right")
-                        pairs.update((int(edge[i]), int(t)) for t in owners[lo:hi])
-                first, two = _up(d)
-                nxt = np.minimum(first + 1, len(low) - 1)
-                low = np.where(two, np.minimum(low[first], low[nxt]), low[first])
-                edge, d = edge[first], d[first]
-        ends = dict(zip(doc[begin].tolist(), (begin + size).tolist(), strict=True))
-        starts = dict(zip(doc[begin].tolist(), begin.tolist(), strict=True))
-        for at, t in pairs:
-            stride, of = x.FIRST << int(x.level[t]), int(doc[at])
-            part = s[max(starts[of], at - stride) : min(ends[of], at + 3 * stride)]
-            held = float(np.isin(x.sets[t], part).mean())
-            if held >= CONTAINMENT:
-                k = (a + of, x.names[t])
-                found[k] = max(found.get(k, 0.0), held)
-    return [(i, name, held) for (i, name), held in sorted(found.items())]
-
-
-def found(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+        edges = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc))
+        places: dict[int, list[tuple[int, int, float, np.ndarray]]] = {}
+        for at, t in _retrieved(s, doc, x):
+            stride, which = x.FIRST << int(x.level[t]), int(np.searchsorted(edges, at, "right")) - 1
+            lo, hi = max(int(edges[which]), at - stride), min(int(edges[which + 1]), at + 3 * stride)
+            part = s[lo:hi]
+            there = np.isin(x.sets[t], part)
+            share = float(there.mean())
+            if share < CONTAINMENT or any(np.isin(d, part).mean() < APART for d in x.apart[t]):
+                continue
+            where = lo + np.flatnonzero(np.isin(part, x.sets[t]))
+            places.setdefault(int(doc[at]), []).append((int(there.sum()), t, share, where))
+        for i, own in sorted(places.items()):
+            found += [(a + i, name, share) for name, share in sorted(_best(own, x.names).items())]
+    return found
+
+
+def found(docs: DataFrame, among: Templates | None = None) -> DataFrame:
     """doc_id, license, containment of every license found in every document."""
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(templates() if among is None else among)  # some 300 KB of texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = scan(_text.as_strings(batch.column(1)), templates)
+            rows = scan(_text.as_strings(batch.column(1)), sent.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())],
                 names=["doc_id", "license", "containment"],

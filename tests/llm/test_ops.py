@@ -489,38 +489,94 @@ def test_near_copies_odd(spark, odd, empty):
 # 5 licenses
 
 
-def _contained(text):
-    """Best containment of each license by brute force over stretches of the text."""
-    tok = lambda t: [w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()]
-    sh = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
-    own, out = sh(tok(text)), {}
-    for name, t in licenses.TEMPLATES:
-        s = sh(tok(t))
-        held = len(s & own) / len(s)
-        if held >= licenses.CONTAINMENT:
-            out[name] = max(out.get(name, 0), held)
+def _words(text):
+    return "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
+
+
+def _shingles(words):
+    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or ({tuple(words)} if words else set())
+
+
+def _licenses_slowly(text):
+    """License -> containment for a text with at most one place of each: by sets over the whole text."""
+    own, places = _shingles(_words(text)), []
+    every = [(n, _shingles(_words(t))) for n, t in licenses.templates()]
+    for name, s in every:
+        held = s & own
+        if len(held) < licenses.CONTAINMENT * len(s):
+            continue
+        lacking = [s - r for n, r in every if n != name and licenses.RELATED * len(s) <= len(s & r) < len(s)]
+        if all(len(d & own) >= licenses.APART * len(d) for d in lacking):
+            places.append((len(held), name, len(held) / len(s)))
+    most = max((p[0] for p in places), default=0)
+    out = {}
+    for n, name, share in places:
+        if n == most or any(name == m and k == most for k, m, _ in places):
+            out[name] = max(out.get(name, 0), share)
     return out
 
 
-def test_licenses(spark, odd, empty):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = {(r["doc_id"], k) for r in d.collect() for k in _contained(r["text"])}
-    got = {(r["doc_id"], r["license"]) for r in licenses.found(d).collect()}
-    assert got == want and len(got) > 20
-    filler = " ".join(f"w{i}" for i in range(3000))
-    rows, names = [], {}
-    for k, (name, t) in enumerate(licenses.TEMPLATES):
+def test_licenses_of_documents_against_sets(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    some = d.where("lower(text) rlike 'licen|copyright|version|free software|creative' or doc_id % 50 = 0")
+    want = {(r["doc_id"], k, round(v, 9)) for r in some.collect() for k, v in _licenses_slowly(r["text"]).items()}
+    got = {(r["doc_id"], r["license"], round(r["containment"], 9)) for r in licenses.found(some).collect()}
+    assert got == want and len(got) > 200
+
+
+def test_every_template_is_found_alone(spark):
+    r = random.Random(1)
+    filler = " ".join(f"w{r.randrange(10**6)}" for _ in range(3000)).split()
+    rows, want = [], {}
+    for k, (name, t) in enumerate(licenses.templates()):
         for at in (0, 17, 2000):
-            words = filler.split()
+            words = filler.copy()
             words[at:at] = t.upper().split()
-            i = 100 * k + at % 97
-            rows.append((i, " ".join(words), "en", "s"))
-            names[i] = name
-    found = {(r["doc_id"], r["license"]) for r in licenses.found(table(spark, rows)).collect()}
-    assert {(i, n) for i, n in names.items()} <= found
-    assert licenses.found(table(spark, [(1, filler, "en", "s")])).count() == 0
+            rows.append((3 * k + at % 3, " ".join(words), "en", "s"))
+            want[3 * k + at % 3] = name
+    got = {}
+    for x in licenses.found(table(spark, rows)).collect():
+        got.setdefault(x["doc_id"], set()).add(x["license"])
+    assert got == {i: {n} for i, n in want.items()}
+    assert licenses.found(table(spark, [(1, " ".join(filler), "en", "s")])).count() == 0
+
+
+def test_edited_texts_and_relatives(spark):
+    full = {n: t for n, t in licenses.templates() if len(t) > 500}
+    r, rows, want = random.Random(2), [], {}
+    for i, (name, t) in enumerate(sorted(full.items())):
+        words = t.split()
+        for _ in range(max(1, len(words) // 60)):  # each edit breaks three shingles: about a twentieth of them
+            words[r.randrange(len(words))] = "edited"
+        rows.append((i, "a b c d " * 50 + " ".join(words) + " e f g h" * 50, "en", "s"))
+        want[i] = name
+    got = {}
+    for x in licenses.found(table(spark, rows)).collect():
+        got.setdefault(x["doc_id"], set()).add(x["license"])
+    assert {i: n for i, n in want.items() if got.get(i) != {n}} == {}
+    notices = [
+        ("This work is licensed under the GNU General Public License, version 4.", set()),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("Licensed under the Apache License, Version 2.0. And more: Released under the MIT License.", {"Apache-2.0", "MIT"}),
+        (full["MIT"] + full["BSD-3-Clause"], {"MIT", "BSD-3-Clause"}),
+        (full["BSD-3-Clause"][:400], set()),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("Released under the", set()),
+    ]
+    got = {i: set() for i in range(len(notices))}
+    for x in licenses.found(table(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(notices)])).collect():
+        got[x["doc_id"]].add(x["license"])
+    assert got == {i: n for i, (_, n) in enumerate(notices)}
+
+
+def test_licenses_odd(spark, odd, empty):
+    notice = "Released under the MIT License."
+    long = "word " * 400_000 + notice + " word" * 400_000
+    rows = [(1, notice, None, None), (1, notice, None, None), (None, notice, "en", "s"), (2, None, "en", "s"), (3, "", "en", "s"), (4, "MIT", "en", "s"), (5, long, "en", "s"), (6, notice + " x " * 40 + notice, "en", "s")]
+    got = sorted((r["doc_id"], r["license"], r["containment"]) for r in licenses.found(table(spark, rows)).collect())
+    assert got == [(1, "MIT", 1.0), (1, "MIT", 1.0), (5, "MIT", 1.0), (6, "MIT", 1.0)]
     assert licenses.found(empty).count() == 0
-    licenses.found(odd).collect()
+    assert {r["doc_id"] for r in licenses.found(odd).collect()} <= {r["doc_id"] for r in odd.collect() if r["text"] and "icense" in r["text"]}
 
 
 def test_band_count():
