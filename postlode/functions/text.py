@@ -119,7 +119,8 @@ def slug(c: Column, most: int = 48) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("no-subject")).otherwise(s)
 
 
-URL = r"^(imap|ews|local|pop)://([^/]*)/(.+)$"
+#: An account there must be; its path may be empty, with or without a slash.
+URL = r"^(imap|ews|local|pop)://([^/]+)/?(.*)$"
 
 
 def mailbox_url(c: Column, pattern: str = URL) -> Column:

@@ -363,11 +363,13 @@ def _strip_general(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("q_strip_markup_any_entity", _strip_general, _SQL["q_strip_markup"])
-_WEB = r"^(https?)://([^/]*)/(.+)$"
+_AS_MAILBOX = "regexp_replace(regexp_replace(url, '^https', 'imap'), '^http', 'ews')"
+_URL = X.URL
 _register(
     "q_url_parse",
-    lambda s, d: table(s, d, "pages").select("page_id", X.mailbox_url(F.col("url"), _WEB).alias("u")).where("u is not null").select("page_id", "u.scheme", "u.account", "u.path"),
-    f"SELECT page_id, regexp_extract(url, '{_WEB}', 1) AS scheme, regexp_extract(url, '{_WEB}', 2) AS account, url_decode(regexp_extract(url, '{_WEB}', 3)) AS path FROM pages WHERE regexp_matches(url, '{_WEB}')",
+    lambda s, d: table(s, d, "pages").select("page_id", X.mailbox_url(F.expr(_AS_MAILBOX)).alias("u")).where("u is not null").select("page_id", "u.scheme", "u.account", "u.path"),
+    f"""WITH t AS (SELECT page_id, {_AS_MAILBOX} AS u FROM pages)
+SELECT page_id, regexp_extract(u, '{_URL}', 1) AS scheme, regexp_extract(u, '{_URL}', 2) AS account, url_decode(regexp_extract(u, '{_URL}', 3)) AS path FROM t WHERE regexp_matches(u, '{_URL}')""",
 )
 _register(
     "q_addresses",

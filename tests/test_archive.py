@@ -3,6 +3,7 @@
 import os
 import sqlite3
 import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,10 @@ def test_values():
     assert V.quoted("invoice 12/2025") == '"invoice" AND "12/2025"'
     assert V.timestamp("2026-01-31") == V.timestamp("31/01/2026") == V.timestamp("2026/01/31")
     assert V.timestamp("2026-01-31", True) - V.timestamp("2026-01-31") == 86399
-    assert V.timestamp(None) is None
+    assert V.timestamp(None) is None and V.timestamp(" 2026-1-3 ") == V.timestamp("2026-01-03") and V.timestamp("1970-01-01", zone="Europe/Paris") == -3600
+    for bad in ("2026-13-01", "2026-01/02", "31-01-2026", "2026-02-30", "x"):
+        assert guarded(V.timestamp, bad)["error_code"] == "invalid_date"
+    assert V.quoted('a """ b') == '"a" AND "" AND "b"' and V.addresses_in("a; b,,") == ["a", "b"] and V.addresses_in(["a", " "]) == ["a"]
     assert guarded(V.timestamp, "le 31 janvier")["error_code"] == "invalid_date"
     assert V.flag_colour("grey") == 6 and V.flag_colour("red") == 0 and V.flag_colour("off") is None
     assert guarded(V.flag_colour, "turquoise")["error_code"] == "invalid_flag_color"
@@ -52,7 +56,9 @@ def test_text(spark):
     assert files.slug("Décompte 03 — lot 12") == "decompte-03-lot-12"
     u = _one(spark, X.mailbox_url, "imap://ACCOUNT-UUID/%5BGmail%5D/a+b%20c")
     assert (u["scheme"], u["account"], u["path"]) == ("imap", "ACCOUNT-UUID", "[Gmail]/a+b c")
-    assert _one(spark, X.mailbox_url, "ftp://a/b") is None
+    assert _one(spark, X.mailbox_url, "ftp://a/b") is None and _one(spark, X.mailbox_url, "imap:///b") is None
+    for bare in ("imap://uuid", "imap://uuid/"):
+        assert (_one(spark, X.mailbox_url, bare)["account"], _one(spark, X.mailbox_url, bare)["path"]) == ("uuid", "")
     assert _one(spark, X.records, "a\x1fb\x1ec\x1fd\x1e") == [["a", "b"], ["c", "d"]] and _one(spark, X.records, "") == []
     assert _one(spark, X.strip_markup, "<style>x</style><p>a &amp;lt;\n b</p>") == "a &lt; b"
     assert _one(spark, X.nfc, "é") == "é"
@@ -131,7 +137,7 @@ def test_build_and_sync(spark, tmp_path):
     t = store.open_store(spark, store.snapshot(db, str(tmp_path)))
     found = mime.scan_store(spark, str(tmp_path / "V3")).cache()
     assert [(r["id"], os.path.basename(r["path"])) for r in found.collect()] == [(1, "1.emlx")]
-    m, loc = ingest.built(t, found, mime.parse_files, now=5)
+    m, loc = ingest.built(t, found, partial(mime.parse_files, folder=str(tmp_path / "V3")), now=5)
     rows = {r["id"]: r for r in m.collect()}
     assert set(rows) == {1, 2}
     r = rows[1]
@@ -163,6 +169,34 @@ def test_mime():
     assert mime.text_of(None) == ("", "")
 
 
+MAIL = (
+    b"Message-ID: <m@x>\r\nMIME-Version: 1.0\r\nTo: \"Doe, J\" <j@x.fr>, b@x.fr\r\nReply-To: r@x.fr\r\nContent-Type: multipart/mixed; boundary=A\r\n\r\n"
+    b"--A\r\nContent-Type: multipart/alternative; boundary=B\r\n\r\n"
+    b"--B\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\nwords \xc3\xa9\r\n"
+    b"--B\r\nContent-Type: text/html\r\n\r\n<img src=\"cid:Logo\"><object data='cid:doc'>\r\n--B--\r\n"
+    b"--A\r\nContent-Type: image/png; name=logo.png\r\nContent-Disposition: inline; filename=logo.png\r\nContent-ID: <Logo>\r\n\r\n\r\n"
+    b"--A\r\nContent-Type: image/png; name=case.png\r\nContent-Disposition: inline; filename=case.png\r\nContent-ID: <logo>\r\n\r\nabc\r\n"
+    b"--A\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename=\"=?utf-8?q?d=C3=A9compte=2Epdf?=\"\r\nContent-ID: <doc>\r\n\r\nabcd\r\n"
+    b"--A\r\nContent-Type: application/x\r\nContent-Disposition: attachment\r\n\r\nxy\r\n"
+    b"--A\r\nContent-Type: application/x\r\nContent-Disposition: attachment; filename=\"../a/b.txt\"\r\n\r\nxyz\r\n"
+    b"--A\r\nContent-Type: application/x\r\nContent-Disposition: attachment; filename=\"b.txt\"\r\n\r\nuvw\r\n--A--\r\n"
+)
+
+
+def test_attachments(tmp_path):
+    got = mime.attachments_of(MAIL)
+    # an empty image that is shown is skipped, ids keep their case, unnamed parts are numbered among all
+    assert [(n, s, k) for n, s, _, k in got] == [("logo.png", 0, True), ("case.png", 3, False), ("décompte.pdf", 4, False), ("piece-7", 2, False), ("../a/b.txt", 3, False), ("b.txt", 3, False)]
+    saved, left = mime.save_attachments(MAIL, str(tmp_path / "out"))
+    assert [os.path.basename(p) for p in saved] == ["case.png", "décompte.pdf", "piece-7", "b.txt", "b-1.txt"] and left == ["logo.png"]
+    assert all(os.path.dirname(p) == str(tmp_path / "out") for p in saved) and (tmp_path / "out" / "b-1.txt").read_text() == "uvw"
+    h = mime.headers_of(MAIL)
+    assert (h["to"], h["reply_to"], h["cc"]) == ('"Doe, J" <j@x.fr>, b@x.fr', "r@x.fr", "") and h["headers"].startswith("Message-ID: <m@x>") and "words" not in h["headers"]
+    assert mime.text_of(MAIL) == ("m@x", "words é")
+    broken = b"Message-ID: <k@x>\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=A\r\n\r\n--A\r\nContent-Type: text/plain; charset=\"idna\"\r\n\r\n" + b"\xff" * 80 + b"\r\n--A\r\nContent-Type: text/plain\r\n\r\nkept\r\n--A--"
+    assert mime.text_of(broken)[0] == "k@x" and "kept" in mime.text_of(broken)[1]
+
+
 def test_drafts(spark, tmp_path):
     folder = str(tmp_path / "d")
     note = tmp_path / "note.txt"
@@ -179,7 +213,17 @@ def test_drafts(spark, tmp_path):
         with open(p, "w") as f:
             f.write("x")
         os.utime(p, (time.time() - days * 86400,) * 2)
-    assert files.purge_drafts(spark, folder) == ["old.eml", "sent/t.eml"]
+    with open(os.path.join(folder, "empty.eml"), "w"):
+        pass
+    os.utime(os.path.join(folder, "empty.eml"), (time.time() - 10 * 86400,) * 2)
+    assert files.purge_drafts(spark, folder) == ["empty.eml", "old.eml", "sent/t.eml"]
+    assert guarded(files.purge_drafts, spark, folder + "x")["error_code"] == "folder_not_found"
+    assert guarded(files.write_draft, folder, [], "s", "b")["error_code"] == "no_recipient"
+    assert guarded(files.write_draft, folder, " , ;", "s", "b")["error_code"] == "no_recipient"
+    assert guarded(files.write_draft, folder, "a@b", "s", "b", attachments=["/nowhere"])["error_code"] == "attachment_not_found"
+    c = files.write_draft(folder, '"Doe, J" <j@x.fr>, b@x.fr', "Re", "b", sender="me@x.fr")
+    assert files.read_draft(c)["from"] == "me@x.fr" and files.read_draft(c)["date"]
+    assert os.path.basename(files.file_sent(c)) == os.path.basename(c) and not os.path.exists(c)
     path = str(tmp_path / "ledger.json")
     files.record_sent(path, "s", ["A@Example.com"], now=0)
     files.record_sent(path, "s", ["Ada <A@Example.com>"], now=9000)
