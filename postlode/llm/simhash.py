@@ -44,6 +44,8 @@ HOME, GUESTS = 1 << 17, 1 << 18
 #: Tries are cut at this depth at least, so that cells are as many as cores, and at most at all bits of a block.
 SHALLOWEST, DEEPEST = 3, 21
 SALTS = 32
+#: Most documents to drop that are sent to all tasks (some 60 bytes each there); for more, texts are shuffled to meet them.
+BROADCAST_ROWS = 2_000_000
 BITS = ["s0", "s1", "s2", "s3"]
 
 assert sum(e + 1 for *_, e in BLOCKS) > BUDGET
@@ -363,7 +365,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = [F.col("doc_id").cast("long"), F.xxhash64("text")]
 
     def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        few = some.count() <= BROADCAST_ROWS  # of a written table
         some = some.select(F.col("doc_id").alias(a), F.col("t").alias(b))
+        some = F.broadcast(some) if few else some
         return rows.join(some, (own[0] == F.col(a)) & (own[1] == F.col(b)), how)
 
     left = among(docs, grouped(items).where("not keep"), "left_anti")

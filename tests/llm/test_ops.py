@@ -447,7 +447,9 @@ def test_every_word_is_signed():
     assert has.all() and far[0, 1] > simhash.FULL_BUDGET and far[2, 3] > simhash.FULL_BUDGET
 
 
-def test_one_id_with_several_texts(spark, docs):
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_one_id_with_several_texts(spark, docs, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
     x, y = (r["text"] for r in docs.where("n_chars > 900").orderBy("doc_id").limit(2).collect())
     df = spark.createDataFrame([(1, x, "b"), (1, x, "a"), (1, y, "c"), (2, y, "d"), (3, "...", "e"), (3, "...", "e"), (None, x, "f"), (None, x, "f")], "doc_id long, text string, extra string")
     left = simhash.deduplicated(df).collect()
