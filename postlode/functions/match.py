@@ -292,15 +292,21 @@ def predicate(query: str, text: dict[str, Column]) -> Column:
     return _column(parsed(query, tuple(text)), text)
 
 
-def compiled(query: str, text: dict[str, Column]) -> tuple[Column, str]:
-    """(predicate, query as interpreted): a query that doesn't parse is read as quoted words."""
+def interpreted(query: str, columns: tuple[str, ...]):
+    """(tree, query as interpreted): a query that doesn't parse is read as quoted words."""
     if not query.strip():
         raise ArchiveError("empty_query", "The query is empty.")
     try:
-        return predicate(query, text), query
+        return parsed(query, columns), query
     except MatchSyntaxError:
         again = quoted(query)
         try:
-            return predicate(again, text), again
+            return parsed(again, columns), again
         except MatchSyntaxError as e:
             raise ArchiveError("invalid_query", f"Unusable query: {e}") from e
+
+
+def compiled(query: str, text: dict[str, Column]) -> tuple[Column, str]:
+    """(predicate over folded, non-null columns by name, query as interpreted)."""
+    tree, used = interpreted(query, tuple(text))
+    return _column(tree, text), used

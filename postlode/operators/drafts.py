@@ -45,3 +45,20 @@ def folded_log(log: DataFrame) -> DataFrame:
     value = F.when(F.col("action") == "mark_as_read", "1").when(F.col("action") == "mark_as_unread", "0").when(F.col("action") == "delete", "Trash").otherwise(F.col("arg"))
     changes = log.select("id", F.try_element_at(kind, F.col("action")).alias("attribute"), value.alias("value"), "ts", "seq").where("attribute is not null")
     return changes.groupBy("id", "attribute").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+
+
+def changed(locations: DataFrame, log: DataFrame, trash: str = "Trash") -> DataFrame:
+    """locations with the log's changes: read and flag states, and moved or deleted messages at their new place only."""
+    state = folded_log(log).groupBy("id").agg(*[F.max(F.when(F.col("attribute") == a, F.struct("value"))).alias(a) for a in ("read", "flag", "mailbox")])
+    state = state.select(F.col("id").alias("__id"), *[F.col(a).alias(f"__{a}") for a in ("read", "flag", "mailbox")])
+    flagged = F.coalesce(F.col("__flag.value"), F.lit("")) != ""
+    rows = locations.join(state, F.col("message") == F.col("__id"), "left")
+    own = [
+        F.coalesce(F.col("__mailbox.value"), F.col("mailbox")).alias("mailbox"),
+        F.when(F.col("__read").isNotNull(), F.col("__read.value").cast("int")).otherwise(F.col("read")).alias("read"),
+        F.when(F.col("__flag").isNotNull(), flagged.cast("int")).otherwise(F.col("flagged")).alias("flagged"),
+    ]
+    rows = rows.select("message", "account", *own, F.col("__mailbox").isNotNull().alias("__moved"))
+    # a moved message has one place in an account, however many it had
+    still, moved = rows.where("not __moved").drop("__moved"), rows.where("__moved").drop("__moved")
+    return still.unionByName(moved.groupBy("message", "account", "mailbox").agg(F.max("read").alias("read"), F.max("flagged").alias("flagged")))

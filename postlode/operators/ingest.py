@@ -8,6 +8,7 @@ address, position), attachments (message, name, position).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -116,6 +117,45 @@ def synced(index: tuple[DataFrame, DataFrame], store: dict[str, DataFrame], file
     return applied(messages, more, removed, "id"), applied(locations, places, removed, "message")
 
 
+def sync_index(index, store: dict[str, DataFrame], files: DataFrame, parse, refresh_locations: bool = False, now: int | None = None, names: DataFrame | None = None, drafts: str | None = None) -> dict:
+    """Brings an index (sources.index.Index) up to date with the store; added, removed, and the drafts that were swept.
+
+    Held messages are not parsed again; with refresh_locations all locations are those of now. Any
+    failure is an ArchiveError: permission_denied, or sync_failed. A failure to sweep drafts is none.
+    """
+    try:
+        live = store["messages"].where("deleted = 0").select(F.col("rowid").alias("id"))
+        held = index.messages().select("id")
+        removed, moved = gone(held, live).select("id"), None
+        added, lost = new(held, live).count(), removed.count()  # of ids alone
+        more, places = built(store, files, parse, held, names, int(now or time.time()))
+        if refresh_locations:
+            _, places = built(store, files.limit(0), lambda d: d.select("id", F.lit("").alias("rfc_id"), F.lit("").alias("body")), None, names, 0)
+            moved = held
+        if added or lost or refresh_locations:
+            index.apply(more, places, removed, moved, now)
+        else:
+            index.touched(now)
+    except ArchiveError:
+        raise
+    except Exception as e:
+        text = str(e)
+        if isinstance(e, PermissionError) or "Permission denied" in text or "Operation not permitted" in text:
+            raise ArchiveError("permission_denied", "The store can't be read.", "Give this process access to it; what is indexed stays searchable.") from e
+        raise ArchiveError("sync_failed", text[:500]) from e
+    out = {"ok": True, "added": added, "removed": lost}
+    if drafts:
+        from ..sources.drafts import purge_drafts
+
+        try:
+            swept = purge_drafts(files.sparkSession, drafts)
+        except Exception:  # noqa: BLE001 - a sync must not fail over this
+            swept = []
+        if swept:
+            out["purged_drafts"] = swept
+    return out
+
+
 def check_tables(present: set[str]) -> tuple[bool, str]:
     missing = sorted(set(REQUIRED) - set(present))
     return not missing, ", ".join(missing)

@@ -15,8 +15,8 @@ from ..errors import ArchiveError
 from ..functions import text as X
 from ..functions.match import compiled
 from ..functions.values import MessageReference, clamp, timestamp
+from .fulltext import TEXT
 
-TEXT = ("subject", "sender", "recipients", "attachments", "body")
 #: Mailboxes that hold nearly everything, chosen only where there is no other.
 BULK = ("[Gmail]/All Mail", "[Gmail]/Important", "[Gmail]/Tous les messages")
 NO_SIZE = 10**9
@@ -38,11 +38,12 @@ def _held(messages: DataFrame, locations: DataFrame, where: Column) -> DataFrame
     return messages.join(ids, F.col("id") == F.col("__held"), "left_semi")
 
 
-def filtered(messages, locations, since=None, until=None, account=None, mailbox=None, unread_only=False, flagged_only=False, zone="UTC") -> DataFrame:
+def filtered(messages, locations, since=None, until=None, account=None, mailbox=None, unread_only=False, flagged_only=False, zone=None) -> DataFrame:
     """The given conditions, each on its own: different locations may satisfy account, mailbox and flags.
 
-    A bound that falls on second 0 of the epoch is no bound.
+    Days are those of ``zone``, by default the session's. A bound on second 0 of the epoch is no bound.
     """
+    zone = zone or messages.sparkSession.conf.get("spark.sql.session.timeZone")
     low, high = timestamp(since, zone=zone), timestamp(until, end_of_day=True, zone=zone)
     if low:
         messages = messages.where(F.col("date_received") >= low)
@@ -84,11 +85,15 @@ def picked(hits: DataFrame, locations: DataFrame) -> DataFrame:
     return one.select(*own, *[F.col(f"__pick.{c}").alias(c) for c in ("account", "mailbox", "read", "flagged")], others.alias("also_in"))
 
 
-def search_all(messages: DataFrame, locations: DataFrame, query: str, limit: int = 20, **filters) -> DataFrame:
-    """The newest matches, one chosen location each."""
+def search_all(messages: DataFrame, locations: DataFrame, query: str, limit: int = 20, ids: DataFrame | None = None, **filters) -> DataFrame:
+    """The newest matches, one chosen location each. ids: what matches, where an index has answered the query; else texts are read."""
     # dates reach the scan, texts are matched next, and only matches meet their locations
     dates = {k: filters.pop(k) for k in ("since", "until") if k in filters}
-    found, _ = matching(filtered(messages, locations, **dates, zone=filters.get("zone", "UTC")), query)
+    found = filtered(messages, locations, **dates, zone=filters.get("zone"))
+    if ids is None:
+        found = matching(found, query)[0]
+    else:
+        found = found.join(ids.select(F.col("id").alias("__match")), F.col("id") == F.col("__match"), "left_semi")
     hits = newest(filtered(found, locations, **filters), limit).select("id", "subject", "sender", "date_received", "rfc_id")
     return picked(hits, locations).select(
         X.message_token(F.col("account"), F.col("mailbox"), F.col("id")).alias("message_id"),
@@ -103,12 +108,23 @@ def search_all(messages: DataFrame, locations: DataFrame, query: str, limit: int
     )
 
 
+def search_index(index, query: str, limit: int = 20, **filters) -> tuple[DataFrame, str]:
+    """(search_all() of an index (sources.index.Index) by its postings, query as interpreted)."""
+    ids, used = index.find(query)
+    return search_all(index.messages(), index.locations(), query, limit, ids, **filters), used
+
+
+def response(rows: DataFrame, query: str, used: str, indexed: int, freshness: dict | None = None) -> dict:
+    """A search's whole answer as data; of bounded size, as the limit is."""
+    found = rows.orderBy(F.desc("date_received"), F.desc("mail_id")).collect()
+    out = {"ok": True, "query": query, "messages": [r.asDict() for r in found], "indexed_messages": indexed, "coverage": "all_indexed_mail", **(freshness or {})}
+    return out | ({"interpreted_as": used} if used != query else {})
+
+
 def search_response(messages: DataFrame, locations: DataFrame, query: str, freshness: dict | None = None, **options) -> dict:
-    """The whole answer as data; of bounded size, as the limit is."""
+    """response() over tables without an index."""
     _, used = matching(messages, query)
-    rows = search_all(messages, locations, query, **options).orderBy(F.desc("date_received"), F.desc("mail_id")).collect()
-    out = {"ok": True, "query": query, "messages": [r.asDict() for r in rows], "indexed_messages": messages.count(), "coverage": "all_indexed_mail", **(freshness or {})}
-    return out | ({"interpreted_as": used} if used != query else {})
+    return response(search_all(messages, locations, query, **options), query, used, messages.count(), freshness)
 
 
 def thread(messages: DataFrame, locations: DataFrame, identifier: int, limit: int = 100) -> DataFrame:
@@ -151,14 +167,18 @@ def mailboxes_by_account(locations: DataFrame) -> DataFrame:
     return per.groupBy("account").agg(F.count("*").alias("mailbox_count"), F.array_sort(F.collect_list(F.struct("mailbox", "unread", "total"))).alias("mailboxes"))
 
 
-def count_unread(locations: DataFrame, mailbox: str | None = None, account: str | None = None) -> DataFrame:
-    """Unread by mailbox: those with any, or the mailbox asked for even at 0."""
-    if account:
-        locations = locations.where(X.ascii_lower(F.col("account")) == X.ascii_lower(F.lit(account)))
-    if mailbox:
-        locations = locations.where(X.ascii_lower(F.col("mailbox")) == X.ascii_lower(F.lit(mailbox)))
+def _same(column: str, value: str) -> Column:
+    return X.ascii_lower(F.col(column)) == X.ascii_lower(F.lit(value))
+
+
+def count_unread(locations: DataFrame, mailbox: str | None = None, account: str | None = None, boxes: DataFrame | None = None) -> DataFrame:
+    """Unread by mailbox: those with any, or the mailbox asked for even at 0. boxes (account, mailbox): all there are, with or without messages."""
+    every = locations.select("account", "mailbox").distinct() if boxes is None else boxes
+    for name, value in (("account", account), ("mailbox", mailbox)):
+        if value:
+            locations, every = locations.where(_same(name, value)), every.where(_same(name, value))
     per = list_mailboxes(locations)
-    return per if mailbox else per.where("unread > 0")
+    return every.join(per, ["account", "mailbox"], "left").na.fill(0, ["unread"]) if mailbox else per.where("unread > 0")
 
 
 def scan_window(limit: int, unread_only: bool, scan_limit: int | None = None) -> int:
@@ -166,26 +186,49 @@ def scan_window(limit: int, unread_only: bool, scan_limit: int | None = None) ->
     return max(limit, min(default if scan_limit is None else int(scan_limit), 2000))
 
 
+def _newest_of(messages: DataFrame, here: DataFrame, limit: int, unread_only: bool, scan_limit: int | None, preview_chars: int) -> DataFrame:
+    """Rows of list_messages() with their place (account, mailbox)."""
+    place = here.select(F.col("message").alias("__m"), F.col("account").alias("__a"), F.col("mailbox").alias("__b"), "read", "flagged")
+    rows = messages.drop("read", "flagged", "account", "mailbox").join(place, F.col("id") == F.col("__m"))
+    rows = rows.select("id", "subject", "sender", "date_received", F.col("__a").alias("account"), F.col("__b").alias("mailbox"), "read", "flagged", *(["body"] if preview_chars else []))
+    newest_first = [F.desc("date_received"), F.desc("id")]
+    rows = rows.orderBy(*newest_first).limit(scan_window(limit, unread_only, scan_limit))
+    if unread_only:
+        rows = rows.where("read = 0")
+    rows = rows.orderBy(*newest_first).limit(limit)
+    if preview_chars:
+        n = F.row_number().over(W.orderBy(*newest_first))  # at most ``limit`` rows
+        rows = rows.select("*", n.alias("__n")).withColumn("preview", F.when(F.col("__n") <= PREVIEWS, X.preview(F.col("body"), preview_chars))).drop("body", "__n")
+    return rows
+
+
 def list_messages(messages: DataFrame, locations: DataFrame, account: str, mailbox: str, limit: int = 20, unread_only: bool = False, scan_limit: int | None = None, preview_chars: int = 0) -> DataFrame:
     """The newest messages of a mailbox: a window of them first, then the unread among it, then the limit.
 
-    preview: of the first PREVIEWS rows. window_truncated: the window was shorter than the mailbox.
+    message_id: their references. preview: of the first PREVIEWS rows. window_truncated: the window
+    was shorter than the mailbox.
     """
     limit = clamp(limit, 1, 200)
-    window = scan_window(limit, unread_only, scan_limit)
     here = locations.where((F.col("account") == account) & (F.col("mailbox") == mailbox))
-    place = here.select(F.col("message").alias("__m"), "read", "flagged")
-    rows = messages.drop("read", "flagged").join(place, F.col("id") == F.col("__m"))
-    rows = rows.select("id", "subject", "sender", "date_received", "read", "flagged", *(["body"] if preview_chars else []))
-    total = here.count() if unread_only else 0
-    rows = rows.orderBy(F.desc("date_received"), F.desc("id")).limit(window)
-    if unread_only:
-        rows = rows.where("read = 0")
-    rows = rows.orderBy(F.desc("date_received"), F.desc("id")).limit(limit)
-    if preview_chars:
-        n = F.row_number().over(W.orderBy(F.desc("date_received"), F.desc("id")))  # at most ``limit`` rows
-        rows = rows.select("*", n.alias("__n")).withColumn("preview", F.when(F.col("__n") <= PREVIEWS, X.preview(F.col("body"), preview_chars))).drop("body", "__n")
-    return rows.withColumn("window_truncated", F.lit(unread_only and window < total))
+    rows = _newest_of(messages, here, limit, unread_only, scan_limit, preview_chars)
+    rows = rows.select(X.message_token(F.col("account"), F.col("mailbox"), F.col("id")).alias("message_id"), "*")
+    if not unread_only:
+        return rows.withColumn("window_truncated", F.lit(False))
+    held = here.limit(scan_window(limit, True, scan_limit) + 1).agg((F.count("*") > scan_window(limit, True, scan_limit)).alias("window_truncated"))
+    return rows.crossJoin(F.broadcast(held))  # one row
+
+
+def window_of(messages: DataFrame, here: DataFrame, limit: int, unread_only: bool, scan_limit: int | None, preview_chars: int) -> tuple[list[dict], int, int]:
+    """(rows of a live listing, how many messages were looked at, how many there are) at the places in here."""
+    limit = clamp(limit, 1, 200)
+    total = here.count()
+    rows = []
+    for r in _newest_of(messages, here, limit, unread_only, scan_limit, preview_chars).orderBy(F.desc("date_received"), F.desc("id")).collect():
+        x = r.asDict()
+        token = MessageReference(x["account"], x["mailbox"], x["id"]).encode()
+        row = {"message_id": token, "mail_id": x["id"], **{k: x[k] for k in ("subject", "sender", "date_received", "mailbox", "account")}, "read": bool(x["read"]), "flagged": bool(x["flagged"])}
+        rows.append({**row, "preview": x["preview"]} if x.get("preview") else row)
+    return rows, min(total, scan_window(limit, unread_only, scan_limit)), total
 
 
 def get_message(messages: DataFrame, locations: DataFrame, token: str, max_body_chars: int = 20_000) -> DataFrame:
@@ -197,19 +240,71 @@ def get_message(messages: DataFrame, locations: DataFrame, token: str, max_body_
     return row.withColumn("account", F.col("__a")).withColumn("__b", X.truncated(F.coalesce("body", F.lit("")), max_body_chars)).drop("body", "__m", "__a").select("*", "__b.*").drop("__b")
 
 
-#: Names by which any account's special mailboxes are asked for.
-ALIASES = {"inbox": "INBOX", "sent": "Sent", "drafts": "Drafts", "trash": "Trash", "junk": "Junk"}
+#: Names by which any account's special mailboxes are asked for, in the languages that mail clients use.
+ALIASES = {
+    "inbox": ("INBOX", "Inbox", "Boîte de réception", "Bandeja de entrada", "Posteingang"),
+    "sent": ("Sent", "Sent Messages", "[Gmail]/Sent Mail", "Messages envoyés", "Éléments envoyés", "[Gmail]/Messages envoyés", "Gesendet", "Enviados"),
+    "drafts": ("Drafts", "[Gmail]/Drafts", "Brouillons", "[Gmail]/Brouillons", "Entwürfe", "Borradores"),
+    "trash": ("Trash", "[Gmail]/Trash", "Deleted Messages", "Corbeille", "[Gmail]/Corbeille", "Papierkorb", "Papelera"),
+    "junk": ("Junk", "Spam", "[Gmail]/Spam", "Courrier indésirable", "Werbung", "Correo no deseado"),
+}
+
+
+def _lower(text: str) -> str:
+    """Lower case of ASCII letters alone."""
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def _special(name: str) -> tuple[str, ...]:
+    """All names of the special mailbox that name is one of."""
+    wanted = _lower(name)
+    return next((names for key, names in ALIASES.items() if wanted == key or wanted in map(_lower, names)), ())
 
 
-def resolve_mailbox(locations: DataFrame, account: str, mailbox: str, aliases: dict[str, str] | None = None) -> tuple[str, str]:
-    """(account, mailbox) as stored: exact, then without regard to ASCII case, then by alias."""
-    known = [(r[0], r[1]) for r in locations.select("account", "mailbox").distinct().where(X.ascii_lower(F.col("account")) == X.ascii_lower(F.lit(account))).collect()]
+def resolve_account(boxes: DataFrame, account: str) -> str:
+    """The account as stored: exact, else without regard to ASCII case."""
+    known = sorted(r[0] for r in boxes.where(_same("account", account)).select("account").distinct().collect())
     if not known:
         raise ArchiveError("account_not_found", f"No account {account!r}.")
-    names = [mailbox, {**ALIASES, **(aliases or {})}.get(mailbox.lower(), mailbox)]
-    for same in (lambda a, b: a == b, lambda a, b: a.lower() == b.lower()):
-        for name in names:
-            for a, m in sorted(known, key=lambda k: (k[0] != account, k)):
-                if same(m, name):
-                    return a, m
-    raise ArchiveError("mailbox_not_found", f"No mailbox {mailbox!r} in {account!r}.")
+    return account if account in known else known[0]
+
+
+def _chosen(held: list[str], mailbox: str) -> str | None:
+    """The name among held that is meant: exact, without regard to ASCII case, or another name of the same special mailbox."""
+    for name in (mailbox, *_special(mailbox)):
+        if name in held:
+            return name
+        if alike := [h for h in held if _lower(h) == _lower(name)]:
+            return alike[0]
+    return None
+
+
+def resolve_mailbox(boxes: DataFrame, account: str, mailbox: str) -> tuple[str, str]:
+    """(account, mailbox) as stored in boxes (account, mailbox); no mailbox is the inbox."""
+    own = resolve_account(boxes, account)
+    held = sorted(r[0] for r in boxes.where(F.col("account") == own).select("mailbox").distinct().collect())
+    found = _chosen(held, mailbox or "inbox")
+    if found is None:
+        raise ArchiveError("mailbox_not_found", f"No mailbox {mailbox!r} in {account!r}.")
+    return own, found
+
+
+def resolve_anywhere(boxes: DataFrame, mailbox: str) -> list[tuple[str, str]]:
+    """The places that a mailbox without an account means: a special one in every account, any other in the first that has it."""
+    by: dict[str, list[str]] = {}
+    for r in boxes.distinct().orderBy("account", "mailbox").collect():
+        by.setdefault(r["account"], []).append(r["mailbox"])
+    found = [(a, m) for a, held in by.items() if (m := _chosen(held, mailbox)) is not None]
+    if not found:
+        raise ArchiveError("mailbox_not_found", f"No mailbox {mailbox!r}.")
+    return found if _special(mailbox) else found[:1]
+
+
+def same_message(messages: DataFrame, locations: DataFrame, identifier: int, account: str, mailbox: str) -> int | None:
+    """The number of the message at a place that has the rfc_id of another one; None if there is none."""
+    row = messages.where(F.col("id") == identifier).select("rfc_id").first()
+    if row is None or not row[0]:
+        return None
+    there = locations.where((F.col("account") == account) & (F.col("mailbox") == mailbox)).select(F.col("message").alias("__m"))
+    found = messages.where((F.col("rfc_id") == row[0]) & (F.col("id") != identifier)).join(there, F.col("id") == F.col("__m"), "left_semi")
+    return found.agg(F.max("id")).first()[0]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..__main__ import search as cli_search
 from ..functions import text as X
 from ..operators import drafts, ingest, search
 from ..ship import ship
+from ..sources.index import Index
 from .views import LOCATIONS, MESSAGES, NOW, locations, messages, table
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +49,31 @@ def _has(pattern: str, columns: tuple[str, ...] = ("fsubject", "fsender", "fbody
     return "(" + " OR ".join(f"regexp_matches({c}, '{pattern}')" for c in columns) + ")"
 
 
-def _fts(query: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return search.matching(messages(spark, d), query)[0].select("id")
+_BUILT: dict[tuple[str, str], Index] = {}
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share; of our own only where none is set, on one machine."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="postlode-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    return run
+
+def archive(s: SparkSession, d: str) -> Index:
+    """The index of a folder of tables, built once a session."""
+    key = s.sparkContext.applicationId, d
+    if key not in _BUILT:
+        index = Index(s, _folder(s, "index"))
+        index.build(messages(s, d), locations(s, d), now=NOW)
+        _BUILT[key] = index
+    return _BUILT[key]
+
+
+def _fts(query: str):
+    return lambda s, d: archive(s, d).find(query)[0]
 
 
 def _fts_sql(where: str) -> str:
@@ -84,12 +106,42 @@ for _name, _query, _where in (
     _register(f"q_fts_{_name}", _fts(_query), _fts_sql(_where))
 
 
-def _near3(spark: SparkSession, d: str) -> DataFrame:
-    """A group of three phrases, by token positions."""
-    return _fts('NEAR("of the" with from, 8)')(spark, d)
-
-
-_register("q_fts_near_phrases", _near3)
+_register("q_fts_quotes_only", _fts('re: """ with'), _fts_sql("false"))
+_register("q_scan_term", lambda s, d: search.matching(messages(s, d), "with from")[0].select("id"), _SQL["q_fts_implicit_and"])
+_register("q_scan_near", lambda s, d: search.matching(messages(s, d), "NEAR(the with, 3)")[0].select("id"), _SQL["q_fts_near"])
+# a group of three phrases: from the end of each to the start of the last are at most 8 terms
+_register(
+    "q_fts_near_phrases",
+    _fts('NEAR("of the" with from, 8)'),
+    rf"""WITH {MESSAGES}, words AS (
+  SELECT id, c, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (
+    SELECT id, unnest([1, 2, 3]) AS c, unnest([regexp_extract_all(fsubject, '[\p{{L}}\p{{N}}]+'), regexp_extract_all(fsender, '[\p{{L}}\p{{N}}]+'), regexp_extract_all(fbody, '[\p{{L}}\p{{N}}]+')]) AS w FROM messages_v)),
+starts AS (
+  SELECT a.id, a.c, a.pos, 0 AS k, 2 AS n FROM words a JOIN words b ON a.id = b.id AND a.c = b.c AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'
+  UNION ALL SELECT id, c, pos, 1, 1 FROM words WHERE term = 'with'
+  UNION ALL SELECT id, c, pos, 2, 1 FROM words WHERE term = 'from')
+SELECT DISTINCT id FROM (
+  SELECT m.id, m.c, m.pos, m.k FROM starts m JOIN starts s ON m.id = s.id AND m.c = s.c AND s.pos BETWEEN m.pos - s.n - 8 AND m.pos
+  GROUP BY ALL HAVING count(DISTINCT s.k) = 3)""",
+)
+_register(
+    "q_index_build",
+    lambda s, d: archive(s, d).messages().select("id", "account", "date_received", F.length("body").alias("n")),
+    f"WITH {MESSAGES} SELECT id, account, date_received, length(body) AS n FROM messages_v",
+)
+_register(
+    "q_cli_search",
+    lambda s, d: cli_search(archive(s, d), "subject: the", 30).select("id", "subject", "account", "boxes"),
+    f"""WITH {MESSAGES}, {LOCATIONS}, hits AS (SELECT * FROM messages_v WHERE {_has(_re('the'), ('fsubject',))} ORDER BY date_received DESC, id DESC LIMIT 30)
+SELECT id, subject, account, (SELECT string_agg(mailbox, ', ' ORDER BY mailbox) FROM locations_v l WHERE l.message = h.id) AS boxes FROM hits h""",
+)
+_register("q_index_locations", lambda s, d: archive(s, d).locations(), f"WITH {LOCATIONS} SELECT * FROM locations_v")
+_register(
+    "q_index_terms",
+    lambda s, d: archive(s, d).postings().groupBy("term").agg(F.countDistinct("id").alias("messages"), F.sum(F.size("p")).alias("places")),
+    rf"""WITH {MESSAGES} SELECT term, count(DISTINCT id) AS messages, count(*) AS places FROM (
+  SELECT id, unnest(regexp_extract_all(fsubject || ' ' || fsender || ' ' || fbody, '[\p{{L}}\p{{N}}]+')) AS term FROM messages_v) GROUP BY term""",
+)
 _register(
     "q_tokens_count",
     lambda s, d: messages(s, d).select("id", X.token_count(X.fold(F.col("body"))).cast("long").alias("n_tokens")),
@@ -108,7 +160,7 @@ _LOW, _HIGH = 1704412800, 1705795199
 
 
 def _filter(**conditions):
-    return lambda s, d: search.filtered(messages(s, d), locations(s, d), **conditions).select("id")
+    return lambda s, d: search.filtered(messages(s, d), locations(s, d), zone="UTC", **conditions).select("id")
 
 
 def _held_sql(*where: str) -> str:
@@ -141,7 +193,7 @@ def _joined(df: DataFrame, name: str = "also_in") -> DataFrame:
 
 _register(
     "q_search_full",
-    lambda s, d: _joined(search.search_all(messages(s, d), locations(s, d), "the with", since=_SINCE, until=_UNTIL, account="en", unread_only=True)),
+    lambda s, d: _joined(search.search_index(archive(s, d), "the with", since=_SINCE, until=_UNTIL, account="en", unread_only=True, zone="UTC")[0]),
     f"""WITH {MESSAGES}, {LOCATIONS}, hits AS (
   SELECT * FROM messages_v m WHERE {_T('the')} AND {_T('with')} AND date_received BETWEEN {_LOW} AND {_HIGH}
     AND EXISTS (SELECT 1 FROM locations_v l WHERE l.message = m.id AND account = 'en')
@@ -165,17 +217,23 @@ _register(
 _register("q_mailbox_sizes", lambda s, d: search.mailbox_sizes(locations(s, d)), f"WITH {LOCATIONS} SELECT account, mailbox, count(*) AS n FROM locations_v GROUP BY ALL")
 _register(
     "q_thread",
-    lambda s, d: search.thread(messages(s, d), locations(s, d), 13, 500),
+    lambda s, d: search.thread(archive(s, d).messages(), archive(s, d).locations(), 13, 500),
     f"""WITH {MESSAGES}, {LOCATIONS}, own AS (
   SELECT * FROM messages_v WHERE conversation_id = (SELECT conversation_id FROM messages_v WHERE id = 13) ORDER BY date_received ASC NULLS FIRST, id LIMIT 500), {_PICKED}
 SELECT {_token_sql('c.account', 'c.mailbox', 'o.id')} AS message_id, o.id AS mail_id, subject, sender, date_received, c.account, c.mailbox,
   c.read <> 0 AS read, c.flagged <> 0 AS flagged, o.id = 13 AS is_requested
 FROM own o JOIN chosen c ON c.message = o.id""",
 )
+def _talks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as an archive: a turn is a message, a role a mailbox."""
+    t = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.col("text").alias("subject"), F.lit("talk").alias("account"), F.col("role").alias("sender"), F.col("turn").alias("date_received"), F.col("conv_id").alias("conversation_id"))
+    return t, t.select(F.col("id").alias("message"), "account", F.col("role").alias("mailbox"), F.lit(0).alias("read"), F.lit(1).alias("flagged"))
+
+
 _register(
     "q_thread_conversations",
-    lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max("turn").alias("last_turn")),
-    "SELECT conv_id, count(*) AS turns, arg_min(role, turn) AS first_role, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+    lambda s, d: search.thread(*_talks(s, d), 3000, 500).select("mail_id", "subject", "sender", "mailbox", "date_received", "read", "flagged", "is_requested"),
+    "SELECT conv_id * 1000 + turn AS mail_id, text AS subject, role AS sender, role AS mailbox, turn AS date_received, false AS read, true AS flagged, turn = 0 AS is_requested FROM conversations WHERE conv_id = 3",
 )
 _register(
     "q_limit_then_drop",
@@ -345,6 +403,118 @@ _register(
     f"WITH {_STATES}, {LOCATIONS} SELECT * FROM locations_v WHERE message NOT IN (SELECT id FROM held WHERE id NOT IN (SELECT id FROM live))",
 )
 
+def _whole_store(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A store with all its tables: orders, in 40 mailboxes of 3 accounts, with line items' suppliers and parts."""
+    li = table(s, d, "lineitem")
+    recipients = li.select(F.col("l_orderkey").alias("message"), F.col("l_suppkey").alias("address"), F.col("l_linenumber").alias("position"))
+    part = table(s, d, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(".pdf")).alias("name"))
+    boxes = s.range(40).select(F.col("id").alias("rowid"), F.concat(F.lit("imap://acc"), (F.col("id") % 3).cast("string"), F.lit("/Box%20"), F.col("id").cast("string")).alias("url"), F.lit(0).cast("long").alias("total_count"))
+    return _store(s, d) | {
+        "mailboxes": boxes, "recipients": recipients, "labels": li.where("l_linenumber = 1").select(F.col("l_orderkey").alias("message_id"), (F.col("l_suppkey") % 40).alias("mailbox_id")),
+        "attachments": li.where("l_quantity > 25").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("message"), "name", F.col("l_linenumber").alias("position")),
+    }
+
+
+def _whole_files(s: SparkSession, d: str) -> DataFrame:
+    """Message files of the first messages: their content instead of a path."""
+    return _stored(table(s, d, "documents"))
+
+
+def _built_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from ..sources import mime
+
+    return ingest.built(_whole_store(s, d), _whole_files(s, d), mime.parsed_text, now=NOW)
+
+
+_ALL_PLACES = "all_places AS (SELECT o_orderkey AS message, o_custkey % 40 AS box FROM orders WHERE o_orderstatus <> 'P' UNION SELECT l_orderkey, l_suppkey % 40 FROM lineitem WHERE l_linenumber = 1)"
+_register(
+    "q_build_messages",
+    lambda s, d: _built_of(s, d)[0].select("id", "account", "rfc_id", "subject", "sender", "date_received", "recipients", "attachments", F.length("body").alias("n_body")),
+    f"""WITH {_ROWS}, {_ALL_PLACES}, acc AS (SELECT message, 'acc' || min(box) % 3 AS account FROM all_places GROUP BY message),
+every AS (SELECT l_orderkey AS message, string_agg(CASE WHEN c_nationkey % 3 <> 0 THEN c_name ELSE '' END || ' c' || c_custkey || '@x.com', ' ' ORDER BY l_linenumber, CASE WHEN c_nationkey % 3 <> 0 THEN c_name ELSE '' END || ' c' || c_custkey || '@x.com') AS recipients FROM lineitem JOIN customer ON l_suppkey = c_custkey GROUP BY 1),
+att AS (SELECT l_orderkey AS message, string_agg(p_name || '.pdf', ' ' ORDER BY l_linenumber, p_name) AS attachments FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25 GROUP BY 1)
+SELECT id, coalesce(account, '') AS account, CASE WHEN doc_id IS NOT NULL THEN 'doc-' || doc_id || '@fixture' END AS rfc_id, subject, sender, date_received,
+  coalesce(every.recipients, '') AS recipients, coalesce(attachments, '') AS attachments, CAST(coalesce(length(substring(text, 1, 200000)), 0) AS INTEGER) AS n_body
+FROM rows_v LEFT JOIN acc ON acc.message = id LEFT JOIN every ON every.message = id LEFT JOIN att ON att.message = id LEFT JOIN documents ON doc_id = id""",
+)
+_register(
+    "q_build_locations",
+    lambda s, d: _built_of(s, d)[1],
+    f"""WITH {_ROWS}, {_ALL_PLACES} SELECT message, 'acc' || box % 3 AS account, 'Box ' || box AS mailbox, CAST(0 AS INTEGER) AS read, CAST(0 AS INTEGER) AS flagged FROM all_places WHERE message IN (SELECT id FROM rows_v)""",
+)
+
+
+def _sqlite(s: SparkSession, d: str) -> DataFrame:
+    """Customers as a store's table in a SQLite file, read back by ranges of rows."""
+    import os
+    import sqlite3
+
+    from ..sources import store
+
+    folder = _folder(s, "store").removeprefix("file://")
+    os.makedirs(folder)
+    rows = table(s, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_name").toPandas().itertuples(index=False)
+    with sqlite3.connect(f"{folder}/envelope.db") as c:
+        c.execute("CREATE TABLE addresses(address, comment)")
+        c.executemany("INSERT INTO addresses(rowid, address, comment) VALUES (?, ?, ?)", ((int(r[0]), r[1], r[2]) for r in rows))
+    return store.open_store(s, f"{folder}/envelope.db")["addresses"]
+
+
+_register("q_sqlite_source", _sqlite, "SELECT c_custkey AS rowid, 'c' || c_custkey AS address, c_name AS comment FROM customer")
+
+
+def _checked(s: SparkSession, d: str) -> DataFrame:
+    from ..sources import mime
+
+    t = _whole_store(s, d)
+    broken = t["mailboxes"].withColumn("url", F.when(F.col("rowid") == 7, "nowhere").otherwise(F.col("url"))).withColumn("total_count", F.lit(500).cast("long"))
+    files = _whole_files(s, d).withColumn("path", F.lit(""))
+    contents = _whole_files(s, d)
+    return ingest.checks(t | {"mailboxes": broken}, files, lambda f: mime.parsed_text(f.select("id").join(contents, "id"))).select("check", "passed")
+
+
+_register(
+    "q_checks",
+    _checked,
+    f"""WITH {_ROWS}, {_ALL_PLACES}, b AS (SELECT range AS box FROM range(40)), g AS (SELECT box, count(*) AS got FROM all_places GROUP BY box),
+seen AS (SELECT doc_id, text FROM (SELECT id FROM rows_v ORDER BY id LIMIT 200) JOIN documents ON doc_id = id ORDER BY doc_id LIMIT 50)
+SELECT 'expected tables present' AS "check", true AS passed UNION ALL SELECT 'mailbox urls parse', false
+UNION ALL SELECT 'messages have files', (SELECT count(doc_id) / count(*) > 0.9 FROM rows_v LEFT JOIN documents ON doc_id = id)
+UNION ALL SELECT 'membership agrees with totals', (SELECT count(*) FILTER (abs(coalesce(got, 0) - 500) / 500 < 0.02) = 40 FROM b LEFT JOIN g USING (box))
+UNION ALL SELECT 'message ids readable', (SELECT count(*) > 0 FROM seen) UNION ALL SELECT 'bodies readable', (SELECT count(*) FILTER (text <> '') > 0.9 * count(*) FROM seen)
+UNION ALL SELECT 'dates are unix seconds', (SELECT max(epoch(o_orderdate)) > 1e8 AND max(epoch(o_orderdate)) < 1e10 FROM orders)""",
+)
+_register(
+    "q_file_id",
+    lambda s, d: _message_files(s, d),
+    "SELECT doc_id AS id, '/s/V1/' || CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE 'a' END || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.partial' ELSE '' END || '.emlx' AS path FROM documents WHERE doc_id % 7 <> 0",
+)
+
+
+def _message_files(s: SparkSession, d: str) -> DataFrame:
+    """Paths of a store: message files whole and partial, some of both, hidden folders, other files."""
+    from ..sources import mime
+
+    i = F.col("doc_id")
+    docs = table(s, d, "documents").where("doc_id % 7 <> 0")
+    one = docs.select(F.concat(F.lit("/s/V1/"), F.when(i % 3 == 0, "b").otherwise("a"), F.lit("/"), i.cast("string"), F.when(i % 5 == 0, ".partial").otherwise(""), F.lit(".emlx")).alias("path"))
+    more = docs.where("doc_id % 5 <> 0").select(F.concat(F.lit("/s/V1/0/"), i.cast("string"), F.lit(".partial.emlx")).alias("path"))
+    hidden = table(s, d, "documents").select(F.concat(F.lit("/s/V1/.x/"), i.cast("string"), F.lit(".emlx")).alias("path"))
+    other = table(s, d, "documents").select(F.concat(F.lit("/s/V1/a/n"), i.cast("string"), F.lit(".emlx")).alias("path"))
+    return mime.message_files(one.unionByName(more).unionByName(hidden).unionByName(other))
+
+
+_register(
+    "q_changed_locations",
+    lambda s, d: drafts.changed(locations(s, d), _log(s, d)),
+    f"""WITH {LOCATIONS}, l AS (SELECT user_id AS id, ts, event_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'read' WHEN 'error' THEN 'flag' ELSE 'mailbox' END AS attribute,
+  CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '0' WHEN 'purchase' THEN 'Trash' ELSE 'v' || event_id % 7 END AS value FROM events),
+s AS (SELECT id, max(value) FILTER (attribute = 'read') AS r, max(value) FILTER (attribute = 'flag') AS f, max(value) FILTER (attribute = 'mailbox') AS m
+      FROM (SELECT id, attribute, arg_max(value, (ts, event_id)) AS value FROM l GROUP BY id, attribute) GROUP BY id),
+c AS (SELECT message, account, coalesce(m, mailbox) AS mailbox, CAST(coalesce(CAST(r AS INTEGER), read) AS INTEGER) AS read, CAST(CASE WHEN f IS NULL THEN flagged ELSE 1 END AS INTEGER) AS flagged, m IS NOT NULL AS moved FROM locations_v LEFT JOIN s ON id = message)
+SELECT message, account, mailbox, read, flagged FROM c WHERE NOT moved UNION ALL SELECT message, account, mailbox, max(read), max(flagged) FROM c WHERE moved GROUP BY 1, 2, 3""",
+)
+
 # text
 
 _ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -359,10 +529,12 @@ _register(
 
 
 def _strip_general(s: SparkSession, d: str) -> DataFrame:
-    return table(ship(s), d, "pages").select("page_id", X.strip_markup_general(F.col("html")).alias("plain"))
+    """Entities beyond those that are known by name here: named ones, by number, and without a semicolon."""
+    html = F.replace(F.col("html"), F.lit("&copy;"), F.lit("&eacute;&#8364;&#x41;&hellip;&amp &notanentity;"))
+    return table(ship(s), d, "pages").select("page_id", X.strip_markup_general(html).alias("plain"))
 
 
-_register("q_strip_markup_any_entity", _strip_general, _SQL["q_strip_markup"])
+_register("q_strip_markup_any_entity", _strip_general, _SQL["q_strip_markup"].replace("'&copy;', '©'", "'&copy;', 'é€A…& ¬anentity;'"))
 _AS_MAILBOX = "regexp_replace(regexp_replace(url, '^https', 'imap'), '^http', 'ews')"
 _URL = X.URL
 _register(
@@ -458,10 +630,14 @@ def _emlx(s: SparkSession, d: str) -> DataFrame:
     """Documents as stored message files, parsed back."""
     from ..sources import mime
 
+    return mime.parsed_text(_stored(table(s, d, "documents")))
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    """id, content of documents as stored message files."""
     raw = F.concat(F.lit("Message-ID: <doc-"), F.col("doc_id").cast("string"), F.lit("@fixture>\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), F.col("text"))
     stored = F.concat(F.octet_length(raw).cast("string"), F.lit("\n"), raw, F.lit("\n<plist/>"))
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(stored, "utf-8").alias("content"))
-    return mime.parsed_text(rows)
+    return docs.select(F.col("doc_id").alias("id"), F.encode(stored, "utf-8").alias("content"))
 
 
 _register("q_emlx_parse", _emlx, "SELECT doc_id AS id, 'doc-' || doc_id || '@fixture' AS rfc_id, substring(text, 1, 200000) AS body FROM documents")
@@ -475,7 +651,7 @@ def _classify(s: SparkSession, d: str) -> DataFrame:
         return f"--B\r\nContent-Type: {kind}; name=\"{name}\"\r\nContent-Disposition: {disposition}; filename=\"{name}\"\r\nContent-ID: <{cid}>\r\n\r\nabc\r\n"
 
     tail = part("image/png", "logo.png", "LOGO", "inline") + part("image/png", "photo.png", "OTHER", "inline") + part("application/pdf", "doc.pdf", "LOGO", "attachment") + "--B--\r\n"
-    raw = F.concat(F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=B\r\n\r\n--B\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n<img src=\"cid:logo\">"), F.col("html"), F.lit("\r\n" + tail))
+    raw = F.concat(F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=B\r\n\r\n--B\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n<img src=\"cid:LOGO\">"), F.col("html"), F.lit("\r\n" + tail))
     stored = F.concat(F.octet_length(raw).cast("string"), F.lit("\n"), raw)
     return mime.parsed_attachments(table(s, d, "pages").select(F.col("page_id").alias("id"), F.encode(stored, "utf-8").alias("content"))).select("id", "name", "skipped")
 
@@ -483,29 +659,34 @@ def _classify(s: SparkSession, d: str) -> DataFrame:
 _register("q_attachment_classify", _classify, "SELECT page_id AS id, name, name = 'logo.png' AS skipped FROM pages, (VALUES ('logo.png'), ('photo.png'), ('doc.pdf')) t(name)")
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
-    """An index built from documents and brought up to date by a stream of changes, in the shared folder."""
-    from ..sources import index
+_CHANGES = "id long, account string, subject string, body string, date_received long, rfc_id string, sender string, conversation_id long, op string, ts long, seq long, places array<struct<account:string,mailbox:string,read:int,flagged:int>>"
+
+
+def _streamed(s: SparkSession, d: str) -> Index:
+    """An index of two thirds of the documents, to which a stream adds the others and takes away some."""
     from ..streaming.sync import sync_stream
 
-    shared = (s.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://") or None
-    if shared:
-        os.makedirs(shared, exist_ok=True)
-    folder = tempfile.mkdtemp(prefix="postlode-stream-", dir=shared)
-    m = messages(s, d).select("id", "account", "subject", "date_received")
-    index.write_generation(f"{_made(folder, 'index')}", m.where("id % 3 <> 0"), locations(s, d))
+    key = s.sparkContext.applicationId, f"{d} streamed"
+    if key in _BUILT:
+        return _BUILT[key]
+    folder = _folder(s, "stream")
+    index = Index(s, f"{folder}/index")
+    m = messages(s, d).select("id", "account", "subject", "body", "date_received", "rfc_id", "sender", "conversation_id")
+    old = m.where("id % 3 <> 0")
+    index.build(old, locations(s, d).where("message % 3 <> 0"), now=NOW)
+    place = F.array(F.struct("account", F.lit("Inbox").alias("mailbox"), F.lit(0).alias("read"), F.lit(0).alias("flagged")))
     at = [F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("seq")]
-    more = m.where("id % 3 = 0").select("*", F.lit("upsert").alias("op"), *at)
-    less = m.where("id % 5 = 1").select("*", F.lit("delete").alias("op"), (at[0] + 1).alias("ts"), at[1])
+    more = m.where("id % 3 = 0").select("*", F.lit("upsert").alias("op"), *at, place.alias("places"))
+    less = m.where("id % 5 = 1").select("*", F.lit("delete").alias("op"), (at[0] + 1).alias("ts"), at[1], F.lit(None).cast("array<struct<account:string,mailbox:string,read:int,flagged:int>>").alias("places"))
     more.unionByName(less).write.parquet(f"{folder}/changes")
-    sync_stream(s, f"{folder}/changes", "id long, account string, subject string, date_received long, op string, ts long, seq long", f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
-    return index.open_index(s, f"{folder}/index")[0].select("id", "account")
+    sync_stream(s, f"{folder}/changes", _CHANGES, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    _BUILT[key] = index
+    return index
 
 
-def _made(folder: str, name: str) -> str:
-    path = os.path.join(folder, name)
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
-_register("q_stream_sync", _stream, "SELECT doc_id AS id, lang AS account FROM documents WHERE doc_id % 5 <> 1")
+_register("q_stream_sync", lambda s, d: _streamed(s, d).messages().select("id", "account"), "SELECT doc_id AS id, lang AS account FROM documents WHERE doc_id % 5 <> 1")
+_register(
+    "q_stream_search",
+    lambda s, d: search.search_index(_streamed(s, d), "the with", 200, mailbox="inbox")[0].select("mail_id", "mailbox", "account"),
+    f"""WITH {MESSAGES} SELECT id AS mail_id, 'Inbox' AS mailbox, account FROM messages_v WHERE id % 3 = 0 AND id % 5 <> 1 AND {_T('the')} AND {_T('with')} ORDER BY date_received DESC, id DESC LIMIT 200""",
+)

@@ -130,16 +130,22 @@ def read_ledger(path: str) -> list[dict]:
     try:
         with open(path, encoding="utf-8") as f:
             value = json.load(f)
-        return value if isinstance(value, list) else []
     except (OSError, ValueError):
         return []
+    entries = value if isinstance(value, list) else []
+    return [{"subject": None, "to": [], **e, "at": float(e.get("at") or 0)} for e in entries if isinstance(e, dict)]
 
 
 def record_sent(path: str, subject: str, to: list[str], now: float | None = None, window: float = 2 * 3600) -> None:
+    """Notes a send. A ledger that can't be written is no error: what was sent is sent."""
     now = time.time() if now is None else now
-    kept = [e for e in read_ledger(path) if now - e.get("at", 0) < window]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([*kept, {"subject": subject, "to": [t.lower() for t in to], "at": now}], f)
+    kept = [e for e in read_ledger(path) if now - e["at"] < window]
+    try:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump([*kept, {"subject": subject, "to": [t.lower() for t in to], "at": now}], f)
+    except OSError:
+        return
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -1,50 +1,37 @@
 """Keeping the index up to date from a folder of change files.
 
-Each micro-batch is folded to one row a message (the last by ts, then seq), set against the
-current generation, and written as the next one; the batch id is kept with the pointer, so a
-batch that is run again changes nothing.
+Each micro-batch is folded to one row a message (the last by ts, then seq) and added to the index as
+a part. The batch's number is committed with the part, in one manifest, so a batch that is run again
+changes nothing.
 """
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ingest import applied
-from ..sources import index
+from ..sources.index import Index
+
+STREAM = "changes"
 
 
 def folded(batch: DataFrame) -> DataFrame:
     """The last row of each id."""
-    n = F.row_number().over(W.partitionBy("id").orderBy(F.desc("ts"), F.desc("seq")))
-    return batch.withColumn("__n", n).where("__n = 1").drop("__n")
-
-
-def apply_batch(path: str, batch: DataFrame, batch_id: int) -> None:
-    """batch: columns of messages, and op (upsert or delete), ts, seq."""
-    marker = os.path.join(path, "BATCH.json")
-    if os.path.exists(marker):
-        with open(marker, encoding="utf-8") as f:
-            if json.load(f)["batch"] >= batch_id:
-                return
-    messages, locations = index.open_index(batch.sparkSession, path)
+    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    return batch.groupBy("id").agg(F.max_by(row, F.struct("ts", "seq")).alias("row")).select("row.*")
+
+
+def apply_batch(index: Index, batch: DataFrame, batch_id: int, stream: str = STREAM) -> None:
+    """batch: columns of messages; op (upsert or delete), ts, seq; places: array of (account, mailbox, read, flagged), all that a message has."""
     last = folded(batch)
-    removed = last.where("op = 'delete'").select("id")
-    more = last.where("op = 'upsert'").select(*messages.columns)
-    gone = removed.select(F.col("id").alias("__g"))
-    index.write_generation(path, applied(messages, more, removed, "id"), locations.join(gone, F.col("message") == F.col("__g"), "left_anti"))
-    tmp = marker + ".tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        json.dump({"batch": batch_id}, f)
-    os.replace(tmp, marker)
+    more = last.where("op = 'upsert'")
+    places = more.select(F.col("id").alias("message"), F.explode("places").alias("p")).select("message", "p.account", "p.mailbox", "p.read", "p.flagged")
+    index.apply(more, places, last.where("op = 'delete'").select("id"), batch=(stream, batch_id))
 
 
-def sync_stream(spark: SparkSession, changes: str, schema: str, path: str, checkpoint: str, every: str | None = None):
+def sync_stream(spark: SparkSession, changes: str, schema: str, path: str, checkpoint: str, every: str | None = None, stream: str = STREAM):
     """A started query: all that is there and then stop, or with ``every`` (as "10 minutes") again and again."""
-    stream = spark.readStream.schema(schema).parquet(changes)
-    writer = stream.writeStream.foreachBatch(lambda df, n: apply_batch(path, df, n)).option("checkpointLocation", checkpoint)
+    index = Index(spark, path)
+    rows = spark.readStream.schema(schema).parquet(changes)
+    writer = rows.writeStream.foreachBatch(lambda df, n: apply_batch(index, df, n, stream)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

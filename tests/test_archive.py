@@ -148,17 +148,86 @@ def test_build_and_sync(spark, tmp_path):
     assert not report.where("check = 'mailbox urls parse'").first()["passed"] and report.count() == 7
     assert guarded(ingest.gate, report)["error_code"] == "checks_failed"
     ingest.gate(report, force=True)
-    path = str(tmp_path / "index")
-    os.makedirs(path)
-    assert guarded(index.open_index, spark, path)["error_code"] == "index_missing" and index.age_minutes(path) is None
-    index.write_generation(path, m, loc)
-    assert index.status(spark, path)["messages"] == 2 and index.age_minutes(path) < 5
-    held = index.open_index(spark, path)
+    i = index.Index(spark, str(tmp_path / "index"))
+    assert guarded(i.messages)["error_code"] == "index_missing" and i.age_minutes() is None
+    assert i.refresh_if_stale(lambda: {"n": 1}) == {"synced": False, "index_age_minutes": 0.0}
+    i.build(m, loc)
+    assert i.status()["messages"] == 2 and i.status()["size_bytes"] > 0 and i.age_minutes() < 5
     gone = dict(t, messages=t["messages"].where("rowid <> 2"))
-    m2, loc2 = ingest.synced(held, gone, found, mime.parse_files)
-    assert [r["id"] for r in m2.collect()] == [1] and {r["message"] for r in loc2.collect()} == {1}
-    assert index.refresh_if_stale(path, lambda: {"n": 1}, 10) .keys() == {"index_age_minutes"}
-    assert index.refresh_if_stale(path, lambda: {"n": 1}, -1)["synced"] == {"n": 1}
+    assert ingest.sync_index(i, gone, found, mime.parse_files)["removed"] == 1
+    assert [r["id"] for r in i.messages().collect()] == [1] and {r["message"] for r in i.locations().collect()} == {1}
+    back = ingest.sync_index(i, t, found, mime.parse_files, drafts=str(tmp_path / "none"))
+    assert (back["ok"], back["added"], back["removed"]) == (True, 1, 0) and i.messages().count() == 2
+    assert ingest.sync_index(i, t, found, mime.parse_files)["added"] == 0
+    assert i.refresh_if_stale(lambda: {"n": 1}, 10).keys() == {"synced", "index_age_minutes"}
+    assert i.refresh_if_stale(lambda: {"added": 3, "removed": 1}, -1) == {"synced": True, "index_age_minutes": 0.0, "sync_added": 3, "sync_removed": 1}
+    for failure, note in ((RuntimeError("boom"), "sync_failed: boom"), (ArchiveError("permission_denied", "no"), "permission_denied: no")):
+
+        def fails(failure=failure):
+            raise failure
+
+        assert i.refresh_if_stale(fails, -1)["sync_note"] == note
+    i.files.create(index.LOCK)
+    assert i.refresh_if_stale(lambda: {}, -1)["sync_note"] == "already running"
+    i.files.delete(index.LOCK)
+    unread = dict(t, messages=t["messages"].withColumn("read", F.lit(1)))
+    ingest.sync_index(i, unread, found, mime.parse_files, refresh_locations=True)
+    assert {(r["message"], r["mailbox"], r["read"]) for r in i.locations().collect()} == {(1, "INBOX", 1), (1, "Work x", 1), (2, "INBOX", 1)}
+    for wrong, code in ((PermissionError("x"), "permission_denied"), (RuntimeError("Permission denied: /x"), "permission_denied"), (RuntimeError("y"), "sync_failed")):
+
+        def parse(files, wrong=wrong):
+            raise wrong
+
+        assert guarded(ingest.sync_index, i, t, found, parse)["error_code"] == code
+
+
+def _index_of(spark, path, rows):
+    i = index.Index(spark, path)
+    m = spark.createDataFrame(rows, "id long, account string, rfc_id string, subject string, sender string, body string, date_received long, conversation_id long")
+    i.build(m, m.select(F.col("id").alias("message"), "account", F.lit("Inbox").alias("mailbox"), F.lit(0).alias("read"), F.lit(0).alias("flagged")), now=1)
+    return i, m
+
+
+def test_parts_of_an_index(spark, tmp_path, monkeypatch):
+    row = lambda n, text, date=5: (n, "A", f"r{n}", text, "s", f"body of {text}", date, 1)
+    i, m = _index_of(spark, str(tmp_path / "i"), [row(1, "one"), row(2, "two"), row(3, "three")])
+    ids = lambda q: sorted(r["id"] for r in i.find(q)[0].collect())
+    place = lambda df: df.select(F.col("id").alias("message"), "account", F.lit("Box").alias("mailbox"), F.lit(1).alias("read"), F.lit(0).alias("flagged"))
+    more = spark.createDataFrame([row(2, "zwei"), row(4, "vier")], m.schema)
+    i.apply(more, place(more), spark.createDataFrame([(1,)], "id long"), now=2, batch=("s", 7))
+    check = lambda: (ids("one"), ids("two"), ids("zwei"), ids("three OR vier"), ids("bod*"), sorted((r["message"], r["mailbox"]) for r in i.locations().collect()))
+    want = ([], [], [2], [3, 4], [2, 3, 4], [(2, "Box"), (3, "Inbox"), (4, "Box")])
+    assert check() == want and i.manifest()["batches"] == {"s": 7}
+    i.apply(more.limit(0), place(more.limit(0)), spark.createDataFrame([(3,)], "id long"), batch=("s", 7))
+    assert check() == want  # the batch was in
+    i.compact()
+    assert check() == want and len(i.manifest()["parts"]) == 1 and i.manifest()["last_build"] == 2
+    monkeypatch.setattr(index, "COMPACT", 2)
+    for k in range(5, 9):
+        new = spark.createDataFrame([row(k, "five")], m.schema)
+        i.apply(new, place(new), spark.createDataFrame([], "id long"))
+    assert ids("five") == [5, 6, 7, 8] and len(i.manifest()["parts"]) <= 2
+    names = i.files.names()
+    assert len([n for n in names if n.startswith("manifest-")]) == index.KEEP and len([n for n in names if n.startswith("part-")]) <= 6
+    # a writer that bases its change on an older state loses, and leaves nothing behind
+    stale = i.manifest()
+    new = spark.createDataFrame([row(9, "nine")], m.schema)
+    i.apply(new, place(new), spark.createDataFrame([], "id long"))
+    monkeypatch.setattr(i, "_need", lambda: stale)
+    before = i.files.names()
+    assert guarded(i.apply, new, place(new), spark.createDataFrame([], "id long"))["error_code"] == "index_busy" and i.files.names() == before
+
+
+def test_search_reads_the_index_only(spark, tmp_path):
+    i, _ = _index_of(spark, str(tmp_path / "i"), [(n, "A", None, f"word{n} common", "s", "x", n, 1) for n in range(50)])
+    found, used = search.search_index(i, "word7")
+    assert [r["mail_id"] for r in found.collect()] == [7] and used == "word7"
+    plan = i.find("word7")[0]._jdf.queryExecution().toString()
+    scan = plan.split("== Physical Plan ==")[1]
+    assert "(bucket#" in scan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,word7)" in scan and "ReadSchema: struct<id:bigint,c:tinyint,term:string>" in scan
+    found, used = search.search_index(i, "word7, common", 5)
+    r = search.response(found, "word7, common", used, 50, {"synced": False})
+    assert [x["mail_id"] for x in r["messages"]] == [7] and r["interpreted_as"] == '"word7," AND "common"' and r["indexed_messages"] == 50
 
 
 def test_mime():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postlode.functions import match
 from postlode.functions.text import fold
+from postlode.operators import fulltext
 
 COLUMNS = ("subject", "sender", "recipients", "attachments", "body")
 ROWS = [
@@ -97,3 +98,27 @@ def test_fallback():
     text = {c: F.lit("x") for c in COLUMNS}
     assert match.compiled("re: devis", text)[1] == '"re:" AND "devis"'
     assert match.compiled("devis", text)[1] == "devis"
+
+
+def test_the_index_answers_as_sqlite_does(spark, index):
+    df = spark.createDataFrame(ROWS, "id long, " + ", ".join(f"{c} string" for c in COLUMNS))
+    rows = fulltext.postings(df).cache()
+    r = random.Random(12)
+    queries = [*CORPUS, *dict.fromkeys(_random_query(r) for _ in range(40))]
+    wrong = {}
+    for q in queries:
+        want = _expected(index, q)
+        if want == "error":
+            want = _expected(index, match.interpreted(q, COLUMNS)[1])
+        got = sorted(x["id"] for x in fulltext.find(rows, q)[0].collect())
+        if got != want:
+            wrong[q] = got, want
+    assert not wrong
+    assert {x["bucket"] for x in rows.where("term = 'one'").collect()} == {fulltext.bucket("one")}
+
+
+def test_postings_of_awkward_messages(spark):
+    df = spark.createDataFrame([(1, None, ""), (2, "a a b", "日本 a"), (None, "a", "a")], "id long, subject string, body string")
+    got = sorted((x["id"], x["c"], x["term"], x["p"]) for x in fulltext.postings(df).collect())
+    assert got == [(2, 0, "a", [0, 1]), (2, 0, "b", [2]), (2, 4, "a", [1]), (2, 4, "日本", [0])]
+    assert fulltext.postings(df.limit(0)).count() == 0 and fulltext.find(fulltext.postings(df), '""')[0].count() == 0
