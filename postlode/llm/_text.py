@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system, so that an idle worker holds little of it."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+def released(run):
+    """A function of batches that calls release() once it has read all."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     h = h + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)

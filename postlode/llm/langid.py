@@ -226,7 +226,7 @@ def training_windows(docs: DataFrame, most: int = TRAIN_WINDOWS) -> dict[str, li
     while share:
         edges = {k: min(2**63 - 1, int(-(2**63) + v * 2**64)) for k, v in share.items()}
         rows = labelled.where(F.col("lang").isin(list(edges))) if len(edges) < len(count) else labelled
-        some = rows.mapInArrow(_picked(edges), "lang string, h long, w binary").dropDuplicates(["lang", "h"])
+        some = rows.mapInArrow(_text.released(_picked(edges)), "lang string, h long, w binary").dropDuplicates(["lang", "h"])
         first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
         found: dict[str, list[bytes]] = {k: [] for k in edges}
         for r in some.withColumn("i", first).where(F.col("i") <= most).orderBy("lang", "h").select("lang", "w").collect():
@@ -282,7 +282,7 @@ def scorer(net: BiGRU):
                 names=SCORE.fieldNames(),
             )
 
-    return F.arrow_udf(score, SCORE).asNondeterministic()  # evaluated once, below the filter
+    return F.arrow_udf(_text.released(score), SCORE).asNondeterministic()  # evaluated once, below the filter
 
 
 def identified(docs: DataFrame, net: BiGRU | None = None) -> DataFrame:

@@ -198,4 +198,4 @@ def found(docs: DataFrame, among: Templates | None = None) -> DataFrame:
             )
 
     narrow = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return narrow.mapInArrow(run, "doc_id long, license string, containment double")
+    return narrow.mapInArrow(_text.released(run), "doc_id long, license string, containment double")

@@ -155,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(docs: DataFrame) -> DataFrame:
     """lang (half and language), key, n: the n-grams of order ORDER of all texts."""
     ship(docs.sparkSession)
-    part = docs.select(_group(F.col("lang"), F.col("text")).alias("lang"), "text").mapInArrow(_count, "lang string, key long, n long")
+    part = docs.select(_group(F.col("lang"), F.col("text")).alias("lang"), "text").mapInArrow(_text.released(_count), "lang string, key long, n long")
     return part.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -331,9 +331,9 @@ def scored(docs: DataFrame, levels: dict[int, DataFrame], kn: DataFrame, broadca
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("t"), _group(F.col("lang"), F.col("text")).alias("g"), "text")
     if kn.count() <= broadcast_entries:
         sent = docs.sparkSession.sparkContext.broadcast(Model(kn.toArrow()))
-        return narrow.mapInArrow(lambda batches: _score_batches(sent.value, batches), _SCORES)
+        return narrow.mapInArrow(_text.released(lambda batches: _score_batches(sent.value, batches)), _SCORES)
     own = narrow.select(F.monotonically_increasing_id().alias("part"), "*")
-    grams = own.mapInArrow(_doc_counts, "part long, doc_id long, lang string, t long, g string, key long, c long")
+    grams = own.mapInArrow(_text.released(_doc_counts), "part long, doc_id long, lang string, t long, g string, key long, c long")
     sums = grams.join(looked_up(levels, kn), ["g", "key"]).groupBy("part", "doc_id", "lang", "t").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("value")).alias("logp"))
     blank = narrow.where("text is null or text = ''").select("doc_id", "lang", "t", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp"))
     return sums.select("doc_id", "lang", "t", "n", "logp").unionByName(blank)

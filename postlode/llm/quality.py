@@ -225,7 +225,7 @@ def scorer(model: PU):
             empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             yield pa.array(model.score(features(texts)), pa.float64(), mask=empty)
 
-    return F.arrow_udf(score, "double").asNondeterministic()
+    return F.arrow_udf(_text.released(score), "double").asNondeterministic()
 
 
 def weight(model: PU | None):

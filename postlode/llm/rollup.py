@@ -99,7 +99,7 @@ def counter(path: str = VOCABULARY):
             texts = _text.as_strings(texts)
             yield pa.array(np.concatenate([count_tokens(texts.slice(a, b - a).to_pylist(), sent.value) for a, b in _text.slices(texts)] or [np.zeros(0, np.int64)]))
 
-    return F.arrow_udf(count, "long")
+    return F.arrow_udf(_text.released(count), "long")
 
 
 def measured(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -100,7 +100,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text) and the signature s0..s3 (null: no word) of every row with a doc_id."""
     ship(docs.sparkSession)
     narrow = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    return narrow.mapInArrow(_sign, "doc_id long, t long, s0 long, s1 long, s2 long, s3 long")
+    return narrow.mapInArrow(_text.released(_sign), "doc_id long, t long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _rotated(hi: np.ndarray, lo: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +278,10 @@ def _join(task: pa.Table) -> pa.Table:
         np.add.at(links, j, weight[i])
         forest.add(i, j)
     some = links > 0
-    return pa.table({"node": node[some], "links": links[some], "root": node[forest.root[some]]})
+    out = pa.table({"node": node[some], "links": links[some], "root": node[forest.root[some]]})
+    del sig, sides, a, b, top, rest
+    _text.release()
+    return out
 
 
 def met(nodes: DataFrame, n: int) -> DataFrame:
@@ -286,11 +289,11 @@ def met(nodes: DataFrame, n: int) -> DataFrame:
     depth = min(DEEPEST, max(SHALLOWEST, math.ceil(math.log2(max(n, 1) / HOME))))
     home = np.zeros((len(BLOCKS), 1 << depth), np.int64)
     # a row a cell, of which there are about n / HOME in each block
-    for batch in nodes.select(*BITS).mapInArrow(_home_counts(depth), "r int, cell int, n long").groupBy("r", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for batch in nodes.select(*BITS).mapInArrow(_text.released(_home_counts(depth)), "r int, cell int, n long").groupBy("r", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
         home[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
     sent = nodes.sparkSession.sparkContext.broadcast(chunks_of(home, depth))  # 8 bytes a cell and block
     narrow = nodes.select("node", "weight", *BITS)
-    tasks = narrow.mapInArrow(_tasks(depth, sent), "task long, own boolean, node long, weight long, s0 long, s1 long, s2 long, s3 long")
+    tasks = narrow.mapInArrow(_text.released(_tasks(depth, sent)), "task long, own boolean, node long, weight long, s0 long, s1 long, s2 long, s3 long")
     return tasks.groupBy("task").applyInArrow(_join, "node long, links long, root long")
 
 

@@ -660,7 +660,7 @@ def _rows(df):
 def test_rollup(spark, odd, empty, tmp_path):
     counts = rollup.measured(odd).cache()
     enc = rollup._encoding(rollup.VOCABULARY)
-    for r in odd.join(counts.select("doc_id", "tokens").dropDuplicates(["doc_id"]), "doc_id").collect():
+    for r in odd.select("doc_id", "text").join(counts.select("doc_id", "tokens").dropDuplicates(["doc_id"]), "doc_id").collect():
         assert r["tokens"] == len(enc.encode_ordinary(r["text"] or ""))
     s = rollup.Store(spark, f"file://{tmp_path}/store")
     assert s.totals().count() == 0
