@@ -173,6 +173,22 @@ def as_int(c: Column, default: int = 0) -> Column:
     return F.coalesce(F.trim(c).try_cast("long"), F.lit(default))
 
 
+def clean_field(c: Column) -> Column:
+    """A value as a field of a framed record: its own separators become spaces; null is empty."""
+    return F.translate(F.coalesce(c.cast("string"), F.lit("")), "\x1f\x1e", "  ")
+
+
+def join_addresses(people: Column) -> Column:
+    """"Name <address>, ..." of an array of structs (name, address)."""
+    return F.array_join(F.transform(F.coalesce(people, F.array().cast("array<struct<name:string,address:string>>")), lambda p: sender(p["name"], p["address"])), ", ")
+
+
+def message_row(identifier: Column, subject: Column, from_: Column, received: Column, read: Column, flagged: Column, mailbox: Column, account: Column) -> Column:
+    """The framed record of a message, as records() and field() read it."""
+    fields = [identifier.cast("string"), clean_field(subject), clean_field(from_), iso(received), read.cast("boolean").cast("string"), flagged.cast("boolean").cast("string"), clean_field(mailbox), clean_field(account)]
+    return F.array_join(F.array(*fields), "\x1f")
+
+
 def join_list(c: Column) -> Column:
     return F.array_join(F.filter(c, lambda x: x.isNotNull() & (x != "")), "\x1f")
 

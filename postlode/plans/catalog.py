@@ -579,6 +579,17 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 
 _register("q_live_records", _records, "SELECT event_id, event_type AS kind, user_id % 2 = 0 AS even, user_id, CAST(-1 AS BIGINT) AS missing FROM events")
 
+_register(
+    "q_message_record",
+    lambda s, d: messages(s, d).select("id", F.split(X.message_row(F.col("id"), F.col("subject"), F.concat("sender", F.lit("\x1e!\x1f")), F.col("date_received"), F.col("size") % 2, F.lit(1), F.lit(None), F.col("account")), "\x1f").alias("r")).select("id", *[X.field(F.col("r"), k).alias(f"f{k}") for k in range(8)]),
+    f"""WITH {MESSAGES} SELECT id, CAST(id AS VARCHAR) AS f0, subject AS f1, sender || ' ! ' AS f2, strftime(to_timestamp(date_received) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS f3,
+  CASE WHEN size % 2 = 1 THEN 'true' ELSE 'false' END AS f4, 'true' AS f5, '' AS f6, account AS f7 FROM messages_v""",
+)
+_register(
+    "q_join_addresses",
+    lambda s, d: table(s, d, "customer").select("c_custkey", X.join_addresses(F.array(F.struct(F.col("c_name").alias("name"), F.lit("a@x").alias("address")), F.struct(F.lit(None).cast("string").alias("name"), F.col("c_mktsegment").alias("address")))).alias("people"), X.join_list(F.array("c_name", F.lit(""), F.lit(None), "c_mktsegment")).alias("joined")),
+    "SELECT c_custkey, c_name || ' <a@x>, ' || c_mktsegment AS people, c_name || chr(31) || c_mktsegment AS joined FROM customer",
+)
 # drafts, ledger, log
 
 

@@ -185,6 +185,13 @@ def scan_store(spark, store: str) -> DataFrame:
     return message_files(files.select("path"))
 
 
+def find_message_file(spark, store: str, identifier: int) -> str | None:
+    """The file of one message, whole before partial; only files of its name are listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{int(identifier)}{{.partial,}}.emlx").load(store)
+    row = message_files(files.select("path")).where(F.col("id") == identifier).first()
+    return row["path"] if row else None
+
+
 def parsed_text(df: DataFrame, limit: int = BODY_LIMIT) -> DataFrame:
     """id, rfc_id, body of rows with id and content (a stored file's bytes)."""
     ship(df.sparkSession)

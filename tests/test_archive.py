@@ -65,6 +65,9 @@ def test_text(spark):
     assert _one(spark, X.attachment_fields, "a|3|true;b|x|no") == [("a", 3, True), ("b", 0, False)]
     assert _one(spark, X.iso, 0, "long") == "1970-01-01T00:00:00+00:00"
     assert _one(spark, X.fold, "Crème ÉCOLE") == "creme ecole"
+    assert _one(spark, X.clean_field, "a\x1fb\x1ec") == "a b c" and _one(spark, X.clean_field, None) == ""
+    people = spark.sql("select array(named_struct('name', 'Ada', 'address', 'a@x'), named_struct('name', '', 'address', 'b@x')) as c, cast(null as array<struct<name:string,address:string>>) as n")
+    assert people.select(X.join_addresses(F.col("c")), X.join_addresses(F.col("n"))).first()[:] == ("Ada <a@x>, b@x", "")
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +137,7 @@ def test_build_and_sync(spark, tmp_path):
     _mail(str(tmp_path / "V3" / "a"), 1, "whole")
     _mail(str(tmp_path / "V3" / "b"), 1, "part", "1.partial.emlx")
     _mail(str(tmp_path / "V3" / ".hidden"), 2, "no")
+    assert mime.find_message_file(spark, str(tmp_path / "V3"), 1).endswith("a/1.emlx") and mime.find_message_file(spark, str(tmp_path / "V3"), 2) is None
     t = store.open_store(spark, store.snapshot(db, str(tmp_path)))
     found = mime.scan_store(spark, str(tmp_path / "V3")).cache()
     assert [(r["id"], os.path.basename(r["path"])) for r in found.collect()] == [(1, "1.emlx")]
