@@ -38,11 +38,10 @@ def search(index: Index, query: str, limit: int) -> DataFrame:
 
 
 def _show(index: Index, query: str, limit: int) -> int:
-    rows = search(index, query, limit).orderBy(F.desc("date_received"), F.desc("id")).collect()
-    print(f"{len(rows)} hit(s)")
-    for r in rows:
-        day = datetime.fromtimestamp(r["date_received"] or 0).date()
-        print(f"{day}  {(r['subject'] or '')[:70]}\n    {(r['sender'] or '')[:60]}  [{r['account']}]  {r['boxes'] or ''}")
+    """One line a match: day, account, subject, sender, mailboxes."""
+    for r in search(index, query, limit).orderBy(F.desc("date_received"), F.desc("id")).collect():
+        day = datetime.fromtimestamp(r["date_received"]).strftime("%Y-%m-%d") if r["date_received"] else "-"
+        print(" | ".join([day, r["account"] or "", r["subject"] or "", r["sender"] or "", r["boxes"] or ""]))
     return 0
 
 
@@ -88,12 +87,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     what = p.add_mutually_exclusive_group(required=True)
     for name, said in (("check", "check the store and stop"), ("build", "build the index"), ("sync", "bring the index up to date")):
         what.add_argument(f"--{name}", action="store_true", help=said)
-    what.add_argument("--search", metavar="QUERY", help="search the index")
-    p.add_argument("--limit", type=int, default=20)
-    p.add_argument("--index", default=settings.get("index_path"))
-    p.add_argument("--store", default=settings.get("store_root"))
+    what.add_argument("--search", help="a query for the index")
+    p.add_argument("--force", help="build whatever the checks say", action="store_true")
+    p.add_argument("--limit", help="matches that a search shows", default=20, type=int)
+    p.add_argument("--index", help="folder of the index", default=settings.get("index_path"))
+    p.add_argument("--store", help="folder of the store", default=settings.get("store_root"))
     p.add_argument("--workspace", help="a folder that all workers see, for the copy of the database")
-    p.add_argument("--force", action="store_true", help="build even if checks fail")
     args = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("postlode").getOrCreate()
     try:
