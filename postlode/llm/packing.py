@@ -35,6 +35,9 @@ from .mixing import tokens
 TOKENS, DOCS = 2048, 16
 ATTENTION = 2048 * 2048 * 3 // 4
 GROUP = 8192
+GROUPS_A_TASK, MOST_TASKS = 4, 20_000
+#: Rows of one document that are packed together.
+COPIES = 512
 WEIGHTS = (1.0, 0.1, 0.3)
 DOT, NORM = "dot", "norm"
 
@@ -90,7 +93,8 @@ def _group(capacity, weights, rule):
     most = longest(capacity)
 
     def run(part: pa.Table) -> pa.Table:
-        ids, size = part.column("id").to_numpy(), part.column("n").to_numpy()
+        copies = part.column("copies").to_numpy()
+        ids, size = (np.repeat(part.column(c).to_numpy(), copies) for c in ("id", "n"))
         pieces = -(-size // most)
         row = np.repeat(np.arange(len(ids)), pieces)
         start = most * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -116,5 +120,10 @@ def packed(docs: DataFrame, capacity: tuple[int, int, int] = (TOKENS, DOCS, ATTE
     sized = written(sized, "lengths").where("n > 0")  # filtered once written, so that each text is counted once
     pieces = sized.agg(F.sum(F.ceil(F.col("n") / longest(capacity)))).first()[0] or 0
     groups = max(1, math.ceil(int(pieces) / GROUP))
-    grouped = sized.select("id", "n", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
+    # a document may have any number of rows: they go to groups by COPIES
+    same = sized.groupBy("id", "n").agg(F.count("*").alias("rows"))
+    parts = same.select("id", "n", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES))).alias("k"))
+    grouped = parts.select("id", "n", F.least(F.lit(COPIES).cast("long"), F.col("rows") - F.col("k") * COPIES).alias("copies"), F.pmod(F.xxhash64("id", "k"), F.lit(groups)).alias("g"))
+    # groups are small rows and long work: as many tasks as some groups each ask for, not as their bytes do
+    grouped = grouped.repartition(min(MOST_TASKS, max(1, groups // GROUPS_A_TASK)), "g")
     return grouped.groupBy("g").applyInArrow(_group(capacity, weights, rule), "doc_id long, start long, tokens long, bin_id long, position long")

@@ -17,8 +17,6 @@ unknown ids are ignored; other columns are passed on and never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -217,15 +215,21 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
 
 
 def scorer(model: PU):
-    """Column function: text -> score, null for a null or empty text."""
+    """Column function: text -> score, null for a null or empty text. Not of batches' iterators, which no other function joins in a worker."""
+
+    def score(texts: pa.Array) -> pa.Array:
+        texts = _text.as_strings(texts)
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        out = pa.array(model.score(features(texts)), pa.float64(), mask=empty)
+        _text.release()
+        return out
+
+    return F.arrow_udf(score, "double")
 
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            texts = _text.as_strings(texts)
-            empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            yield pa.array(model.score(features(texts)), pa.float64(), mask=empty)
 
-    return F.arrow_udf(_text.released(score), "double").asNondeterministic()
+def _once(model: PU):
+    """scorer() that a filter on it doesn't evaluate again."""
+    return scorer(model).asNondeterministic()
 
 
 def weight(model: PU | None):
@@ -246,7 +250,7 @@ def accepted(docs: DataFrame, labels: DataFrame, model: PU | None = None) -> Dat
     model = model or train(docs, labels)
     if model is None:
         return docs.where(_kept(None, None, F.col("text"))).select("doc_id", F.lit(None).cast("double").alias("score"))
-    scored = docs.select("doc_id", scorer(model)("text").alias("score"))
+    scored = docs.select("doc_id", _once(model)("text").alias("score"))
     return scored.where(_kept(F.col("score"), model, None))
 
 
@@ -257,5 +261,5 @@ def filtered(docs: DataFrame, labels: DataFrame, model: PU | None = None) -> Dat
     if model is None:
         return docs.where(_kept(None, None, F.col("text")))
     (name,) = fresh(docs, "score")
-    scored = docs.select("*", scorer(model)("text").alias(name))
+    scored = docs.select("*", _once(model)("text").alias(name))
     return scored.where(_kept(F.col(name), model, None)).drop(name)

@@ -27,7 +27,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -94,12 +93,13 @@ def counter(path: str = VOCABULARY):
     """Column function: text -> tokens. The vocabulary's file (some MB at most) is sent to the workers."""
     sent = SparkSession.active().sparkContext.broadcast(_read(path))
 
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            texts = _text.as_strings(texts)
-            yield pa.array(np.concatenate([count_tokens(texts.slice(a, b - a).to_pylist(), sent.value) for a, b in _text.slices(texts)] or [np.zeros(0, np.int64)]))
+    def count(texts: pa.Array) -> pa.Array:
+        texts = _text.as_strings(texts)
+        n = [count_tokens(texts.slice(a, b - a).to_pylist(), sent.value) for a, b in _text.slices(texts)]
+        _text.release()
+        return pa.array(np.concatenate(n or [np.zeros(0, np.int64)]))
 
-    return F.arrow_udf(_text.released(count), "long")
+    return F.arrow_udf(count, "long")
 
 
 def measured(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

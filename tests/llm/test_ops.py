@@ -369,6 +369,16 @@ def test_every_bin_is_within_all_capacities(spark, rule):
         packing.longest((2048, 16, 0))
 
 
+def test_a_document_of_many_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    monkeypatch.setattr(packing, "GROUP", 10)
+    df = spark.createDataFrame([(1, 5)] * 100 + [(1, 6), (2, 3000), (3, None), (4, 0)], "doc_id long, n long")
+    rows = packing.packed(df, length="n").collect()
+    assert Counter((r["doc_id"], r["start"], r["tokens"]) for r in rows) == {(1, 0, 5): 100, (1, 0, 6): 1, (2, 0, 1773): 1, (2, 1773, 1227): 1}
+    bins = Counter(r["bin_id"] for r in rows)
+    assert len({b >> 32 for b in bins}) > 4 and max(bins.values()) <= packing.DOCS
+
+
 def test_lengths_are_bpe_tokens(spark):
     r = random.Random(4)
     texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(1000)), "".join(r.choice("abcdefghijklmnop") for _ in range(9000)), "plain words, 12345", " \n "]
