@@ -114,6 +114,26 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 
+#: Bytes that are hashed together; a longer text is worked on in parts.
+BLOCK = 1 << 22
+
+
+def blocks(whole: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BLOCK bytes that begin where ``whole`` is False, so that no run of True is parted."""
+    a, n = 0, len(whole)
+    while a < n:
+        b = min(n, a + BLOCK)
+        if b < n:
+            cut = np.flatnonzero(~whole[a + 1 : b + 1])
+            if len(cut):
+                b = a + 1 + int(cut[-1])
+            else:  # a run longer than a block stays in one
+                more = np.flatnonzero(~whole[b:])
+                b = b + int(more[0]) if len(more) else n
+        yield a, b
+        a = b
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text's row, length in bytes) of each word in order.
 
@@ -121,25 +141,27 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     white space and ASCII punctuation part words, and none spans two texts.
     """
     data, offsets = raw(pc.utf8_lower(column))
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, is_word = _byte_tables()
     inside = is_word[data]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    first = offsets[:-1][offsets[:-1] < n]
-    before[first] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    last = offsets[1:][offsets[1:] > 0] - 1
-    after[last] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    h = spans(data, starts, ends)
-    return h, np.searchsorted(offsets, starts, "right") - 1, ends - starts
+    edges = offsets[offsets < len(data)]
+    out = []
+    for a, b in blocks(inside):
+        own = inside[a:b]
+        here = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)] - a
+        before = np.empty(b - a, bool)
+        before[0] = False
+        before[1:] = own[:-1]
+        before[here] = False
+        starts = np.flatnonzero(own & ~before)
+        after = np.empty(b - a, bool)
+        after[-1] = False
+        after[:-1] = own[1:]
+        after[here[here > 0] - 1] = False
+        ends = np.flatnonzero(own & ~after) + 1
+        out.append((spans(data[a:b], starts, ends), np.searchsorted(offsets, starts + a, "right") - 1, ends - starts))
+    return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

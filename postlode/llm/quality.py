@@ -60,14 +60,17 @@ def features(texts: pa.Array) -> np.ndarray:
         if not len(data):
             continue
         size = np.diff(offsets)
-        c = _CLASS[data]
         row = np.repeat(np.arange(b - a, dtype=np.int32), size)
-        same = row[1:] == row[:-1]
-        code = (row[:-1] * CLASSES + c[:-1]) * CLASSES + c[1:]
-        pair = np.bincount(code[same], minlength=(b - a) * CLASSES * CLASSES).reshape(b - a, -1).astype(np.float32)
+        pair, one = np.zeros((b - a) * CLASSES * CLASSES, np.int64), np.zeros((b - a) * CLASSES, np.int64)
+        for s in range(0, len(data), _text.BLOCK):
+            r, c = row[s : s + _text.BLOCK + 1], _CLASS[data[s : s + _text.BLOCK + 1]]
+            code = (r[:-1].astype(np.int64) * CLASSES + c[:-1]) * CLASSES + c[1:]
+            pair += np.bincount(code[r[1:] == r[:-1]], minlength=len(pair))
+            r, c = r[: _text.BLOCK], c[: _text.BLOCK]
+            one += np.bincount(r.astype(np.int64) * CLASSES + c, minlength=len(one))
         x = out[a:b]
-        x[:, : CLASSES * CLASSES] = np.sqrt(pair / np.maximum(size - 1, 1)[:, None])
-        one = np.bincount(row * CLASSES + c, minlength=(b - a) * CLASSES).reshape(b - a, -1) / np.maximum(size, 1)[:, None]
+        x[:, : CLASSES * CLASSES] = np.sqrt(pair.reshape(b - a, -1) / np.maximum(size - 1, 1)[:, None])
+        one = one.reshape(b - a, -1) / np.maximum(size, 1)[:, None]
         h, wrow, length = _text.words(part)
         words = np.bincount(wrow, minlength=b - a)
         own = np.unique(_text.mix(h ^ _text.mix(wrow.astype(np.uint64), 5)), return_index=True)[1]
@@ -94,15 +97,17 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _lines(data: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each non-empty line."""
-    cut = np.flatnonzero(data == 10)
-    starts = np.unique(np.concatenate([offsets[:-1], cut + 1]))
-    starts = starts[starts < len(data)]
-    ends = np.searchsorted(cut, starts)
-    ends = np.where(ends < len(cut), np.append(cut, len(data))[ends], len(data))
-    ends = np.minimum(ends, offsets[row[starts] + 1])
-    some = ends > starts
-    starts, ends = starts[some], ends[some]
-    return _text.spans(data, starts, ends), row[starts].astype(np.int64)
+    edges, out = offsets[offsets < len(data)], []
+    for a, b in _text.blocks(data != 10):
+        cut = a + np.flatnonzero(data[a:b] == 10)
+        starts = np.unique(np.concatenate([[a], edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)], cut + 1]))
+        starts = starts[starts < b]
+        ends = np.append(cut, b)[np.searchsorted(cut, starts)]
+        ends = np.minimum(ends, offsets[row[starts] + 1])
+        some = ends > starts
+        starts, ends = starts[some], ends[some]
+        out.append((_text.spans(data[a:b], starts - a, ends - a), row[starts].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class PU:

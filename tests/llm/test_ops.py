@@ -61,6 +61,16 @@ def test_words_and_shingles():
     assert again[0] == h[1]
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_long_texts_in_blocks(docs, monkeypatch, block):
+    texts = pa.array([*(r["text"] for r in docs.orderBy("n_chars").limit(40).collect()), "", "x" * 300, "\n\n a\nb\n", "é" * 90 + " z"], pa.large_string())
+    words, features, signed = _text.words(texts), quality.features(texts), simhash.signatures(texts)
+    monkeypatch.setattr(_text, "BLOCK", block)
+    for a, b in zip(words, _text.words(texts), strict=True):
+        assert (a == b).all()
+    assert (quality.features(texts) == features).all() and (simhash.signatures(texts)[0] == signed[0]).all()
+
+
 # 1 perplexity
 
 
