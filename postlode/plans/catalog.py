@@ -445,7 +445,7 @@ _register(
 
 
 def _sqlite(s: SparkSession, d: str) -> DataFrame:
-    """Customers as a store's table in a SQLite file, read back by ranges of rows."""
+    """Nations, which are few at any scale, as a store's table in a SQLite file, read back by ranges of rows."""
     import os
     import sqlite3
 
@@ -453,14 +453,14 @@ def _sqlite(s: SparkSession, d: str) -> DataFrame:
 
     folder = _folder(s, "store").removeprefix("file://")
     os.makedirs(folder)
-    rows = table(s, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_name").toPandas().itertuples(index=False)
+    rows = table(s, d, "nation").select("n_nationkey", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "n_name").collect()
     with sqlite3.connect(f"{folder}/envelope.db") as c:
         c.execute("CREATE TABLE addresses(address, comment)")
         c.executemany("INSERT INTO addresses(rowid, address, comment) VALUES (?, ?, ?)", ((int(r[0]), r[1], r[2]) for r in rows))
     return store.open_store(s, f"{folder}/envelope.db")["addresses"]
 
 
-_register("q_sqlite_source", _sqlite, "SELECT c_custkey AS rowid, 'c' || c_custkey AS address, c_name AS comment FROM customer")
+_register("q_sqlite_source", _sqlite, "SELECT CAST(n_nationkey AS BIGINT) AS rowid, 'n' || n_nationkey AS address, n_name AS comment FROM nation")
 
 
 def _checked(s: SparkSession, d: str) -> DataFrame:
