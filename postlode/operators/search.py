@@ -68,15 +68,17 @@ def mailbox_sizes(locations: DataFrame) -> DataFrame:
     return locations.groupBy("account", "mailbox").agg(F.count("*").alias("n"))
 
 
-def picked(hits: DataFrame, locations: DataFrame) -> DataFrame:
+def picked(hits: DataFrame, locations: DataFrame, few: bool = False) -> DataFrame:
     """hits with the location chosen for each (account, mailbox, read, flagged) and also_in, the other mailboxes' names in order.
 
+    few: hits has a limit (at most 500), so that it is sent to the locations.
     The choice: no bulk mailbox if another is there, then the smallest, then the first by name.
     Hits without a location are dropped, after any limit that hits has.
     """
     place = locations.select(F.col("message").alias("__m"), F.col("account").alias("__a"), "mailbox", "read", "flagged")
     sizes = mailbox_sizes(locations).select(F.col("account").alias("__sa"), F.col("mailbox").alias("__sm"), "n")
-    at = hits.drop("mailbox", "read", "flagged").join(place, F.col("id") == F.col("__m"))
+    one_of = hits.drop("mailbox", "read", "flagged")
+    at = (F.broadcast(one_of) if few else one_of).join(place, F.col("id") == F.col("__m"))
     at = at.join(sizes, (F.col("__a") == F.col("__sa")) & (F.col("mailbox") == F.col("__sm")), "left")
     rank = F.struct(F.col("mailbox").isin(*BULK).alias("bulk"), F.coalesce("n", F.lit(NO_SIZE)).alias("n"), "mailbox", F.col("__a").alias("account"), "read", "flagged")
     own = [c for c in hits.columns if c not in ("account", "mailbox", "read", "flagged")]
@@ -95,7 +97,7 @@ def search_all(messages: DataFrame, locations: DataFrame, query: str, limit: int
     else:
         found = found.join(ids.select(F.col("id").alias("__match")), F.col("id") == F.col("__match"), "left_semi")
     hits = newest(filtered(found, locations, **filters), limit).select("id", "subject", "sender", "date_received", "rfc_id")
-    return picked(hits, locations).select(
+    return picked(hits, locations, few=True).select(
         X.message_token(F.col("account"), F.col("mailbox"), F.col("id")).alias("message_id"),
         F.col("id").alias("mail_id"),
         F.coalesce("subject", F.lit("")).alias("subject"),
@@ -136,7 +138,7 @@ def thread(messages: DataFrame, locations: DataFrame, identifier: int, limit: in
         raise ArchiveError("no_thread", f"Message {identifier} belongs to no conversation.")
     own = messages.where(F.col("conversation_id") == row[0]).select("id", "subject", "sender", "date_received")
     own = own.orderBy(F.asc("date_received"), "id").limit(clamp(limit, 1, 500))
-    return picked(own, locations).select(
+    return picked(own, locations, few=True).select(
         X.message_token(F.col("account"), F.col("mailbox"), F.col("id")).alias("message_id"), F.col("id").alias("mail_id"), "subject", "sender",
         "date_received", "account", "mailbox", (F.col("read") != 0).alias("read"), (F.col("flagged") != 0).alias("flagged"), (F.col("id") == identifier).alias("is_requested"),
     ).orderBy("date_received", "mail_id")
