@@ -62,7 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; a stage's result is deleted when the next one's is written."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, before = written(stage(spark, docs, sf_dir), name), last
+        result, before = stage(spark, docs, sf_dir), last
+        docs = written(result, name)
+        dropped(result)  # tables of the stage's own, as the one that holds mix_sources' weights and texts
         if before is not None:
             dropped(before)
         last = docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: How written() ends the names of its folders.
+MADE = re.compile(r"-[0-9a-f]{32}$")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session.
 
@@ -33,11 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table of written() that nothing reads any more."""
+    """Deletes the tables of written() that df reads, where nothing reads them any more."""
     spark = df.sparkSession
     root = shared_dir(spark)
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+        if MADE.search(folder) and folder.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -151,15 +151,18 @@ def decided(docs: DataFrame, target: dict[str | None, float] | None = None, tota
 
 def mixed(docs: DataFrame, target: dict[str | None, float] | None = None, total_budget: float | None = None, seed: str = SEED, count: Callable[[Column], Column] = tokens, weight: Callable[[Column], Column] = word_share) -> DataFrame:
     """The mixture with all columns of docs, a document as many times as it is taken."""
-    keys = written(keyed(docs, seed, count, weight).select("src", "tokens", "key"), "mix-keys")
-    cut = cutoffs(keys.where("tokens > 0"), target, total_budget)
-    dropped(keys)
+    ship(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    src, w, epochs, edge, copy = fresh(docs, "src", "w", "epochs", "edge", "copy")
-    copies = F.col(epochs) + F.coalesce(_key(F.col("doc_id"), F.col(w), seed) <= F.col(edge), F.lit(False)).cast("long")
-    # the text stays where it is, and as the key needs no length none is counted again
-    again = _usable(docs).select("*", _source(F.col("source")).alias(src), weight(F.col("text")).alias(w))
-    return again.join(_sized(cut).toDF(src, epochs, edge), src).select(*columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(copy)).drop(copy)
+    src, n, w, epochs, edge, copy = fresh(docs, "src", "tokens", "w", "epochs", "edge", "copy")
+    text = F.col("text")
+    # written with the texts, so that each is measured and weighed once
+    rows = written(_usable(docs).select("*", _source(F.col("source")).alias(src), count(text).alias(n), weight(text).alias(w)), "mix-rows").where(F.col(n) > 0)
+    key = _key(F.col("doc_id"), F.col(w), seed)
+    keys = written(rows.select(F.col(src).alias("src"), F.col(n).alias("tokens"), key.alias("key")), "mix-keys")
+    cut = cutoffs(keys, target, total_budget)
+    dropped(keys)
+    copies = F.col(epochs) + F.coalesce(key <= F.col(edge), F.lit(False)).cast("long")
+    return rows.join(_sized(cut).toDF(src, epochs, edge), src).select(*columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias(copy)).drop(copy)
 
 
 SQL = r"""

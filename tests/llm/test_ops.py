@@ -665,6 +665,21 @@ def test_quality_weights_decide_which(spark):
     assert len(got) == 400 and 290 < good < 350
 
 
+def test_texts_are_weighed_and_measured_once(spark, docs):
+    weighed, measured = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    def counted(acc):
+        def run(texts: pa.Array) -> pa.Array:
+            acc.add(len(texts))
+            return pa.array([len(t) for t in texts.to_pylist()], pa.int64())
+
+        return F.arrow_udf(run, "long")
+
+    out = mixing.mixed(docs, weight=counted(weighed), count=counted(measured)).collect()
+    usable = docs.where("doc_id is not null and text <> ''").count()
+    assert len(out) > 0 and (weighed.value, measured.value) == (usable, usable)
+
+
 def test_keys_are_exponential(spark):
     u = np.array([r[0] for r in spark.range(4000).select(mixing.uniform(F.col("id"))).collect()])
     assert abs(u.mean() - 0.5) < 0.02 and 0 < u.min() and u.max() < 1
@@ -704,6 +719,19 @@ def test_rollup(spark, odd, empty, tmp_path):
     assert s.totals().count() == 0 and s.commit("none", rollup.signed(rollup.measured(empty), 1))
 
 
+def test_copies_are_encoded_once(monkeypatch):
+    seen, built = [], rollup._built(rollup._read(rollup.VOCABULARY))
+
+    class Counting:
+        def encode_ordinary(self, t):
+            seen.append(t)
+            return built.encode_ordinary(t)
+
+    monkeypatch.setattr(rollup, "_built", lambda vocabulary: Counting())
+    assert rollup.count_tokens(["one two", "", "one two", "three", "one two"]).tolist() == [2, 0, 2, len(built.encode_ordinary("three")), 2]
+    assert sorted(seen) == ["", "one two", "three"]
+
+
 def test_long_text_counts_the_same(monkeypatch):
     t = " ".join(f"word{i} and,  more\n\n" for i in range(400))
     whole = rollup.count_tokens([t])[0]
