@@ -15,7 +15,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,14 +82,20 @@ class Index:
 
     # writing
 
-    def _written(self, messages: DataFrame, locations: DataFrame, rows: DataFrame | None = None) -> str:
+    def _written(self, messages: DataFrame, locations: DataFrame) -> tuple[dict, DataFrame]:
+        """The new part, and its messages as written."""
         name = self.files.fresh("part")
         messages.write.parquet(self.files.path(f"{name}/messages"))
         locations.write.parquet(self.files.path(f"{name}/locations"))
         # postings are of what was written, so that the source is read once
         there = self.spark.read.schema(messages.schema).parquet(self.files.path(f"{name}/messages"))
-        fulltext.write(fulltext.postings(there) if rows is None else rows, self.files.path(f"{name}/postings"))
-        return name
+        fulltext.write(fulltext.blocks(there), self.files.path(f"{name}/postings"))
+        return {"name": name, "blocks": True}, there
+
+    def _whole(self, messages: DataFrame, locations: DataFrame) -> dict:
+        """A part that is the whole index; unique: whether no id is there twice."""
+        part, there = self._written(self._by_date(messages), locations)
+        return {**part, "unique": there.agg(F.count("id") == F.count_distinct("id")).first()[0]}
 
     @staticmethod
     def _by_date(messages: DataFrame) -> DataFrame:
@@ -98,8 +104,8 @@ class Index:
     def build(self, messages: DataFrame, locations: DataFrame, now: float | None = None) -> dict:
         """Writes the whole index; it replaces what there is."""
         schemas = {"messages": messages.schema.json(), "locations": locations.schema.json()}
-        name = self._written(self._by_date(messages), locations)
-        return self._commit(self.manifest(), [{"name": name}], now, {}, schemas)
+        part = self._whole(messages, locations)
+        return self._commit(self.manifest(), [part], now, {}, schemas)
 
     def apply(self, more: DataFrame, places: DataFrame, removed: DataFrame, moved: DataFrame | None = None, now: float | None = None, batch: tuple[str, int] | None = None) -> dict:
         """Adds or replaces messages (more, with all their locations in places) and removes those in removed (id).
@@ -113,12 +119,13 @@ class Index:
         schema = {k: StructType.fromJson(json.loads(v)) for k, v in m["schemas"].items()}
         own = {"messages": more, "locations": places}
         own = {k: df.select(*[F.col(f.name).cast(f.dataType) for f in schema[k]]) for k, df in own.items()}
-        name = self._written(own["messages"], own["locations"])
-        gone = removed.select(F.col("id").cast("long").alias("id")).unionByName(more.select(F.col("id").cast("long").alias("id")))
+        part, there = self._written(own["messages"], own["locations"])
+        name = part["name"]
+        gone = removed.select(F.col("id").cast("long").alias("id")).unionByName(there.select(F.col("id").cast("long").alias("id")))
         gone.distinct().write.parquet(self.files.path(f"{name}/gone"))
         if moved is not None:
             moved.select(F.col("id").cast("long").alias("id")).distinct().write.parquet(self.files.path(f"{name}/moved"))
-        part = {"name": name, "gone": True, "moved": moved is not None}
+        part |= {"gone": True, "moved": moved is not None}
         batches = {**m["batches"], **({batch[0]: batch[1]} if batch else {})}
         m = self._commit(m, [*m["parts"], part], now, batches, m["schemas"])
         return self.compact() if len(m["parts"]) > COMPACT else m
@@ -131,14 +138,25 @@ class Index:
     def compact(self) -> dict:
         """Writes the index as one part."""
         m = self._need()
-        name = self._written(self._by_date(self.messages(m)), self.locations(m), self.postings(m))
-        return self._commit(m, [{"name": name}], m["last_build"], m["batches"], m["schemas"])
+        part = self._whole(self.messages(m), self.locations(m))
+        return self._commit(m, [part], m["last_build"], m["batches"], m["schemas"])
 
     # reading
 
-    def _table(self, m: dict, table: str, schema: StructType | str) -> DataFrame:
+    def _blocks(self, part: dict) -> DataFrame:
+        return self.spark.read.schema(fulltext.BLOCKS).parquet(self.files.path(f"{part['name']}/postings"))
+
+    def _opened(self, part: dict, where: Column | None, positions: bool) -> DataFrame:
+        """Postings of a part; those written before there were blocks have a row each."""
+        rows = self._blocks(part) if part.get("blocks") else self.spark.read.schema(fulltext.SCHEMA).parquet(self.files.path(f"{part['name']}/postings"))
+        rows = rows if where is None else rows.where(where)
+        return fulltext.opened(rows, positions) if part.get("blocks") else rows
+
+    def _table(self, m: dict, table: str, read: StructType | Callable[[dict], DataFrame]) -> DataFrame:
+        """The rows of all parts but void ones; read: the schema, or a function of a part."""
         parts, key = m["parts"], _ID[table]
-        read = lambda p: self.spark.read.schema(schema).parquet(self.files.path(f"{p['name']}/{table}"))
+        if isinstance(schema := read, StructType):
+            read = lambda p: self.spark.read.schema(schema).parquet(self.files.path(f"{p['name']}/{table}"))
         if len(parts) == 1:
             return read(parts[0])
         void = None
@@ -164,12 +182,21 @@ class Index:
         m = m or self._need()
         return self._table(m, "locations", StructType.fromJson(json.loads(m["schemas"]["locations"])))
 
-    def postings(self, m: dict | None = None) -> DataFrame:
-        return self._table(m or self._need(), "postings", fulltext.SCHEMA)
+    def postings(self, m: dict | None = None, where: Column | None = None, positions: bool = True) -> DataFrame:
+        """where: a condition on term and bucket, met before blocks are opened."""
+        return self._table(m or self._need(), "postings", lambda p: self._opened(p, where, positions))
+
+    def terms(self) -> DataFrame:
+        """term, messages that have it, places."""
+        m = self._need()
+        only = m["parts"][0]
+        if len(m["parts"]) == 1 and only.get("blocks") and only.get("unique"):
+            return fulltext.terms_of_blocks(self._blocks(only))
+        return fulltext.terms(self.postings(m))
 
     def find(self, query: str) -> tuple[DataFrame, str]:
         """(ids that match, query as interpreted), from the postings alone."""
-        return fulltext.find(self.postings(), query)
+        return fulltext.find(lambda where, positions: self.postings(None, where, positions), query)
 
     # freshness
 
